@@ -4,10 +4,11 @@ Documents become ids, documents over the capacity are cut into pieces of the
 capacity (the first piece takes the remainder), and the pieces' lengths are
 counted. Over that histogram (at most `capacity` entries, whatever the corpus)
 the covering program "fewest sequences so that every length is covered" is solved
-by multiplicative weights: a length's price is lowered each time it is covered,
-and a knapsack dynamic program finds the configuration of highest price. The
-fractional solution is rounded down to whole sequences that are filled exactly,
-and what is left goes, longest first, into the tightest open sequences. Pieces of
+by multiplicative weights: a length's price falls exponentially with the share
+of it that is covered, and a knapsack dynamic program finds the configurations of
+the highest price. The fractional solution is rounded down to whole sequences at
+three scales, what is left goes, longest first, into the tightest open sequences,
+and the rounding with the fewest sequences is taken. Pieces of
 a length are numbered by distributed prefix sums and look up their place by
 number, so nothing but the histogram and the configurations leaves the tasks.
 
@@ -28,11 +29,11 @@ from pyspark.sql import functions as F
 from clauseloom.llm.common import running_total, settle
 from clauseloom.llm.tokens import byte_level_ids
 
-CAPACITY, ROUNDS, STEP = 1024, 1500, 0.05
+CAPACITY, ROUNDS, STEP = 1024, 120, 0.1
 
 
-def knapsack(lengths: np.ndarray, prices: np.ndarray, counts: np.ndarray, capacity: int) -> dict[int, int]:
-    """Index -> copies of the configuration of highest price that fits, by the dynamic program over capacities."""
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Dynamic program over capacities: the highest price that fits in each, and the item it takes (-1: the next smaller capacity's)."""
     best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     for c in range(int(lengths[0]), capacity + 1):
         n = np.searchsorted(lengths, c, "right")
@@ -42,52 +43,63 @@ def knapsack(lengths: np.ndarray, prices: np.ndarray, counts: np.ndarray, capaci
             best[c], took[c] = worth[k], k
         else:
             best[c] = best[c - 1]
-    out: dict[int, int] = defaultdict(int)
-    c = capacity
+    return best, took
+
+
+def _filled(k: int, lengths: np.ndarray, took: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[tuple[int, int], ...]:
+    """The best configuration that holds item k, as (item, copies), copies at most its count."""
+    out = {k: 1}
+    c = capacity - int(lengths[k])
     while c > 0:
-        if took[c] >= 0 and best[c] > best[c - 1]:
-            out[int(took[c])] += 1
-            c -= int(lengths[took[c]])
-        else:
+        i = int(took[c])
+        if i < 0 or out.get(i, 0) >= counts[i]:
             c -= 1
-    return {k: min(n, int(counts[k])) for k, n in out.items()}
+        else:
+            out[i] = out.get(i, 0) + 1
+            c -= int(lengths[i])
+    return tuple(sorted(out.items()))
 
 
 def configurations(hist: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[int, dict[int, int]]]:
-    """(sequences, {length: pieces in each}) covering the histogram exactly."""
+    """(sequences, {length: pieces in each}) that hold the histogram exactly, from the rounded program.
+
+    A round solves one knapsack and uses every configuration whose price is
+    within `slack` of the highest, each by `step` of what would cover its
+    scarcest length.
+    """
     left = dict(hist)
-    out: list[tuple[int, dict[int, int]]] = []
-    if full := left.pop(capacity, 0):
-        out.append((full, {capacity: 1}))
-    if left:
-        lengths = np.array(sorted(left))
-        counts = np.array([left[x] for x in lengths], float)
-        logw, uses = -np.log(counts), defaultdict(float)
-        covered = np.zeros(len(lengths))
-        for _ in range(rounds):
-            prices = np.exp(logw - logw.max())
-            config = knapsack(lengths, prices, counts, capacity)
-            if not config:
-                break
-            idx = np.fromiter(config, int)
-            copies = np.array([config[i] for i in idx], float)
-            width = float((counts[idx] / copies).min())  # uses that cover some length of it once
-            uses[tuple(sorted(config.items()))] += width * step
-            logw[idx] -= step * width * copies / counts[idx]
-            covered[idx] += step * width * copies / counts[idx]
-            if covered.min() >= 1 / step:
-                break
-        scale = 1 / max(1e-9, min(covered.max(), max(covered.mean(), covered.min())))
-        rest = counts.astype(np.int64)
-        for config, x in sorted(uses.items(), key=lambda kv: -kv[1]):
-            whole = min([int(x * scale), *(int(rest[i] // n) for i, n in config)])
-            used = sum(int(lengths[i]) * n for i, n in config)
-            if whole > 0 and used >= capacity - 1:
-                out.append((whole, {int(lengths[i]): n for i, n in config}))
-                for i, n in config:
-                    rest[i] -= whole * n
-        out += best_fit({int(x): int(n) for x, n in zip(lengths, rest, strict=True) if n}, capacity)
-    return out
+    full = left.pop(capacity, 0)
+    fixed = [(full, {capacity: 1})] if full else []
+    if not left:
+        return fixed
+    slack = 0.02
+    lengths = np.array(sorted(left))
+    counts = np.array([left[x] for x in lengths], float)
+    uses: dict[tuple, float] = defaultdict(float)
+    covered = np.zeros(len(lengths))
+    for _ in range(rounds):
+        prices = np.exp(-(covered - covered.min())) * lengths / capacity
+        best, took = knapsack(lengths, prices, capacity)
+        worth = prices + best[capacity - lengths]
+        for config in {_filled(int(k), lengths, took, counts, capacity) for k in np.flatnonzero(worth >= (1 - slack) * worth.max())}:
+            idx, copies = np.array(config).T
+            width = step * float((counts[idx] / copies).min())
+            uses[config] += width
+            covered[idx] += width * copies / counts[idx]
+    plans = [best_fit(left, capacity), *(_rounded(uses, s, lengths, counts, capacity) for s in (1 / covered.max(), 1 / covered.mean(), 1 / max(covered.min(), 1e-9)))]
+    return fixed + min(plans, key=lambda plan: sum(n for n, _ in plan))
+
+
+def _rounded(uses: dict, scale: float, lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """Whole uses of each configuration, as far as pieces last; the rest by best fit."""
+    rest, out = counts.astype(np.int64), []
+    for config, x in sorted(uses.items(), key=lambda kv: (-kv[1], kv[0])):
+        whole = min(int(x * scale), *(int(rest[i] // n) for i, n in config))
+        if whole > 0:
+            out.append((whole, {int(lengths[i]): n for i, n in config}))
+            for i, n in config:
+                rest[i] -= whole * n
+    return out + best_fit({int(x): int(n) for x, n in zip(lengths, rest, strict=True) if n}, capacity)
 
 
 def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
