@@ -6,7 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from clauseloom.llm import op1_sharding, op4_mixing, op5_token_counts, op8_exact_dedup, op9_token_files, op10_packing
+from clauseloom.llm import (
+    op1_sharding,
+    op4_mixing,
+    op5_token_counts,
+    op6_embedding_dedup,
+    op7_ngram_join,
+    op8_exact_dedup,
+    op9_token_files,
+    op10_packing,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +35,14 @@ def op5_token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_embedding_dedup.embedding_links(table(spark, sf_dir, "embeddings"))
+
+
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_exact_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
@@ -42,6 +59,8 @@ QUERIES = {
     "op1_sharding": op1_sharding_query,
     "op4_mix_sources": op4_mix_sources,
     "op5_token_counts": op5_token_counts_query,
+    "op6_embedding_links": op6_embedding_links,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup_query,
     "op9_token_files": op9_token_files_query,
     "op10_best_fit_packing": op10_best_fit_packing,
@@ -74,5 +93,35 @@ WITH n AS (
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = min(doc_id) OVER g AS kept, text_sha256
 FROM n WINDOW g AS (PARTITION BY text_sha256)
+""",
+    "op6_embedding_links": f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), n AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= {op6_embedding_dedup.THRESHOLD}
+), reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+comp AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a),
+deg AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, coalesce(c.c, e.vec_id) AS component_id, e.vec_id = coalesce(c.c, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN deg d ON d.a = e.vec_id LEFT JOIN comp c ON c.a = e.vec_id
+""",
+    "op7_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b, k = na.n AND k = nb.n AS same FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE k >= 0.8 * (na.n + nb.n - k) - 1e-9
+), reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+comp AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a),
+deg AS (SELECT a, count(*) AS n_links, count(*) FILTER (WHERE same) AS copies, min(b) FILTER (WHERE same) AS low FROM links GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_ngrams, coalesce(least(d.doc_id, deg.low), d.doc_id) AS class_id, coalesce(deg.copies, 0) + 1 AS class_size,
+       coalesce(deg.n_links, 0) AS n_links, coalesce(c.c, d.doc_id) AS component_id, d.doc_id = coalesce(c.c, d.doc_id) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN deg ON deg.a = d.doc_id LEFT JOIN comp c ON c.a = d.doc_id
 """,
 }
