@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 import public_tokenizers
 from clauseloom.llm import (
     op1_sharding,
+    op2_toxicity,
+    op3_line_quality,
     op4_mixing,
     op5_token_counts,
     op6_embedding_dedup,
@@ -27,6 +29,14 @@ def op1_sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "shard", F.col("depth").cast("int").alias("depth"), "shard_bytes", "alone")
 
 
+def op2_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_line_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -57,6 +67,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding_query,
+    "op2_toxicity_scores": op2_toxicity_scores,
+    "op3_quality_scores": op3_quality_scores,
     "op4_mix_sources": op4_mix_sources,
     "op5_token_counts": op5_token_counts_query,
     "op6_embedding_links": op6_embedding_links,
