@@ -3,8 +3,8 @@
 Offline, every string of the vocabulary is encoded by itself; those that come
 back as the one token they name are proven. A text is cut into the tokenizer's
 pre-tokens; a pre-token that is a proven string counts one without any merge, and
-only the others are merged, by the library. Equal stretches of text between
-spaces are counted once per worker and remembered in a bounded memo.
+only the others are merged, by the library. Counts of pre-tokens and of stretches
+of text between spaces are remembered per worker in bounded memos.
 
 Defined cases: a null or empty text has no tokens; a text with an added special
 token's string in it goes to the library whole, which by default reads that
@@ -16,14 +16,11 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.tokens import Memo, byte_chunks, load
+from clauseloom.llm.tokens import BYTE_LEVEL, ByteLevel, load
 
-#: The pre-token pattern that byte-level BPE files with use_regex mean; a fixed value of that format.
-PRE_TOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _WORKER: dict = {}
 
 
@@ -32,28 +29,24 @@ def proven_tokens(path: str) -> set[str]:
     tok = load(path)
     special = {t.content for t in tok.get_added_tokens_decoder().values()}
     named = [(i, tok.decode([i])) for i in range(tok.get_vocab_size())]
-    named = [(i, s) for i, s in named if s and s not in special and "�" not in s and PRE_TOKEN.fullmatch(s)]
+    named = [(i, s) for i, s in named if s and s not in special and "�" not in s and BYTE_LEVEL.fullmatch(s)]
     return {s for (i, s), e in zip(named, tok.encode_batch([s for _, s in named], add_special_tokens=False), strict=True) if e.ids == [i]}
 
 
-def counter(path: str, proven: set[str]):
-    """text -> number of tokens."""
-    tok = load(path)
-    special = [t.content for t in tok.get_added_tokens_decoder().values()]
-    find = PRE_TOKEN.findall
+class Counter(ByteLevel):
+    """text -> number of tokens; proven pre-tokens count one unmerged."""
 
-    def merged(part: str) -> int:
-        return sum(1 if t in proven else len(tok.encode(t, add_special_tokens=False).ids) for t in find(part))
+    def __init__(self, path: str, proven: set[str]):
+        super().__init__(path)
+        self.proven = proven
 
-    first, later = Memo(merged), Memo(lambda part: merged(" " + part))
+    def value(self, ids) -> int:
+        return len(ids)
 
-    def count(text: str) -> int:
-        if any(s in text for s in special):
-            return len(tok.encode(text, add_special_tokens=False).ids)
-        head, *rest = byte_chunks(text)
-        return first[head] + sum(map(later.__getitem__, rest))
+    join = staticmethod(sum)
 
-    return count
+    def learn(self, new: list[str]) -> dict:
+        return {p: 1 for p in new if p in self.proven} | super().learn([p for p in new if p not in self.proven])
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
@@ -62,7 +55,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     proof = docs.sparkSession.sparkContext.broadcast(proven_tokens(tokenizer))  # at most one string per vocabulary entry
 
     def run(batches):
-        count = _WORKER.get(tokenizer) or _WORKER.setdefault(tokenizer, counter(tokenizer, proof.value))
+        count = _WORKER.get(tokenizer) or _WORKER.setdefault(tokenizer, Counter(tokenizer, proof.value))
         for b in batches:
             texts = pc.fill_null(b.column(1), "")
             n = [count(t) for t in texts.to_pylist()]

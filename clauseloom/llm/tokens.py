@@ -1,38 +1,51 @@
-"""Token ids of whole texts by public tokenizer files, with chunks that repeat encoded once.
-
-A text is cut where the tokenizer's own pre-tokens always end, the distinct
-chunks go to the library once per worker, and a text's ids are the chunks' ids
-in order. Tests compare the result with the library on whole texts.
+"""Token ids and counts of whole texts by public tokenizer files, with what repeats encoded once.
+
+A text is cut into chunks at spaces where the tokenizer's pre-tokens always end,
+and chunks into pre-tokens. Values of chunks and pre-tokens are remembered per
+worker in memos of bounded size; only pre-tokens not seen go to the library, many
+in one call. A pre-token's ids don't depend on its surroundings, so a text's ids
+are its pre-tokens' ids in order. Texts with special tokens' strings or with
+white space that regular expression engines define differently go to the library
+whole. Tests compare all of it with the library on whole texts.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+import unicodedata
 from functools import cache
 
 import numpy as np
+import regex
 from tokenizers import Tokenizer
 
-#: A memo is emptied at this many chunks; longer chunks than MEMO_CHARS are not kept.
-MEMO_CHUNKS, MEMO_CHARS = 400_000, 48
+#: Entries of one generation of a memo; two are kept, so what was used lately survives. Longer keys than MEMO_CHARS are not kept.
+MEMO, MEMO_CHARS = 400_000, 48
+#: The pre-token patterns that the two kinds of file mean; fixed values of these formats.
+BYTE_LEVEL = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+WORD_LEVEL = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+""")
 _UNEVEN = re.compile(r" \s")
 _CUT = re.compile(r" (?=\S)")
+_UNCLEAR = re.compile("[\x1c-\x1f\x85 ᠎ -‏ -  ⁠　﻿]")
+_LATIN = re.compile("[^\x00-įĲ-ſ]")
 
 
 class Memo(dict):
-    """chunk -> value of make(chunk)."""
+    """key -> make(key), in two generations."""
 
-    def __init__(self, make: Callable[[str], object]):
+    def __init__(self, make, size: int = MEMO):
         super().__init__()
-        self.make = make
-
-    def __missing__(self, chunk: str):
-        value = self.make(chunk)
-        if len(chunk) <= MEMO_CHARS:
-            if len(self) >= MEMO_CHUNKS:
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= MEMO_CHARS:
+            if len(self) >= self.size:
+                self.old = dict(self)
                 self.clear()
-            self[chunk] = value
+            self[key] = value
         return value
 
 
@@ -53,29 +66,149 @@ def byte_chunks(text: str) -> list[str]:
     return _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
 
 
-@cache
-def byte_level_ids(path: str) -> Callable[[str], bytes]:
-    """Encoder of a byte-level BPE file: text -> ids as little-endian unsigned 32-bit integers."""
-    tok = load(path)
-    special = [t.content for t in tok.get_added_tokens_decoder().values()]
+class Encoder:
+    """text -> value, a value of a text being `join` of its pre-tokens' values."""
+
+    def __init__(self, path: str):
+        self.tok = load(path)
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.parts, self.parts_old = {}, {}
+        self.chunks, self.chunks_old = {}, {}
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def value(self, ids: np.ndarray):
+        return ids.tobytes()
+
+    join = staticmethod(b"".join)
+
+    def split(self, chunk: str) -> list[str]:
+        raise NotImplementedError
+
+    def learn(self, new: list[str]) -> None:
+        """Put the values of new pre-tokens into self.parts."""
+        raise NotImplementedError
+
+    def fill(self, chunks: list[str]) -> dict:
+        """A dict with the values of one text's chunks: from the memos, else by way of their pre-tokens."""
+        if len(self.chunks) > MEMO:
+            self.chunks, self.chunks_old = {}, self.chunks
+        known = self.chunks
+        missing = set(chunks).difference(known)
+        if not missing:
+            return known
+        old, plan, unseen = self.chunks_old, [], set()
+        for c in missing:
+            v = old.get(c)
+            if v is None:
+                pre = self.split(c)
+                plan.append((c, pre))
+                unseen.update(pre)
+            else:
+                known[c] = v
+        parts = self.values(unseen)
+        join = self.join
+        for c, pre in plan:
+            known[c] = join([parts[p] for p in pre])
+        if any(len(c) > MEMO_CHARS for c, _ in plan):  # of use for this text only
+            got = {c: known[c] for c in set(chunks)}
+            for c, _ in plan:
+                if len(c) > MEMO_CHARS:
+                    del known[c]
+            return got
+        return known
+
+    def values(self, pre: set[str]) -> dict:
+        """A dict with the values of pre-tokens."""
+        if len(self.parts) > MEMO:
+            self.parts, self.parts_old = {}, self.parts
+        known, old = self.parts, self.parts_old
+        new = []
+        for p in pre.difference(known):
+            v = old.get(p)
+            if v is None:
+                new.append(p)
+            else:
+                known[p] = v
+        if new:
+            made = self.learn(new)
+            if max(map(len, new)) > MEMO_CHARS:
+                return {p: made[p] if p in made else known[p] for p in pre} | {p: known.setdefault(p, v) for p, v in made.items() if len(p) <= MEMO_CHARS}
+            known.update(made)
+        return known
+
+
+class ByteLevel(Encoder):
+    """Byte-level BPE: a pre-token may begin with one space."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.width = np.array([len(self.tok.id_to_token(i) or "") for i in range(self.tok.get_vocab_size())])
+
+    def split(self, chunk: str) -> list[str]:
+        return BYTE_LEVEL.findall(" " + chunk)
+
+    def learn(self, new: list[str]) -> dict:
+        out, run = {}, []
+        for p in new:
+            if len(p) > 1 and p[0] == " " and not p[1].isspace():
+                run.append(p)
+            else:
+                out[p] = self.value(self.ids(p))
+        for at in range(0, len(run), 256):
+            some = run[at : at + 256]
+            ids = self.ids("".join(some))  # each begins with a space and a non-space, so they stay apart
+            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in some])
+            cuts = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
+            out |= {p: self.value(ids[a:b]) for p, a, b in zip(some, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)}
+        return out
+
+    def __call__(self, text: str):
+        if _UNCLEAR.search(text) or any(s in text for s in self.special):
+            return self.value(self.ids(text))
+        head, *rest = byte_chunks(text)
+        begin = BYTE_LEVEL.findall(head)
+        parts = self.values(set(begin))
+        first = self.join([parts[p] for p in begin])
+        return self.join([first, *map(self.fill(rest).__getitem__, rest)])
 
-    def ids(text: str) -> bytes:
-        return np.asarray(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    first, later = Memo(ids), Memo(lambda part: ids(" " + part))
+class WordLevel(Encoder):
+    """BPE with word ends on lower-cased words without white space."""
 
-    def encode(text: str) -> bytes:
-        if any(s in text for s in special):
-            return ids(text)
-        head, *rest = byte_chunks(text)
-        return first[head] + b"".join(map(later.__getitem__, rest))
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.last = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(self.tok.get_vocab_size())])
 
-    return encode
+    def split(self, chunk: str) -> list[str]:
+        return WORD_LEVEL.findall(chunk.lower())
+
+    def learn(self, new: list[str]) -> dict:
+        out = {}
+        for at in range(0, len(new), 256):
+            some = new[at : at + 256]
+            ids = self.ids(" ".join(some))
+            cuts = np.flatnonzero(self.last[ids]) + 1
+            if len(cuts) != len(some):
+                raise ValueError("words and word ends differ in number")
+            out |= {p: self.value(ids[a:b]) for p, a, b in zip(some, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)}
+        return out
+
+    def __call__(self, text: str):
+        if _UNCLEAR.search(text) or _LATIN.search(text) or any(s in text for s in self.special):
+            return self.value(self.ids(text))
+        chunks = unicodedata.normalize("NFC", text).split(" ")
+        return self.join(list(map(self.fill(chunks).__getitem__, chunks)))
+
+
+@cache
+def byte_level_ids(path: str) -> ByteLevel:
+    """text -> ids as little-endian unsigned 32-bit integers."""
+    return ByteLevel(path)
 
 
 @cache
-def word_level_ids(path: str) -> Callable[[str], bytes]:
-    """Encoder of a BPE file that drops white space: words never join over a space."""
-    tok = load(path)
-    memo = Memo(lambda part: np.asarray(tok.encode(part, add_special_tokens=False).ids, "<u4").tobytes())
-    return lambda text: b"".join(map(memo.__getitem__, text.split(" ")))
+def word_level_ids(path: str) -> WordLevel:
+    """text -> ids as little-endian unsigned 32-bit integers."""
+    return WordLevel(path)
