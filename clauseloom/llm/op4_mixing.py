@@ -215,13 +215,14 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows, spans = mix_plan(docs, id_col, text_col, source_col, **how)
     runs = spans.groupBy("no", "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("word_from", "word_to"))).alias("runs"), F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
     same = Window.partitionBy("id", "tie").orderBy("no", "start")
-    of = rows.where("size > 0").withColumn("copy", F.row_number().over(same)).join(runs, ["no", "start"]).select("id", "tie", "copy", "size", "runs", "taken", "epoch")
+    of = rows.where("size > 0").withColumn("copy", F.row_number().over(same)).join(runs, ["no", "start"])
+    of = of.select(*[F.col(c).alias(f"_of_{c}") for c in ("id", "tie", "copy", "size", "runs", "taken")])  # docs' columns may have any name
     keyed = docs.withColumn("_tie", F.xxhash64(F.col(text_col).cast("string")))
     keyed = keyed.withColumn("_copy", F.row_number().over(Window.partitionBy(id_col, "_tie").orderBy(F.xxhash64(*[c for c in docs.columns if c != text_col]))))
-    met = keyed.join(of, keyed[id_col].eqNullSafe(of["id"]) & (keyed["_tie"] == of["tie"]) & (keyed["_copy"] == of["copy"]))
+    met = keyed.join(of, keyed[id_col].eqNullSafe(of["_of_id"]) & (keyed["_tie"] == of["_of_tie"]) & (keyed["_copy"] == of["_of_copy"]))
     words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1))
-    picked = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(words, r["word_from"].cast("int") + 1, (r["word_to"] - r["word_from"]).cast("int")))), " ")
-    text = F.when(F.col("taken") == F.col("size"), F.col(text_col)).otherwise(picked)
+    picked = F.array_join(F.flatten(F.transform("_of_runs", lambda r: F.slice(words, r["word_from"].cast("int") + 1, (r["word_to"] - r["word_from"]).cast("int")))), " ")
+    text = F.when(F.col("_of_taken") == F.col("_of_size"), F.col(text_col)).otherwise(picked)
     new = met.withColumn("_new", text)
     out = [F.col("_new").alias(c) if c == text_col else F.length("_new").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return new.select(*out)
