@@ -716,9 +716,9 @@ def _grade_sql(t: str) -> tuple[str, str]:
     return tuple(f"CASE WHEN {n} > 0 THEN {x} END" for x in (fk, ar))
 
 
-@query("readability", f"SELECT doc_id, round({_grade_sql('text')[0]}, 6) AS fkgl, round({_grade_sql('text')[1]}, 6) AS ari FROM documents")
+@query("readability", f"SELECT doc_id, round({_grade_sql('text')[0]}, 9) AS fkgl, round({_grade_sql('text')[1]}, 9) AS ari FROM documents")
 def readability(spark, d):
-    return documents(spark, d).select("doc_id", F.round(rewrites.fkgl(c("text")), 6).alias("fkgl"), F.round(rewrites.ari(c("text")), 6).alias("ari"))
+    return documents(spark, d).select("doc_id", F.round(rewrites.fkgl(c("text")), 9).alias("fkgl"), F.round(rewrites.ari(c("text")), 9).alias("ari"))
 
 
 @query("rouge_l")
@@ -763,7 +763,14 @@ def exact_copies(spark, d):
     return rewrites.exact_copies(derive(spark, d, fx.REWRITES))
 
 
-@query("format_defects")
+def _counted(pattern: str) -> str:
+    return "count(*) FILTER (WHERE regexp_matches(output, '" + pattern.replace("(?iU)", "(?i)").replace("'", "''") + "'))"
+
+
+@query(
+    "format_defects",
+    f"SELECT model, {_counted(text.PREAMBLE)} AS n_preamble, {_counted(rewrites.BULLET)} AS n_bullets, {_counted(rewrites.LEAKED)} AS n_leaked_label FROM ({fx.REWRITES}) r GROUP BY 1",
+)
 def format_defects(spark, d):
     return rewrites.format_defects(derive(spark, d, fx.REWRITES))
 
