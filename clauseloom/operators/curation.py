@@ -14,9 +14,9 @@ MAX_INPUT = 20_000
 BOOST = {"contradiction": 1.5}
 
 
-def label_dim(df: DataFrame) -> DataFrame:
-    """The three labels as (gold_label_id, label)."""
-    return df.sparkSession.createDataFrame(list(enumerate(LABELS)), "gold_label_id int, label string")
+def each_label() -> Column:
+    """The three labels as rows (gold_label_id, label), for every row it is selected with."""
+    return F.inline(F.array(*[F.struct(F.lit(i).alias("gold_label_id"), F.lit(k).alias("label")) for i, k in enumerate(LABELS)]))
 
 
 def validate_provisions(df: DataFrame, max_len: int = MAX_INPUT) -> tuple[DataFrame, DataFrame]:
@@ -118,7 +118,7 @@ def leakage_report(eval_df: DataFrame, train: DataFrame, split: str = "split") -
 def label_distribution(df: DataFrame, by: str = "dataset") -> DataFrame:
     """Rows per set and label, zeros included."""
     counts = df.groupBy(by, "gold_label_id").agg(F.count(F.lit(1)).alias("n"))
-    frame = df.select(by).distinct().join(label_dim(df))  # a few sets by three labels
+    frame = df.select(by).distinct().select(by, each_label())
     return frame.join(counts, [by, "gold_label_id"], "left").select(by, "gold_label_id", "label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -130,11 +130,12 @@ def heldout_combined(internal: DataFrame, external: DataFrame) -> DataFrame:
 def class_weights(df: DataFrame, boost: dict[str, float] | None = None) -> DataFrame:
     """Per label, rows / (3 x its rows), an absent label counting one row, times its boost."""
     boost = BOOST if boost is None else boost
-    counts = df.where("gold_label_id is not null").groupBy("gold_label_id").agg(F.count(F.lit(1)).alias("n"))
-    whole = label_dim(df).join(counts, "gold_label_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    total = whole.agg(F.sum("n").alias("total"))  # one row
+    n = df.agg(*[F.count_if(F.col("gold_label_id") == i).alias(k) for i, k in enumerate(LABELS)])  # one row
+    counts = F.create_map(*[x for k in LABELS for x in (F.lit(k), F.col(k))])
+    whole = n.select(counts.alias("_n"), sum((F.col(k) for k in LABELS[1:]), F.col(LABELS[0])).alias("total")).select("_n", "total", each_label())
+    whole = whole.withColumn("n", F.col("_n")[F.col("label")])
     factor = F.lit(1.0)
     for k, v in boost.items():
         factor = F.when(F.col("label") == k, v).otherwise(factor)
     weight = F.col("total") / (len(LABELS) * F.greatest("n", F.lit(1))) * factor
-    return whole.join(F.broadcast(total)).select("gold_label_id", "label", "n", weight.alias("weight"))
+    return whole.select("gold_label_id", "label", "n", weight.alias("weight"))

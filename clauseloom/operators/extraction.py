@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions.legal import legal_flags
 from clauseloom.functions.text import clean_unit_text, is_blank, normalize_line, strip
+from clauseloom.plans.shared import fresh_path
 
 # Marks of sections, units and margin notes, and the share of a page that is margin.
 SECTION = r"^\d+[A-Z]?\."
@@ -123,11 +124,21 @@ def split_units(section_lines: DataFrame) -> DataFrame:
 
 
 def number_rows(df: DataFrame, doc: str, order: list[str], out: str) -> DataFrame:
-    """df with `out`, a running number from 1 over documents in order of id and rows in order: rows are numbered inside
-    their document and moved by the rows of the documents before, whose counts alone are summed in one order."""
+    """df with `out`, a running number from 1 over documents in order of id and rows in their order.
+
+    Rows are numbered inside their document. The documents' counts are ranged into
+    parts by id, summed inside each part, and moved by the sums of the parts before,
+    so that no window spans more than a part, or one row per part.
+    """
     inside = df.withColumn("_n", F.row_number().over(Window.partitionBy(doc).orderBy(*order)))
-    counts = df.groupBy(doc).agg(F.count(F.lit(1)).alias("_c"))
-    base = counts.select(F.col(doc), F.coalesce(F.sum("_c").over(Window.orderBy(doc).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    path = fresh_path(df.sparkSession, "counts")  # written once, so that both uses below see the same parts
+    df.groupBy(doc).agg(F.count(F.lit(1)).alias("_c")).repartitionByRange(doc).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    counts = df.sparkSession.read.parquet(path)
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum("_c").over(earlier(Window.partitionBy("_part").orderBy(doc))), F.lit(0))
+    parts = counts.groupBy("_part").agg(F.sum("_c").alias("_s"))
+    moved = parts.select("_part", F.coalesce(F.sum("_s").over(earlier(Window.orderBy("_part"))), F.lit(0)).alias("_before"))
+    base = counts.withColumn("_in", within).join(moved, "_part").select(doc, (F.col("_in") + F.col("_before")).alias("_base"))
     return inside.join(base, doc).withColumn(out, F.col("_base") + F.col("_n")).drop("_n", "_base")
 
 

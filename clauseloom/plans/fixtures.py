@@ -92,12 +92,11 @@ FROM (SELECT o_orderkey AS n, CAST(o_orderkey % 12 + 2 AS STRING) AS ms, CAST(o_
 """
 
 #: Rewrites of question and answer turns by three models: a copy, a cut, and one with a preamble.
-REWRITES = """
-SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS example_id, model, text AS source_text, lower(text) AS simple_text,
-  CASE model WHEN 'copy' THEN concat(text, ' ') WHEN 'cut' THEN substr(text, 1, 60) ELSE concat('Here is the simplified version: ', text) END AS output,
-  CAST(conv_id % 2 AS INT) AS has_exception
-FROM conversations CROSS JOIN (SELECT 'copy' AS model UNION ALL SELECT 'cut' UNION ALL SELECT 'talk') m WHERE text IS NOT NULL
-"""
+REWRITES = " UNION ALL ".join(
+    f"SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS example_id, '{model}' AS model, text AS source_text, lower(text) AS simple_text, "
+    f"{output} AS output, CAST(conv_id % 2 AS INT) AS has_exception FROM conversations WHERE text IS NOT NULL"
+    for model, output in (("copy", "concat(text, ' ')"), ("cut", "substr(text, 1, 60)"), ("talk", "concat('Here is the simplified version: ', text)"))
+)
 
 EPOCHS = """
 SELECT concat('r', CAST(c_nationkey AS STRING)) AS run, c_custkey * 10 AS step, CAST(c_custkey % 41 AS DOUBLE) / 64 AS eval_macro_f1 FROM customer
@@ -110,16 +109,19 @@ SELECT concat('e', CAST(event_id AS STRING)) AS run_id, ts, event_type,
   CASE WHEN event_id % 5 = 0 THEN 'fallback' ELSE 'success' END AS claim_status, concat('text ', CAST(event_id AS STRING)) AS simplified_text
 FROM events
 """
-RUN_CLAIMS = """
-SELECT concat('e', CAST(event_id AS STRING)) AS run_id, concat('C', CAST(k AS STRING)) AS claim_id,
-  CASE WHEN (event_id + k) % 31 = 0 THEN NULL ELSE concat('evidence ', CAST(k AS STRING)) END AS evidence_text,
-  CASE WHEN (event_id + k) % 31 = 0 THEN NULL WHEN (event_id + k) % 13 = 0 THEN 'full_provision' WHEN (event_id + k) % 17 = 0 THEN 'full_provision_ambiguity_fallback' ELSE 'lexical_overlap' END AS evidence_method,
-  (event_id + k) % 29 = 0 AS evidence_ambiguity,
-  CASE WHEN (event_id + k) % 37 = 0 THEN 'nli_input_too_long' WHEN (event_id + k) % 31 = 0 THEN 'no_evidence' ELSE NULL END AS verification_reason,
-  CASE WHEN (event_id * k) % 41 = 1 THEN 'unsupported_number' WHEN (event_id * k) % 41 = 2 THEN 'zero_lexical_overlap' ELSE NULL END AS extraction_warning,
-  CASE WHEN (event_id * k) % 43 = 1 THEN 'clear_modal_conflict' ELSE NULL END AS verification_warning
-FROM events CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) c WHERE event_id % 10 <> 0
+RUN_CLAIMS = " UNION ALL ".join(
+    f"""
+SELECT concat('e', CAST(event_id AS STRING)) AS run_id, concat('C', '{k}') AS claim_id,
+  CASE WHEN (event_id + {k}) % 31 = 0 THEN NULL ELSE concat('evidence ', '{k}') END AS evidence_text,
+  CASE WHEN (event_id + {k}) % 31 = 0 THEN NULL WHEN (event_id + {k}) % 13 = 0 THEN 'full_provision' WHEN (event_id + {k}) % 17 = 0 THEN 'full_provision_ambiguity_fallback' ELSE 'lexical_overlap' END AS evidence_method,
+  (event_id + {k}) % 29 = 0 AS evidence_ambiguity,
+  CASE WHEN (event_id + {k}) % 37 = 0 THEN 'nli_input_too_long' WHEN (event_id + {k}) % 31 = 0 THEN 'no_evidence' ELSE NULL END AS verification_reason,
+  CASE WHEN (event_id * {k}) % 41 = 1 THEN 'unsupported_number' WHEN (event_id * {k}) % 41 = 2 THEN 'zero_lexical_overlap' ELSE NULL END AS extraction_warning,
+  CASE WHEN (event_id * {k}) % 43 = 1 THEN 'clear_modal_conflict' ELSE NULL END AS verification_warning
+FROM events WHERE event_id % 10 <> 0
 """
+    for k in (1, 2, 3)
+)
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
