@@ -43,8 +43,8 @@ def write_pages(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Pages as a table, or (fmt "text") as one text with page headers."""
     if fmt != "text":
         return _write(df, path, fmt)
-    text = F.concat(F.lit("--- PAGE "), F.col("page").cast("string"), F.lit(" ---\n\n"), F.col("text"), F.lit("\n\n"))
-    return df.repartitionByRange("doc_id", "page").sortWithinPartitions("doc_id", "page").select(text.alias("value")).write.text(path, lineSep="")
+    text = F.concat(F.lit("--- PAGE "), F.col("page").cast("string"), F.lit(" ---\n\n"), F.col("text"), F.lit("\n"))
+    return df.repartitionByRange("doc_id", "page").sortWithinPartitions("doc_id", "page").select(text.alias("value")).write.text(path)
 
 
 def write_candidates(df: DataFrame, path: str, fmt: str = "parquet") -> None:
