@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +18,20 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices, so that only a few hundred texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of undirected edges: (node, component), component the smallest node.
 
     Alternates large-star and small-star rounds. Each round is a group-by on
-    the node and a join back, written to the shared folder; hubs are reduced
-    by map-side minimums and their joins can be split by AQE. Nodes without an
+    the node and a join back. Hubs are reduced by map-side minimums, and the
+    minimums are tables of their own, so that the join back of a hub is one
+    whose large side can be split. Nodes without an
     edge to another node do not appear. Null ends are ignored.
     """
     now = settle(
@@ -32,9 +43,9 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = settle(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "lowest")
+        large = settle(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+        low2 = settle(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = (
             large.join(low2, "u")
             .where("v != m")

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import running_total, settle
-from clauseloom.llm.tokens import byte_level_ids
+from clauseloom.llm.common import running_total, settle, small
+from clauseloom.llm.tokens import byte_level_ids, only
 
 CAPACITY, ROUNDS, STEP = 1024, 120, 0.1
 
@@ -146,8 +146,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode = byte_level_ids(tokenizer)
-        for b in batches:
+        encode = only(byte_level_ids(tokenizer))
+        for b in small(batches):
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 ids = encode(text or "") + end

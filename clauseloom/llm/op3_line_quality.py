@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clauseloom.llm.common import small
 from clauseloom.llm.labelled import held_out, platt, sample, sigmoid
 
 TRAIN_ROWS, FOLDS, HELD_OUT = 5000, 5, 0
@@ -168,16 +169,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
-            texts, parts, part, size = [t or "" for t in b.column(1).to_pylist()], [], [], 0
-            for t in texts:  # a few MB of text at a time
-                part.append(t)
-                size += len(t)
-                if size > 1 << 22:
-                    parts.append(field.score(part))
-                    part, size = [], 0
-            parts.append(field.score(part))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(parts), pa.float64())], ["id", "score"])
+        for b in small(batches):
+            score = field.score([t or "" for t in b.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64())], ["id", "score"])
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, score double")
     return rows.select(F.col("id").alias(id_col), held_out("id", FOLDS, HELD_OUT).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
@@ -188,7 +182,7 @@ def line_labels(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
             x, n_lines, _ = line_features(texts)
             p = forward_backward(x @ field.w, n_lines, field.trans, field.first)[0][:, 1]

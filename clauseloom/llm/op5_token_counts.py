@@ -19,7 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.tokens import BYTE_LEVEL, ByteLevel, load
+from clauseloom.llm.common import small
+from clauseloom.llm.tokens import BYTE_LEVEL, ByteLevel, load, only
 
 _WORKER: dict = {}
 
@@ -49,14 +50,21 @@ class Counter(ByteLevel):
         return {p: 1 for p in new if p in self.proven} | super().learn([p for p in new if p not in self.proven])
 
 
+def counter(path: str, proof) -> Counter:
+    """This worker's counter, made once from the broadcast proof."""
+    if path not in _WORKER:
+        _WORKER[path] = Counter(path, proof.value)
+    return only(_WORKER[path])
+
+
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """One row per input row: id, n_bytes, n_tokens, over_limit. `tokenizer` is the path of a byte-level BPE file on every node."""
     kind = docs.schema[id_col].dataType.simpleString()
     proof = docs.sparkSession.sparkContext.broadcast(proven_tokens(tokenizer))  # at most one string per vocabulary entry
 
     def run(batches):
-        count = _WORKER.get(tokenizer) or _WORKER.setdefault(tokenizer, Counter(tokenizer, proof.value))
-        for b in batches:
+        count = counter(tokenizer, proof)
+        for b in small(batches):
             texts = pc.fill_null(b.column(1), "")
             n = [count(t) for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays(

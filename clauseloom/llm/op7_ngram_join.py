@@ -26,9 +26,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import connected, settle
+from clauseloom.llm.common import connected, settle, small
 from clauseloom.llm.pairs import link_groups
-from clauseloom.llm.tokens import Memo
+from clauseloom.llm.tokens import Memo, only
 
 WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 5
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -54,6 +54,11 @@ def _words_of(part: str) -> bytes:
 _MEMO = Memo(_words_of)
 
 
+def begin() -> None:
+    """At a task's start. Tasks name this function and not the memo, which would travel with them."""
+    only(_MEMO)
+
+
 def ngrams(text: str | None, n: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of n words."""
     w = np.frombuffer(b"".join(map(_MEMO.__getitem__, (text or "").split(" "))), "<u8")
@@ -79,7 +84,8 @@ def _signer(n: int, bands: int, rows: int):
     b = rng.integers(0, 2**63, bands * rows).astype(_U64)
 
     def run(batches):
-        for batch in batches:
+        begin()
+        for batch in small(batches):
             keys, bands_out, sizes = [], [], []
             for text in batch.column(1).to_pylist():
                 g = ngrams(text, n)
@@ -104,7 +110,8 @@ def _payloads(n: int):
     """The n-gram set behind each member's band hashes; rows whose text isn't the member's set are left out."""
 
     def run(batches):
-        for batch in batches:
+        begin()
+        for batch in small(batches):
             keep, load = [], []
             for i, (text, key, bands) in enumerate(zip(batch.column("text").to_pylist(), batch.column("set_key").to_pylist(), batch.column("bands").to_pylist(), strict=True)):
                 g = ngrams(text, n)

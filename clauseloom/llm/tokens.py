@@ -20,7 +20,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Entries of one generation of a memo; two are kept, so what was used lately survives. Longer keys than MEMO_CHARS are not kept.
-MEMO, MEMO_CHARS = 400_000, 48
+MEMO, MEMO_CHARS = 250_000, 48
 #: The pre-token patterns that the two kinds of file mean; fixed values of these formats.
 BYTE_LEVEL = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 WORD_LEVEL = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+""")
@@ -30,12 +30,28 @@ _UNCLEAR = re.compile("[\x1c-\x1f\x85 ᠎ -‏ -  ⁠　﻿]")
 _LATIN = re.compile("[^\x00-įĲ-ſ]")
 
 
+_LIVE: list = []
+
+
+def only(owner):
+    """owner, with the memos of all other operators emptied: a worker outlives many stages, its memos must not add up."""
+    for memo in _LIVE:
+        if memo is not owner:
+            memo.forget()
+    return owner
+
+
 class Memo(dict):
     """key -> make(key), in two generations."""
 
     def __init__(self, make, size: int = MEMO):
         super().__init__()
         self.make, self.size, self.old = make, size, {}
+        _LIVE.append(self)
+
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
 
     def __missing__(self, key: str):
         value = self.old.get(key)
@@ -72,6 +88,10 @@ class Encoder:
     def __init__(self, path: str):
         self.tok = load(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.forget()
+        _LIVE.append(self)
+
+    def forget(self) -> None:
         self.parts, self.parts_old = {}, {}
         self.chunks, self.chunks_old = {}, {}
 
