@@ -189,7 +189,8 @@ def mix_plan(
     )
     block_from = F.col("block_no") * block
     parts = parts.withColumn("word_from", F.greatest(F.lit(0), block_from - F.col("start"))).withColumn("word_to", F.least("size", block_from + block - F.col("start")))
-    met = slots.join(parts, ["no", "block_no"]).withColumn(
+    # Spark can't tell how many slots the draws make, so it must not take them for a table to broadcast.
+    met = slots.hint("merge").join(parts, ["no", "block_no"]).withColumn(
         "word_to", F.least("word_to", F.least(block_from + block, F.col("source_size")) - F.col("cut") - F.col("start"))
     )
     spans = met.where("word_to > word_from").select(
