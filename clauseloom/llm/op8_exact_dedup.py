@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import settle
+from clauseloom.llm.common import settle, small
 
 _UNEVEN = re.compile(r"[ \t-\r]{2,}|[\t-\r]")
 _GEAR = np.random.default_rng(20240611).integers(0, 2**32, 256, dtype=np.uint32)
@@ -66,7 +66,7 @@ def _hash(chunk: bytes, size: int) -> bytes:
 
 def _recipes(size: int):
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             sha, recipe = [], []
             for text in b.column(1).to_pylist():
                 data = normalise(text)
@@ -81,7 +81,7 @@ def _chunk_rows(size: int):
     """Distinct (hash, chunk) of each batch."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             seen = {(_hash(c, size), c) for text in b.column(1).to_pylist() for c in chunks(normalise(text))}
             yield pa.RecordBatch.from_arrays(
                 [pa.array([h for h, _ in seen], pa.binary()), pa.array([c for _, c in seen], pa.binary())], ["hash", "chunk"]
@@ -92,7 +92,7 @@ def _chunk_rows(size: int):
 
 def _listed_chunks(size: int):
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             rows = [
                 (i, hashlib.sha256(data).hexdigest(), at, _hash(c, size), c)
                 for i, text in enumerate(b.column(1).to_pylist())
@@ -112,8 +112,10 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = settle(narrow.mapInArrow(_recipes(hash_bytes), f"id {kind}, sha string, recipe binary"), "recipes")
 
-    repeated = rows.groupBy("recipe").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and length(recipe) > 0")
-    again = rows.join(repeated.select("recipe"), "recipe", "left_semi").select("id").distinct()
+    repeated = settle(
+        rows.groupBy("recipe").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"), "repeated"
+    )
+    again = rows.join(repeated.where("length(recipe) > 0").select("recipe"), "recipe", "left_semi").select("id").distinct()
     texts = narrow.join(again.hint("shuffle_hash"), narrow["id"].eqNullSafe(again["id"]), "left_semi")
     clash = settle(
         texts.mapInArrow(_chunk_rows(hash_bytes), "hash binary, chunk binary")
@@ -123,7 +125,7 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("hash"),
         "clashes",
     )
-    rows = rows.withColumn("key", F.col("recipe"))
+    rows, groups = rows.withColumn("key", F.col("recipe")), repeated.withColumnRenamed("recipe", "key")
     if not clash.isEmpty():  # one hash names several chunks: list the chunks of those texts by (hash, ordinal)
         listed = texts.mapInArrow(_listed_chunks(hash_bytes), f"id {kind}, sha string, at int, hash binary, chunk binary")
         listed = listed.dropDuplicates(["id", "sha", "at"])
@@ -144,10 +146,14 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             .join(verified.alias("v"), F.expr("r.id <=> v.id and r.sha = v.sha"), "left")
             .selectExpr("r.id", "r.sha", "coalesce(v.verified, r.recipe) as key")
         )
-    groups = rows.groupBy("key").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(groups, "key").select(
-        F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
-    )
+        groups = settle(rows.groupBy("key").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"), "groups")
+    # Groups are a table by now, so that a join with a hot group is one whose large side can be split.
+    met = rows.join(groups, "key", "left")
+    keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
+    return met.select(
+        F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.col("id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"),
+    )
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
