@@ -34,14 +34,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import settle
-from clauseloom.llm.tokens import word_level_ids
+from clauseloom.llm.common import settle, small
+from clauseloom.llm.tokens import only, word_level_ids
 from clauseloom.plans.shared import fresh_path
 
 # Fixed values of the seekable zstandard format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES = 256 * 1024
-ROWS_PER_FILE = 50_000
+ROWS_PER_FILE = 10_000
 
 
 class FrameWriter:
@@ -130,8 +130,8 @@ def write_token_files(
     def run(batches):
         from pyspark import TaskContext
 
-        encode, writer, path, n_ids, out = word_level_ids(tokenizer), None, None, 0, None
-        for b in batches:
+        encode, writer, path, n_ids, out = only(word_level_ids(tokenizer)), None, None, 0, None
+        for b in small(batches):
             for key, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if writer is None:
                     fs, base = pafs.FileSystem.from_uri(folder)
