@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,13 +17,18 @@ def held_out(id_col: str, folds: int, out: int) -> F.Column:
     return F.coalesce(fold(id_col, folds) == out, F.lit(False))
 
 
+def highest(labels: DataFrame, label: str, id_col: str, folds: int, out: int) -> DataFrame:
+    """_id and _y, the larger label, of ids outside the held-out fold; null labels don't count."""
+    usable = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, folds, out))
+    return usable.groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, out: int, rows: int, id_col: str, text_col: str, also: list[str]) -> list:
     """At most `rows` labelled documents outside the held-out fold, the first by a hash of the id: (label, text, *also).
 
     A document labelled more than once has the larger label; null labels don't count.
     """
-    usable = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, folds, out))
-    chosen = usable.groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    chosen = highest(labels, label, id_col, folds, out).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     met = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"])  # `rows` rows at most
     got = met.select("_y", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *[F.col(c).alias(f"_{c}") for c in also], "_id")
     return got.orderBy(F.xxhash64("_id"), F.xxhash64("_text")).limit(rows).collect()
@@ -48,10 +54,10 @@ def platt(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]
     return float(w[0]), float(w[1])
 
 
-def best_threshold(score: np.ndarray, y: np.ndarray) -> float:
-    """The midpoint between neighbouring scores with the highest F1, the largest of equals' range middle."""
-    order = np.argsort(-score, kind="stable")
-    s, hit = score[order], np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(s) + 1) + y.sum())
-    k = int(f1.argmax())
-    return float((s[k] + (s[k + 1] if k + 1 < len(s) else 0)) / 2)
+def best_bin(counts: pd.DataFrame, per_unit: int) -> float:
+    """The score between neighbouring bins (rows n, of them hits; per_unit bins for each unit of log-odds) with the highest F1."""
+    c = counts.groupby("bin")[["n", "hits"]].sum().sort_index(ascending=False)
+    hit = c["hits"].to_numpy().cumsum()
+    k = int((2 * hit / (c["n"].to_numpy().cumsum() + hit[-1])).argmax())
+    low = sigmoid(c.index[k] / per_unit)
+    return float((low + (sigmoid((c.index[k + 1] + 1) / per_unit) if k + 1 < len(c) else 0)) / 2)

@@ -5,9 +5,15 @@ embeddings of itself and of its first four and five letters, so inflected forms
 share what was learned; filters of several widths slide over the whole text, each
 keeps its maximum, and a linear layer scores the maxima. Gradients flow through the winning windows only. It is
 fitted on the driver on a bounded sample of labelled rows (`TRAIN_ROWS`), a fifth
-of which is kept for calibration: a logistic fit makes the score a probability,
-and a decision threshold is chosen for every language with enough labelled rows,
-else over all. Language decides the threshold only, never the score.
+of which is kept for a logistic fit that makes the score a probability. Decision
+thresholds are chosen from all labelled rows outside the held-out fold that the
+fit did not see, scored in tasks and counted by language and score bin. Language
+decides the threshold only, never the score.
+
+A language's threshold has the highest F1 on its own counts and on those of all
+languages, the latter at the weight of `PRIOR` toxic rows, so it follows its own
+labels more the more there are. A null language, and one without such labelled
+rows, has the threshold of all.
 
 In tasks, embedding times filter is a table per hashed word, so scoring a text is
 lookups, shifted sums and maxima over all its words.
@@ -23,19 +29,22 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from clauseloom.llm.common import small
-from clauseloom.llm.labelled import best_threshold, held_out, platt, sample, sigmoid
+from clauseloom.llm.common import settle, small
+from clauseloom.llm.labelled import best_bin, held_out, highest, platt, sample, sigmoid
 from clauseloom.llm.tokens import Memo, only
 
 TRAIN_ROWS, FOLDS, HELD_OUT = 6000, 4, 2
 BUCKETS, DIM, WIDTHS, FILTERS, STEMS = 1 << 17, 8, (1, 2, 3), 4, (4, 5)
 EPOCHS, BATCH, RATE, SEED = 4, 64, 0.05, 99
-MIN_LANGUAGE = 15
+#: Toxic rows that the counts of all languages weigh as in a language's threshold; score bins for each unit of log-odds.
+PRIOR, BINS = 5, 256
 #: The contract's fixed cut for `predicted`.
 CUT = 0.3
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -83,7 +92,7 @@ class Model:
         self.B = {w: np.zeros(FILTERS) for w in WIDTHS}
         self.U = rng.normal(0, 0.1, len(WIDTHS) * FILTERS)
         self.c, self.a, self.b = 0.0, 1.0, 0.0
-        self.threshold, self.thresholds = 0.5, {}
+        self.threshold, self.thresholds, self.fit_ids = 0.5, {}, []
 
     def fit(self, ids: list[bytes], y: np.ndarray) -> None:
         """Adagrad on the logistic loss; embeddings start from the words' smoothed log-odds in one of their dimensions."""
@@ -182,43 +191,67 @@ def logits(tables: dict, ids: list[bytes], words: int = 1 << 15) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:
-    got = sample(docs, labels, label, FOLDS, HELD_OUT, rows, id_col, text_col, [lang_col])
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
+    """The fitted classifier; `fit_ids` are the ids that it learned from. Thresholds come from `set_thresholds`."""
+    got = sample(docs, labels, label, FOLDS, HELD_OUT, rows, id_col, text_col, [])
     ids, y = [word_ids(r[1]) for r in got], np.array([r[0] for r in got], float)
     check = np.arange(len(got)) % 5 == 4
     model = Model()
     if y[~check].size and 0 < y[~check].sum() < (~check).sum():
         model.fit([x for x, c in zip(ids, check, strict=True) if not c], y[~check])
-        z = logits(model.tables(), [x for x, c in zip(ids, check, strict=True) if c])
-        yc, langs = y[check], np.array([r[2] or "" for r in got])[check]
-        model.a, model.b = platt(z, yc)
-        s = sigmoid(model.a * z + model.b)
-        if yc.sum():
-            model.threshold = best_threshold(s, yc)
-            for lang in np.unique(langs):
-                mine = langs == lang
-                if MIN_LANGUAGE <= yc[mine].sum() < mine.sum():
-                    model.thresholds[str(lang)] = best_threshold(s[mine], yc[mine])
+        model.fit_ids = sorted({r["_id"] for r, c in zip(got, check, strict=True) if not c})
+        model.a, model.b = platt(logits(model.tables(), [x for x, c in zip(ids, check, strict=True) if c]), y[check])
     else:
         model.a, model.b = platt(np.zeros(len(y)), y)
-        model.threshold = 1.0 if not y.sum() else 0.5
     return model
 
 
+def set_thresholds(model: Model, scored: DataFrame, labels: DataFrame, label: str = "toxic") -> None:
+    """From scored rows (id, lang, score): the threshold of all and of each language, one row a language to the driver."""
+    known = highest(labels, label, scored.columns[0], FOLDS, HELD_OUT)
+    rows = scored.toDF("_id", "lang", "score").join(known, "_id")
+    if model.fit_ids:
+        fit = scored.sparkSession.createDataFrame([(x,) for x in model.fit_ids], scored.select(F.col(scored.columns[0]).alias("_id")).schema)
+        rows = rows.join(F.broadcast(fit), "_id", "left_anti")  # TRAIN_ROWS ids at most
+    odds = F.log(F.col("score") / (1 - F.col("score")))
+    counts = settle(rows.groupBy("lang", F.floor(odds * BINS).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("hits")), "bins")
+    every = counts.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).toPandas()  # at most 60 BINS + 1 rows
+    toxic = int(every["hits"].sum())
+    model.thresholds = {}
+    if not toxic:
+        model.threshold = 1.0
+        return
+    model.threshold = float(best_bin(every, BINS))
+    weight = min(1.0, PRIOR / toxic)
+    prior = every.assign(n=every["n"] * weight, hits=every["hits"] * weight)
+
+    def run(key, own):
+        return pd.DataFrame({"lang": [key[0]], "cut": [best_bin(pd.concat([own[["bin", "n", "hits"]], prior]), BINS)]})
+
+    own = counts.where("lang is not null").groupBy("lang").applyInPandas(run, "lang string, cut double")
+    model.thresholds = {r["lang"]: r["cut"] for r in own.collect()}
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None) -> DataFrame:
     """One row per input row: id, held_out, score, predicted, threshold (its language's), toxic (score at or above it)."""
-    model = model or train(docs, labels, id_col, text_col, lang_col=lang_col)
+    model = model or train(docs, labels, id_col, text_col)
     tables = docs.sparkSession.sparkContext.broadcast(model.tables())  # BUCKETS rows
-    scored = _scored(docs.select(F.col(id_col), F.col(text_col).cast("string"), F.col(lang_col).alias("lang")), tables, id_col)
-    cut = F.lit(model.threshold)
-    for lang, t in sorted(model.thresholds.items()):
-        cut = F.when(F.col("lang") == lang, t).otherwise(cut)
+    scored = settle(_scored(docs.select(F.col(id_col), F.col(text_col).cast("string"), F.col(lang_col).cast("string").alias("lang")), tables, id_col), "scores")
+    set_thresholds(model, scored.withColumnRenamed("id", id_col), labels)
+    cut = _threshold(model, "lang")
     return scored.select(
         F.col("id").alias(id_col), held_out("id", FOLDS, HELD_OUT).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"),
         cut.alias("threshold"), (F.col("score") >= cut).alias("toxic"),
     )
 
 
+def _threshold(model: Model, lang_col: str) -> F.Column:
+    if not model.thresholds:
+        return F.lit(model.threshold)
+    by_lang = F.create_map(*[F.lit(x) for pair in sorted(model.thresholds.items()) for x in pair])
+    return F.coalesce(F.element_at(by_lang, F.col(lang_col).cast("string")), F.lit(model.threshold))
+
+
 def _score_batches(tables):
     def run(texts: list) -> pa.Array:
         begin()
@@ -239,17 +272,21 @@ def _scored(rows: DataFrame, tables, id_col: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without those at or above their language's threshold, with all their columns; no shuffle."""
-    model = train(docs, labels, id_col, text_col, lang_col=lang_col)
+    """docs without those at or above their language's threshold, with all their columns.
+
+    Every text is scored once: docs are written with their scores, as thresholds are known only after all scores.
+    """
+    model = train(docs, labels, id_col, text_col)
     tables = docs.sparkSession.sparkContext.broadcast(model.tables())
     score = _score_batches(tables)
-    overall, by_lang = model.threshold, dict(model.thresholds)
-    at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
+    at, name = docs.columns.index(text_col), "_score"
+    while name in docs.columns:
+        name += "_"
 
     def run(batches):
         for b in small(batches):
-            s = score(b.column(at).to_pylist()).to_numpy()
-            cut = np.array([by_lang.get(x, overall) for x in b.column(lang_at).to_pylist()])
-            yield b.filter(pa.array(s < cut))
+            yield pa.RecordBatch.from_arrays([*b.columns, score(b.column(at).to_pylist())], [*b.schema.names, name])
 
-    return docs.mapInArrow(run, docs.schema)
+    scored = settle(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())])), "scored")
+    set_thresholds(model, scored.select(id_col, F.col(lang_col).cast("string"), name), labels)
+    return scored.where(F.col(name) < _threshold(model, lang_col)).select(*docs.columns)

@@ -161,6 +161,26 @@ def test_toxicity(spark):
     assert op2.toxicity_scores(docs.limit(0), labels).collect() == []
 
 
+def test_every_language_has_a_threshold_from_all_its_labels(spark):
+    """One vile word is toxic in English, three are in the rarer language, of which a sample of 200 holds few toxic rows."""
+    rng, rows = np.random.default_rng(8), []
+    for i in range(4000):
+        rare, vile = i % 20 == 0, int(rng.integers(4)) if i % 3 == 0 else 0
+        words = [f"w{k}" for k in rng.integers(300, size=30)] + [f"vile{k}" for k in range(vile)]
+        rows.append((i, " ".join(words), "s", "es" if rare else None if i % 20 == 1 else "en", int(vile == 3 if rare else vile > 0)))
+    docs, labels = frame(spark, [r[:4] for r in rows]), spark.createDataFrame([(r[0], r[4]) for r in rows], "doc_id long, toxic int")
+    model = op2.train(docs, labels, rows=200)
+    got = {r.doc_id: r for r in op2.toxicity_scores(docs, labels, model=model).collect()}
+    assert set(model.thresholds) == {"en", "es"} and model.thresholds["es"] > model.thresholds["en"]
+    assert {r.threshold for i, r in got.items() if rows[i][3] is None} == {model.threshold}
+    assert {r.threshold for i, r in got.items() if rows[i][3] == "es"} == {model.thresholds["es"]}
+    # the labels that the thresholds come from: all outside the held-out fold that the fit did not see
+    y = {i: t for i, *_, t in rows if not got[i].held_out and i not in set(model.fit_ids)}
+    assert len(model.fit_ids) == 160 and len(y) > 2500
+    f1 = lambda cut: 2 * sum(t for i, t in y.items() if got[i].score >= cut) / (sum(y.values()) + sum(got[i].score >= cut for i in y))
+    assert f1(model.threshold) >= max(f1(got[i].score) for i in list(y)[::10]) - 0.005
+
+
 def test_quality(spark):
     docs, labels = labelled(spark)
     got = op3.quality_scores(docs, labels).collect()
