@@ -79,6 +79,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    # Covers texts up to the shard limit whose hashes part them: it has no row for a larger text (the query returns it
+    # with alone = true) and none for shards that chained buckets make. tests/llm checks both by brute force.
     "op1_sharding": f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
