@@ -3,8 +3,8 @@
 A file holds whole documents in ascending id order. Frame: the ids of one or more
 documents as little-endian unsigned 32-bit integers, compressed alone, with
 zstandard's own content checksum; a document is never split over frames. After
-the frames comes a skippable frame with the documents' ids and lengths
-(compressed), then, last, the seek table of the published seekable zstandard
+the frames comes a skippable frame with the documents' ids, lengths,
+frames and marks of null ids (compressed), then, last, the seek table of the published seekable zstandard
 format: compressed size, decompressed size and XXH64 checksum of every frame, so
 a reader seeks to the frames of the documents it is asked for, decompresses only
 these and verifies each.
@@ -50,7 +50,7 @@ class FrameWriter:
     def __init__(self, out, frame_bytes: int = FRAME_BYTES, level: int = 3):
         self.out, self.limit = out, frame_bytes
         self.zip = zstandard.ZstdCompressor(level=level, write_checksum=True)
-        self.table, self.lengths, self.keys, self.frames, self.held, self.size = [], [], [], [], [], 0
+        self.table, self.lengths, self.keys, self.nulls, self.frames, self.held, self.size = [], [], [], [], [], [], 0
 
     def add(self, key: int | None, ids: bytes) -> None:
         if self.size and self.size + len(ids) > self.limit:
@@ -58,6 +58,7 @@ class FrameWriter:
         self.held.append(ids)
         self.size += len(ids)
         self.keys.append(-1 if key is None else key)
+        self.nulls.append(key is None)
         self.lengths.append(len(ids) // 4)
         self.frames.append(len(self.table))
 
@@ -71,7 +72,7 @@ class FrameWriter:
     def close(self) -> None:
         if self.held:
             self._flush()
-        index = self.zip.compress(np.array([self.keys, self.lengths, self.frames], "<i8").tobytes())
+        index = self.zip.compress(np.array([self.keys, self.lengths, self.frames, self.nulls], "<i8").tobytes())
         self.out.write(struct.pack("<II", SKIPPABLE_INDEX, len(index)) + index)
         n = len(self.table)
         self.out.write(struct.pack("<II", SKIPPABLE_SEEK, 12 * n + 9))
@@ -96,7 +97,8 @@ class FrameReader:
         if magic != SKIPPABLE_INDEX:
             raise ValueError("no document index behind the frames")
         self.zip = zstandard.ZstdDecompressor()
-        self.keys, self.lengths, self.frames = np.frombuffer(self.zip.decompress(src.read(size)), "<i8").reshape(3, -1)
+        self.keys, self.lengths, self.frames, nulls = np.frombuffer(self.zip.decompress(src.read(size)), "<i8").reshape(4, -1)
+        self.nulls = nulls == 1  # their keys read -1, which is an id too
         ends = np.cumsum(self.lengths)
         self.starts = ends - self.lengths  # ids of this file before each document
         self.in_frame = self.starts - np.concatenate([[0], np.cumsum(self.table[:, 1] // 4, dtype=np.int64)])[self.frames]
@@ -165,7 +167,7 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
                     r = FrameReader(src)
                     crc = [zlib.crc32(r.document(i)) for i in range(len(r.keys))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r.keys, mask=r.keys == -1), pa.array(r.starts + base), pa.array(r.lengths), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"]
+                    [pa.array(r.keys, mask=r.nulls), pa.array(r.starts + base), pa.array(r.lengths), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"]
                 )
 
     n = max(1, spark.sparkContext.defaultParallelism)

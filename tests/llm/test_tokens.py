@@ -85,6 +85,12 @@ def test_files_round_trip(spark):
     assert op9_token_files.token_file_report(frame(spark, []), WORD).collect() == []
 
 
+def test_minus_one_is_an_id(spark):
+    docs = spark.createDataFrame([(-1, "a b"), (None, "c"), (0, "d"), (-2, "e")], "doc_id long, text string")
+    got = op9_token_files.token_file_report(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [-2, -1, 0] and len(got) == 4
+
+
 def test_readers_open_only_what_is_asked(tmp_path):
     docs = [np.random.default_rng(i).integers(0, 49_000, 2000 + i, dtype=np.uint32).tobytes() for i in range(40)]
     with open(tmp_path / "f", "wb") as out:
