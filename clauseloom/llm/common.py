@@ -18,11 +18,17 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in slices, so that only a few hundred texts are Python objects at a time."""
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of at most `rows` rows and `size` bytes (a larger row alone), so that few texts are Python objects at a time."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        todo = [b.slice(at, rows) for at in range(b.num_rows - 1 - (b.num_rows - 1) % rows, -1, -rows)]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and part.nbytes > size:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
 
 
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:

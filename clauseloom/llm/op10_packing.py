@@ -6,10 +6,10 @@ counted. Over that histogram (at most `capacity` entries, whatever the corpus)
 the covering program "fewest sequences so that every length is covered" is solved
 by multiplicative weights: a length's price falls exponentially with the share
 of it that is covered, and a knapsack dynamic program finds the configurations of
-the highest price. The fractional solution is rounded down to whole sequences at
-three scales, what is left goes, longest first, into the tightest open sequences,
-and the rounding with the fewest sequences is taken. Pieces of
-a length are numbered by distributed prefix sums and look up their place by
+the highest price. The fractional solution is rounded to whole sequences, the
+pieces that the rounding leaves have a program of their own, and so on; the few
+that the last one leaves go, longest first, into the tightest open sequences.
+Pieces of a length are numbered by distributed prefix sums and look up their place by
 number, so nothing but the histogram and the configurations leaves the tasks.
 
 Defined cases: a null text is empty and has the end id alone; equal documents are
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from clauseloom.llm.common import running_total, settle, small
 from clauseloom.llm.tokens import byte_level_ids, only
 
-CAPACITY, ROUNDS, STEP = 1024, 120, 0.1
+CAPACITY, ROUNDS, STEP = 1024, 40, 0.1
+#: Prices this much below the highest are used in a round too; the least filling of a used configuration, against the best with the same longest piece.
+SLACK, FILL = 0.02, 0.99
 
 
 def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,19 +62,14 @@ def _filled(k: int, lengths: np.ndarray, took: np.ndarray, counts: np.ndarray, c
     return tuple(sorted(out.items()))
 
 
-def configurations(hist: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[int, dict[int, int]]]:
-    """(sequences, {length: pieces in each}) that hold the histogram exactly, from the rounded program.
+def solve(left: dict[int, int], capacity: int, rounds: int = ROUNDS, step: float = STEP) -> tuple[np.ndarray, np.ndarray, dict[tuple, float]]:
+    """(lengths, counts, uses): a fractional cover of the histogram by configurations, as uses of each.
 
     A round solves one knapsack and uses every configuration whose price is
-    within `slack` of the highest, each by `step` of what would cover its
-    scarcest length.
+    within SLACK of the highest, each by `step` of what would cover its scarcest
+    length; in the end all uses are scaled so that the least covered length is
+    covered once.
     """
-    left = dict(hist)
-    full = left.pop(capacity, 0)
-    fixed = [(full, {capacity: 1})] if full else []
-    if not left:
-        return fixed
-    slack = 0.02
     lengths = np.array(sorted(left))
     counts = np.array([left[x] for x in lengths], float)
     uses: dict[tuple, float] = defaultdict(float)
@@ -81,25 +78,61 @@ def configurations(hist: dict[int, int], capacity: int = CAPACITY, rounds: int =
         prices = np.exp(-(covered - covered.min())) * lengths / capacity
         best, took = knapsack(lengths, prices, capacity)
         worth = prices + best[capacity - lengths]
-        for config in {_filled(int(k), lengths, took, counts, capacity) for k in np.flatnonzero(worth >= (1 - slack) * worth.max())}:
+        for config in {_filled(int(k), lengths, took, counts, capacity) for k in np.flatnonzero(worth >= (1 - SLACK) * worth.max())}:
             idx, copies = np.array(config).T
             width = step * float((counts[idx] / copies).min())
             uses[config] += width
             covered[idx] += width * copies / counts[idx]
-    plans = [best_fit(left, capacity), *(_rounded(uses, s, lengths, counts, capacity) for s in (1 / covered.max(), 1 / covered.mean(), 1 / max(covered.min(), 1e-9)))]
-    return fixed + min(plans, key=lambda plan: sum(n for n, _ in plan))
+    least = covered.min()
+    if least <= 0:  # so few rounds that a length was never used: what is used keeps its share
+        least = covered[covered > 0].min()
+    return lengths, counts, {c: x / least for c, x in uses.items()}
+
 
+def rounded(lengths: np.ndarray, counts: np.ndarray, uses: dict[tuple, float], capacity: int) -> tuple[list[tuple[int, dict[int, int]]], dict[int, int]]:
+    """Whole uses of the configurations, and the pieces that these leave.
 
-def _rounded(uses: dict, scale: float, lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """Whole uses of each configuration, as far as pieces last; the rest by best fit."""
-    rest, out = counts.astype(np.int64), []
-    for config, x in sorted(uses.items(), key=lambda kv: (-kv[1], kv[0])):
-        whole = min(int(x * scale), *(int(rest[i] // n) for i, n in config))
+    A configuration is used if it is filled to FILL of the best with the same longest
+    piece. Uses are rounded by their running sum, those with the longest piece first, so
+    many small uses are not all rounded to none; a use takes no more pieces than last.
+    """
+    rest, out, carry = counts.astype(np.int64), [], 0.0
+    fill = {c: sum(int(lengths[i]) * n for i, n in c) for c in uses}
+    best = {c[-1][0]: f for c, f in sorted(fill.items(), key=lambda cf: cf[1])}
+    for config in sorted((c for c in uses if fill[c] >= FILL * best[c[-1][0]]), key=lambda c: (-c[-1][0], -fill[c], -uses[c], c)):
+        carry += uses[config]
+        whole = min(int(carry), *(int(rest[i] // n) for i, n in config))
+        carry -= int(carry)
         if whole > 0:
             out.append((whole, {int(lengths[i]): n for i, n in config}))
             for i, n in config:
                 rest[i] -= whole * n
-    return out + best_fit({int(x): int(n) for x, n in zip(lengths, rest, strict=True) if n}, capacity)
+    return out, {int(x): int(n) for x, n in zip(lengths, rest, strict=True) if n}
+
+
+def program(hist: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[int, dict[int, int]]], dict[int, int]]:
+    """(sequences, {length: pieces in each}) of the rounded programs, and the pieces left.
+
+    What one rounding leaves is a smaller histogram with a program of its own, until
+    a rounding places fewer than a tenth of the pieces that it got.
+    """
+    left = dict(hist)
+    full = left.pop(capacity, 0)
+    out = [(full, {capacity: 1})] if full else []
+    while left:
+        got, rest = rounded(*solve(left, capacity, rounds), capacity)
+        out += got
+        before, after = sum(left.values()), sum(rest.values())
+        left = rest
+        if before - after < before / 10:
+            break
+    return out, left
+
+
+def configurations(hist: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, dict[int, int]]]:
+    """(sequences, {length: pieces in each}) that hold the histogram exactly: the program's, and best fit for the few pieces it leaves."""
+    out, left = program(hist, capacity, rounds)
+    return out + best_fit(left, capacity)
 
 
 def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -149,8 +182,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         encode = only(byte_level_ids(tokenizer))
         for b in small(batches):
             row, piece, start, length, crc, kept = [], [], [], [], [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                ids = encode(text or "") + end
+            for i, ids in enumerate(encode.many([t or "" for t in b.column(1).to_pylist()])):
+                ids += end
                 n = len(ids) // 4
                 cut = n % capacity or capacity
                 edges = [0, *range(cut, n + 1, capacity)]

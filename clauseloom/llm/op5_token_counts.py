@@ -14,13 +14,14 @@ ignored.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.llm.common import small
-from clauseloom.llm.tokens import BYTE_LEVEL, ByteLevel, load, only
+from clauseloom.llm.tokens import BYTE_LEVEL, RUN, ByteLevel, sizes, load, only
 
 _WORKER: dict = {}
 
@@ -35,19 +36,44 @@ def proven_tokens(path: str) -> set[str]:
 
 
 class Counter(ByteLevel):
-    """text -> number of tokens; proven pre-tokens count one unmerged."""
+    """Texts -> numbers of tokens. New chunks are cut into pre-tokens: proven ones count one unmerged, the library merges the rest."""
+
+    join = staticmethod(sum)
 
     def __init__(self, path: str, proven: set[str]):
         super().__init__(path)
         self.proven = proven
 
-    def value(self, ids) -> int:
-        return len(ids)
-
-    join = staticmethod(sum)
+    def whole(self, text: str) -> int:
+        return len(self.ids(text))
 
     def learn(self, new: list[str]) -> dict:
-        return {p: 1 for p in new if p in self.proven} | super().learn([p for p in new if p not in self.proven])
+        proven, out, todo = self.proven, {}, {}
+        for c in new:
+            if c.startswith(self.MARK):
+                out[c] = self.whole(c[1:])
+                continue
+            word = " " + c
+            if word in proven:
+                out[c] = 1
+                continue
+            pre = [word] if c.isalpha() else BYTE_LEVEL.findall(word)
+            rest = [p for p in pre if p not in proven]
+            out[c] = len(pre) - len(rest)
+            for p in rest:
+                todo.setdefault(p, []).append(c)
+        spaced = [p for p in todo if p[0] == " " and len(p) > 1 and not p[1].isspace()]  # joined, these stay apart
+        for p in todo.keys() - set(spaced):
+            n = self.whole(p)
+            for c in todo[p]:
+                out[c] += n
+        for at in range(0, len(spaced), RUN):
+            some = spaced[at : at + RUN]
+            _, cuts = self.parts("".join(some), np.cumsum(sizes(some)), self.width)
+            for p, n in zip(some, np.diff(cuts, prepend=0).tolist(), strict=True):
+                for c in todo[p]:
+                    out[c] += n
+        return out
 
 
 def counter(path: str, proof) -> Counter:
@@ -66,7 +92,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         count = counter(tokenizer, proof)
         for b in small(batches):
             texts = pc.fill_null(b.column(1), "")
-            n = [count(t) for t in texts.to_pylist()]
+            n = count.many(texts.to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 ["id", "n_bytes", "n_tokens", "over_limit"],

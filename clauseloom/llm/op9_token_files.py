@@ -134,14 +134,14 @@ def write_token_files(
 
         encode, writer, path, n_ids, out = only(word_level_ids(tokenizer)), None, None, 0, None
         for b in small(batches):
-            for key, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for key, ids in zip(b.column(0).to_pylist(), encode.many(b.column(1).to_pylist()), strict=True):
                 if writer is None:
                     fs, base = pafs.FileSystem.from_uri(folder)
                     fs.create_dir(base, recursive=True)
                     path = f"ids-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.zst"
                     out = fs.open_output_stream(f"{base}/{path}", compression=None)
                     writer = FrameWriter(out)
-                ids = encode(words) + end
+                ids += end
                 n_ids += len(ids) // 4
                 writer.add(key, ids)
         if writer:

@@ -1,16 +1,17 @@
 """Token ids and counts of whole texts by public tokenizer files, with what repeats encoded once.
 
-A text is cut into chunks at spaces where the tokenizer's pre-tokens always end,
-and chunks into pre-tokens. Values of chunks and pre-tokens are remembered per
-worker in memos of bounded size; only pre-tokens not seen go to the library, many
-in one call. A pre-token's ids don't depend on its surroundings, so a text's ids
-are its pre-tokens' ids in order. Texts with special tokens' strings or with
-white space that regular expression engines define differently go to the library
-whole. Tests compare all of it with the library on whole texts.
+A text is cut into chunks at spaces where the tokenizer's pre-tokens always end, so
+a text's ids are its chunks' ids in order. Values of chunks are remembered per
+worker in a memo bounded in bytes; the chunks of a whole slice of texts that it
+doesn't hold go to the library together, many in one call, and the bytes that each
+token stands for tell which ids are whose. Texts with special tokens' strings or
+with white space that regular expression engines define differently go to the
+library whole. Tests compare all of it with the library on whole texts.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from functools import cache
@@ -19,11 +20,14 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Entries of one generation of a memo; two are kept, so what was used lately survives. Longer keys than MEMO_CHARS are not kept.
-MEMO, MEMO_CHARS = 250_000, 48
-#: The pre-token patterns that the two kinds of file mean; fixed values of these formats.
+#: Bytes of one generation of a memo; two are kept, so what was used lately survives. Longer keys than MEMO_CHARS are not kept.
+MEMO_BYTES, MEMO_CHARS = 64 << 20, 48
+#: What an entry takes besides its key's and value's own bytes: two objects' heads and a dict's slot.
+ENTRY_BYTES = 200
+#: Chunks that go to the library in one call.
+RUN = 128
+#: The pre-token pattern of byte-level files; a fixed value of the format.
 BYTE_LEVEL = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-WORD_LEVEL = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+""")
 _UNEVEN = re.compile(r" \s")
 _CUT = re.compile(r" (?=\S)")
 _UNCLEAR = re.compile("[\x1c-\x1f\x85 ᠎ -‏ -  ⁠　﻿]")
@@ -42,15 +46,15 @@ def only(owner):
 
 
 class Memo(dict):
-    """key -> make(key), in two generations."""
+    """key -> make(key), in two generations bounded in bytes."""
 
-    def __init__(self, make, size: int = MEMO):
+    def __init__(self, make):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.old, self.held = make, {}, 0
         _LIVE.append(self)
 
     def forget(self) -> None:
-        self.old = {}
+        self.old, self.held = {}, 0
         self.clear()
 
     def __missing__(self, key: str):
@@ -58,32 +62,27 @@ class Memo(dict):
         if value is None:
             value = self.make(key)
         if len(key) <= MEMO_CHARS:
-            if len(self) >= self.size:
-                self.old = dict(self)
+            if self.held >= MEMO_BYTES:
+                self.old, self.held = dict(self), 0
                 self.clear()
             self[key] = value
+            self.held += ENTRY_BYTES + len(key) + len(value)
         return value
 
 
 @cache
 def load(path: str) -> Tokenizer:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
     return tok
 
 
-def byte_chunks(text: str) -> list[str]:
-    """Parts of a text between single spaces before a non-space; each but the first stands for ' ' + part.
-
-    Byte-level pre-tokens put one space before a word, and split off the white
-    space in front of that space, so none crosses such a cut.
-    """
-    return _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
-
-
 class Encoder:
-    """text -> value, a value of a text being `join` of its pre-tokens' values."""
+    """Texts -> values; a value of a text is `join` of its chunks' values. `cut` and `learn` depend on the kind of file."""
+
+    join = staticmethod(b"".join)
 
     def __init__(self, path: str):
         self.tok = load(path)
@@ -92,135 +91,120 @@ class Encoder:
         _LIVE.append(self)
 
     def forget(self) -> None:
-        self.parts, self.parts_old = {}, {}
-        self.chunks, self.chunks_old = {}, {}
-
-    def ids(self, text: str) -> np.ndarray:
-        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
+        self.now, self.old, self.held = {}, {}, 0
 
-    def value(self, ids: np.ndarray):
-        return ids.tobytes()
-
-    join = staticmethod(b"".join)
+    def __call__(self, text: str):
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list:
+        """The values of texts, in order."""
+        cut = [None if self.unclear(t) else self.cut(t) for t in texts]
+        known, long = self.known(set().union(*(c for c in cut if c)))
+        out = [self.whole(t) if c is None else self.join(map(known.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
+        for c in long:
+            del known[c]
+        return out
 
-    def split(self, chunk: str) -> list[str]:
-        raise NotImplementedError
-
-    def learn(self, new: list[str]) -> None:
-        """Put the values of new pre-tokens into self.parts."""
-        raise NotImplementedError
-
-    def fill(self, chunks: list[str]) -> dict:
-        """A dict with the values of one text's chunks: from the memos, else by way of their pre-tokens."""
-        if len(self.chunks) > MEMO:
-            self.chunks, self.chunks_old = {}, self.chunks
-        known = self.chunks
-        missing = set(chunks).difference(known)
-        if not missing:
-            return known
-        old, plan, unseen = self.chunks_old, [], set()
-        for c in missing:
+    def known(self, chunks: set) -> tuple[dict, list]:
+        """The memo with all of the chunks in it, and those of them that are too long to stay."""
+        if self.held >= MEMO_BYTES:
+            self.now, self.old, self.held = {}, self.now, 0
+        now, old, new = self.now, self.old, []
+        for c in chunks.difference(now):
             v = old.get(c)
             if v is None:
-                pre = self.split(c)
-                plan.append((c, pre))
-                unseen.update(pre)
+                new.append(c)
             else:
-                known[c] = v
-        parts = self.values(unseen)
-        join = self.join
-        for c, pre in plan:
-            known[c] = join([parts[p] for p in pre])
-        if any(len(c) > MEMO_CHARS for c, _ in plan):  # of use for this text only
-            got = {c: known[c] for c in set(chunks)}
-            for c, _ in plan:
-                if len(c) > MEMO_CHARS:
-                    del known[c]
-            return got
-        return known
-
-    def values(self, pre: set[str]) -> dict:
-        """A dict with the values of pre-tokens."""
-        if len(self.parts) > MEMO:
-            self.parts, self.parts_old = {}, self.parts
-        known, old = self.parts, self.parts_old
-        new = []
-        for p in pre.difference(known):
-            v = old.get(p)
-            if v is None:
-                new.append(p)
-            else:
-                known[p] = v
+                now[c] = v
+                self.held += ENTRY_BYTES + 5 * len(c)
         if new:
-            made = self.learn(new)
-            if max(map(len, new)) > MEMO_CHARS:
-                return {p: made[p] if p in made else known[p] for p in pre} | {p: known.setdefault(p, v) for p, v in made.items() if len(p) <= MEMO_CHARS}
-            known.update(made)
-        return known
+            now.update(self.learn(new))
+            self.held += ENTRY_BYTES * len(new) + 5 * sum(map(len, new))
+        return now, [c for c in new if len(c) > MEMO_CHARS]
+
+    def unclear(self, text: str) -> bool:
+        return bool(_UNCLEAR.search(text)) or any(s in text for s in self.special)
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def whole(self, text: str):
+        return self.ids(text).tobytes()
+
+    def parts(self, joined: str, ends: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """The ids of a joined text and how many of them come up to each of `ends`, in bytes."""
+        ids = self.ids(joined)
+        at = np.cumsum(width[ids])
+        cuts = np.searchsorted(at, ends)
+        if len(at) != cuts[-1] + 1 or (at[cuts] != ends).any():
+            raise ValueError("tokens and chunks end at different bytes")
+        return ids, (cuts + 1).tolist()
+
+
+def sizes(chunks: list[str]) -> np.ndarray:
+    return np.array([len(c) if c.isascii() else len(c.encode("utf-8", "surrogatepass")) for c in chunks])
 
 
 class ByteLevel(Encoder):
-    """Byte-level BPE: a pre-token may begin with one space."""
+    """Byte-level BPE: one space before a word belongs to it.
+
+    White space in front of that space is split off, so no pre-token crosses a
+    single space before a non-space. A chunk stands for ' ' + chunk; a text's first
+    chunk, which has no space before it, is kept under MARK + chunk.
+    """
+
+    MARK = "\0"
 
     def __init__(self, path: str):
         super().__init__(path)
         self.width = np.array([len(self.tok.id_to_token(i) or "") for i in range(self.tok.get_vocab_size())])
 
-    def split(self, chunk: str) -> list[str]:
-        return BYTE_LEVEL.findall(" " + chunk)
+    def unclear(self, text: str) -> bool:
+        return self.MARK in text or super().unclear(text)
+
+    def cut(self, text: str) -> list[str]:
+        chunks = _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
+        chunks[0] = self.MARK + chunks[0]
+        return chunks
 
     def learn(self, new: list[str]) -> dict:
-        out, run = {}, []
-        for p in new:
-            if len(p) > 1 and p[0] == " " and not p[1].isspace():
-                run.append(p)
-            else:
-                out[p] = self.value(self.ids(p))
-        for at in range(0, len(run), 256):
-            some = run[at : at + 256]
-            ids = self.ids("".join(some))  # each begins with a space and a non-space, so they stay apart
-            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in some])
-            cuts = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
-            out |= {p: self.value(ids[a:b]) for p, a, b in zip(some, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)}
+        out = {c: self.whole(c[1:]) for c in new if c.startswith(self.MARK)}
+        rest = [c for c in new if not c.startswith(self.MARK)] if out else new
+        for at in range(0, len(rest), RUN):
+            some = rest[at : at + RUN]
+            ids, cuts = self.parts(" " + " ".join(some), np.cumsum(sizes(some) + 1), self.width)
+            raw, a = ids.tobytes(), 0
+            for c, b in zip(some, cuts, strict=True):
+                out[c] = raw[4 * a : 4 * b]
+                a = b
         return out
 
-    def __call__(self, text: str):
-        if _UNCLEAR.search(text) or any(s in text for s in self.special):
-            return self.value(self.ids(text))
-        head, *rest = byte_chunks(text)
-        begin = BYTE_LEVEL.findall(head)
-        parts = self.values(set(begin))
-        first = self.join([parts[p] for p in begin])
-        return self.join([first, *map(self.fill(rest).__getitem__, rest)])
-
 
 class WordLevel(Encoder):
-    """BPE with word ends on lower-cased words without white space."""
+    """BPE with word ends on lower-cased words; chunks are what white space parts."""
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.last = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(self.tok.get_vocab_size())])
+        names = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())]
+        self.width = np.array([len(x.removesuffix("</w>")) for x in names])
 
-    def split(self, chunk: str) -> list[str]:
-        return WORD_LEVEL.findall(chunk.lower())
+    def unclear(self, text: str) -> bool:
+        return bool(_LATIN.search(text)) or super().unclear(text)
+
+    def cut(self, text: str) -> list[str]:
+        return (text if text.isascii() else unicodedata.normalize("NFC", text)).split()
 
     def learn(self, new: list[str]) -> dict:
         out = {}
-        for at in range(0, len(new), 256):
-            some = new[at : at + 256]
-            ids = self.ids(" ".join(some))
-            cuts = np.flatnonzero(self.last[ids]) + 1
-            if len(cuts) != len(some):
-                raise ValueError("words and word ends differ in number")
-            out |= {p: self.value(ids[a:b]) for p, a, b in zip(some, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)}
+        for at in range(0, len(new), RUN):
+            some = new[at : at + RUN]
+            ids, cuts = self.parts(" ".join(some), np.cumsum(sizes([c.lower() for c in some])), self.width)
+            raw, a = ids.tobytes(), 0
+            for c, b in zip(some, cuts, strict=True):
+                out[c] = raw[4 * a : 4 * b]
+                a = b
         return out
 
-    def __call__(self, text: str):
-        if _UNCLEAR.search(text) or _LATIN.search(text) or any(s in text for s in self.special):
-            return self.value(self.ids(text))
-        chunks = unicodedata.normalize("NFC", text).split(" ")
-        return self.join(list(map(self.fill(chunks).__getitem__, chunks)))
-
 
 @cache
 def byte_level_ids(path: str) -> ByteLevel:
