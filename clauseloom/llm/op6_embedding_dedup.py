@@ -13,8 +13,9 @@ brute force is in the README and in the tests.
 
 Defined cases: a vector that is null, zero or holds null or non-finite components
 links with nothing and keeps its row, so does one whose label or id is null;
-vectors of another length link with nothing of this one; an empty table gives an
-empty result; other columns are ignored.
+vectors of another length link with nothing of this one; rows that repeat an id
+are vectors of their own, whatever they hold; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,12 @@ def _usable(vec: str) -> F.Column:
     return F.col(vec).isNotNull() & fine & F.exists(vec, lambda x: x != 0)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, by their largest component first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _project(seed: int, bits: int):
     """Adds the pass's key: hyperplane signs, the first the most significant; planes depend on the vector's length only."""
 
@@ -50,7 +57,7 @@ def _project(seed: int, bits: int):
                 at = np.flatnonzero(size == s)
                 x = np.frombuffer(b"".join(f["vec"].iloc[at]), "<f8").reshape(len(at), -1)
                 planes = np.random.default_rng([SEED, seed, x.shape[1]]).standard_normal((x.shape[1], bits))
-                keys[at] = (x @ planes > 0) @ (np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64))
+                keys[at] = (_unit(x) @ planes > 0) @ (np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64))
             yield f.assign(key=keys)
 
     return run
@@ -69,7 +76,7 @@ def _windows(window: int, threshold: float):
             node, label, size = both["node"].to_numpy(), both["label"].to_numpy(), both["vec"].str.len().to_numpy()
             width = int(size.max())
             x = np.frombuffer(b"".join(v.ljust(width, b"\0") for v in both["vec"]), "<f8").reshape(len(both), -1)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            x = _unit(x)
             out = []
             for d in range(1, min(window, len(both) - 1) + 1):
                 near = (np.einsum("ij,ij->i", x[:-d], x[d:]) >= threshold) & (label[:-d] == label[d:]) & (size[:-d] == size[d:])
@@ -102,13 +109,12 @@ def _thin(e: pd.DataFrame) -> pd.DataFrame:
 
 
 def _cosine(threshold: float):
-    def compare(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    def compare(_, left: list[bytes], right: list[bytes]) -> np.ndarray:
         out = np.zeros((len(left), len(right)), bool)
         ls, rs = np.array([len(v) for v in left]), np.array([len(v) for v in right])
         for s in np.intersect1d(ls, rs):
             i, j = np.flatnonzero(ls == s), np.flatnonzero(rs == s)
-            unit = [np.frombuffer(b"".join(side[k] for k in at), "<f8").reshape(len(at), -1) for side, at in ((left, i), (right, j))]
-            unit = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in unit]
+            unit = [_unit(np.frombuffer(b"".join(side[k] for k in at), "<f8").reshape(len(at), -1)) for side, at in ((left, i), (right, j))]
             out[np.ix_(i, j)] = unit[0] @ unit[1].T >= threshold
         return out
 
@@ -128,20 +134,23 @@ def embedding_links(
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
     fit = F.coalesce(_usable("vec") & F.col("label").isNotNull() & F.col("id").isNotNull(), F.lit(False))
     packed = settle(rows.where(fit).mapInPandas(_pack, "id long, label string, vec binary"), "vectors")
-    classes = settle(packed.groupBy("label", "vec").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")), "classes")
+    same = packed.groupBy("label", "vec").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    classes = settle(same.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbers are fixed by the table
     n = max(1, -(-classes.count() // ROWS_PER_TASK))
     edges = None
     for k in range(passes):
-        keyed = classes.select("node", "label", "vec").mapInPandas(_project(k, BITS), "node long, label string, vec binary, key long")
-        ordered = keyed.repartitionByRange(n, "label", "key", "node").sortWithinPartitions("label", "key", "node")
+        keyed = classes.select("node", "low", "label", "vec").mapInPandas(_project(k, BITS), "node long, low long, label string, vec binary, key long")
+        ordered = keyed.repartitionByRange(n, "label", "key", "low").sortWithinPartitions("label", "key", "low")
         found = settle(ordered.mapInPandas(_windows(window, threshold), "a long, b long"), "pass")
         edges = found if edges is None else edges.unionByName(found)
     parts = settle(connected(edges, "a", "b"), "components")
     members = classes.join(parts, "node").select(F.col("component").alias("grp"), "node", "copies", F.octet_length("vec").cast("long").alias("weight"), F.col("vec").alias("payload"))
     found = settle(link_groups(members, _cosine(threshold), 512, 16 << 20), "links")
     others = found.where("kind = 'n'").groupBy("node").agg(F.sum("value").alias("others"))
-    whole = classes.join(others, "node", "left").join(parts, "node", "left").select(
-        "label", "vec", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id")
+    met = classes.join(others, "node", "left").join(parts, "node", "left")
+    lowest = met.where("component is not null").groupBy("component").agg(F.min("low").alias("lowest"))
+    whole = met.join(lowest, "component", "left").select(
+        "label", "vec", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("lowest", "low").alias("component_id")
     )
     done = packed.join(whole, ["label", "vec"]).select("id", "n_links", "component_id")
     alone = rows.where(~fit).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))

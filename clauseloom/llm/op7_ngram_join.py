@@ -1,19 +1,21 @@
 """Self-join of texts by n-gram Jaccard similarity: MinHash banding, then full n-gram sets.
 
 A text's n-grams are its runs of five words (letters and digits, lower case).
-Texts with the same n-gram set form a class and are represented once. A class's
-MinHash signature is cut into bands; bands and rows are chosen so that a pair at
-the threshold is met with at least the target recall. Classes that share a band
-hash are tied to the smallest of the bucket, the ties' components are candidate
-groups, and inside each group all classes that share a band are compared on their
-full n-gram sets, in blocks (see pairs). Links between classes count all their
-copies; copies of one class link with each other.
+Texts with the same n-gram set form a class, named by a 128-bit hash of the set,
+and are represented once. A class's MinHash signature is cut into bands; bands and
+rows are chosen so that a pair at the threshold is met with at least the target
+recall. Classes with equal hashes of a band are a bucket. A bucket's pairs belong
+to it only if no earlier band's bucket has them, which band hashes alone tell, so
+first the members of such pairs are found by ids and band hashes (in blocks, see
+pairs), and only for these n-gram sets are joined and compared in full. Chains of
+buckets are never taken together. Links between classes count all their copies;
+copies of one class link with each other.
 
 Defined cases: a null text, and any text with fewer than five words, has no
 n-grams and links with nothing; a null id links with nothing and keeps its row;
-rows that repeat id and text count as copies of each other; an empty table
-gives an empty result; other columns are ignored, or passed on by
-`drop_near_duplicates`.
+rows that repeat an id are documents of their own, with the same text copies of
+each other, with another text whatever that text is; an empty table gives an empty
+result; other columns are ignored, or passed on by `drop_near_duplicates`.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.llm.common import connected, settle, small
-from clauseloom.llm.pairs import link_groups
+from clauseloom.llm.pairs import blocks, by_node, dealt, link_units, spread, units
 from clauseloom.llm.tokens import Memo, only
 
 WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 5
@@ -100,49 +102,76 @@ def _signer(n: int, bands: int, rows: int):
                     h = _mix(h * _U64(0x9E3779B97F4A7C15) + sig[:, k])
                 bands_out.append(h.view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands_out, pa.list_(pa.int64()))], ["id", "n_ngrams", "set_key", "bands"]
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands_out, pa.list_(pa.int64())), batch.column(2)],
+                ["id", "n_ngrams", "node", "bands", "tie"],
             )
 
     return run
 
 
+def _first_met(bands: int, threshold: float):
+    """Of each unit of a bucket, the rows with a partner that no earlier band meets and whose set is near enough in size."""
+
+    def run(batches):
+        for (grp, i, j), left, right, one in units(batches, by_node):
+            if not left or not right or (one and len(left) < 2):
+                continue
+            met = _unmet(grp, [r[5] for r in left], [r[5] for r in right], bands)
+            met &= _sizes_fit(np.array([r[6] for r in left]), np.array([r[6] for r in right]), threshold)
+            if one:
+                np.fill_diagonal(met, False)
+            out = [r for r, m in zip(left, met.any(axis=1).tolist(), strict=True) if m] + ([] if one else [r for r, m in zip(right, met.any(axis=0).tolist(), strict=True) if m])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()])], ["grp", "i", "j", "right", "node"])
+
+    return run
+
+
+def _unmet(band: int, left: list[bytes], right: list[bytes], bands: int) -> np.ndarray:
+    """Pairs of a bucket, all equal in `band`, that are equal in no band before it."""
+    a, b = (np.frombuffer(b"".join(x[: 8 * bands] for x in side), ">i8").reshape(-1, bands) for side in (left, right))
+    out = np.ones((len(a), len(b)), bool)
+    for k in range(int(np.flatnonzero(a[0] == band)[0])):
+        out &= a[:, k][:, None] != b[:, k][None, :]
+    return out
+
+
+def _sizes_fit(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    return np.minimum.outer(a, b) >= threshold * np.maximum.outer(a, b) - 1e-9
+
+
 def _payloads(n: int):
-    """The n-gram set behind each member's band hashes; rows whose text isn't the member's set are left out."""
+    """The n-gram set behind each class's band hashes; rows whose text isn't the class's set are left out."""
 
     def run(batches):
         begin()
         for batch in small(batches):
             keep, load = [], []
-            for i, (text, key, bands) in enumerate(zip(batch.column("text").to_pylist(), batch.column("set_key").to_pylist(), batch.column("bands").to_pylist(), strict=True)):
+            for i, (text, key, bands) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "node", "bands")), strict=True)):
                 g = ngrams(text, n)
                 if hashlib.blake2b(g.tobytes(), digest_size=16).digest() == key:
                     keep.append(i)
-                    load.append(np.asarray(bands, np.int64).tobytes() + g.tobytes())
+                    load.append(bands + g.tobytes())
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(at) for c in ("grp", "node", "copies")), pa.array([len(x) for x in load], pa.int64()), pa.array(load, pa.binary())],
-                ["grp", "node", "copies", "weight", "payload"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(at), batch.column("copies").take(at), pa.array(load, pa.binary())], ["node", "copies", "payload"])
 
     return run
 
 
 def _jaccard(bands: int, threshold: float):
-    def compare(left: list[bytes], right: list[bytes]) -> np.ndarray:
-        split = lambda rows: ([np.frombuffer(x[: 8 * bands], np.int64) for x in rows], [np.frombuffer(x[8 * bands :], _U64) for x in rows])
-        (lb, lg), (rb, rg) = split(left), split(right)
-        met = np.zeros((len(left), len(right)), bool)
-        L, R = np.array(lb), np.array(rb)
-        for k in range(bands):
-            met |= L[:, k][:, None] == R[:, k][None, :]
+    def compare(band: int, left: list[bytes], right: list[bytes]) -> np.ndarray:
+        lg, rg = ([np.frombuffer(x, _U64, offset=8 * bands) for x in rows] for rows in (left, right))
         nl, nr = np.array([len(g) for g in lg]), np.array([len(g) for g in rg])
-        met &= np.minimum.outer(nl, nr) >= threshold * np.maximum.outer(nl, nr) - 1e-9
+        met = _unmet(band, left, right, bands) & _sizes_fit(nl, nr, threshold)
+        one = left == right  # a block with itself: each pair once, and no member with itself
+        if one:
+            met = np.triu(met, 1)
         if met.sum() <= 4 * (len(left) + len(right)):  # few candidates: one merge each
             out = np.zeros_like(met)
             for i, j in zip(*np.nonzero(met), strict=True):
                 both = len(np.intersect1d(lg[i], rg[j], assume_unique=True))
                 out[i, j] = both >= threshold * (nl[i] + nr[j] - both) - 1e-9
-            return out
+            return out | out.T if one else out
         # many: n-grams that several members hold become columns of 0/1 matrices, a slice of columns at a time
         every = np.concatenate(lg + rg)
         uniq, count = np.unique(every, return_counts=True)
@@ -160,7 +189,8 @@ def _jaccard(bands: int, threshold: float):
             m = (rc >= at) & (rc < at + 4096)
             y[ri[m], rc[m] - at] = 1
             both += x @ y.T
-        return met & (both >= threshold * (nl[:, None] + nr[None, :] - both) - 1e-6)
+        met &= both >= threshold * (nl[:, None] + nr[None, :] - both) - 1e-6
+        return met | met.T if one else met
 
     return compare
 
@@ -170,35 +200,58 @@ def ngram_join(
     per_block: int = 512,
 ) -> DataFrame:
     """One row per input row: id, n_ngrams, class_id (smallest id with the same n-gram set), class_size, n_links, component_id, kept."""
+    signed, whole = _joined(docs, id_col, text_col, n, threshold, recall, rows, per_block)
+    return _report(signed, whole).drop("tie").withColumnRenamed("id", id_col)
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, per_block: int = 512) -> tuple[DataFrame, DataFrame]:
+    """(signed rows: id, n_ngrams, node, bands, tie; classes: node, class_id, class_size, n_links, component_id)."""
     bands = bands_for(threshold, recall, rows)
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = settle(narrow.mapInArrow(_signer(n, bands, rows), "id long, n_ngrams long, set_key binary, bands array<long>"), "signatures")
-    usable = signed.where("id is not null and set_key is not null")
-    classes = settle(usable.groupBy("set_key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "classes")
-
-    keyed = classes.select("node", F.explode("bands").alias("band"))
-    hubs = keyed.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "hub")
-    groups = connected(keyed.join(hubs, "band").where("node != hub").select("node", "hub"), "node", "hub")
-
-    members = classes.join(groups, "node").select("node", "set_key", "copies", "bands", F.col("component").alias("grp"))
-    texts = narrow.join(members.hint("shuffle_hash"), narrow["id"] == members["node"]).select("text", "set_key", "bands", "grp", "node", "copies")
-    loaded = settle(texts.mapInArrow(_payloads(n), "grp long, node long, copies long, weight long, payload binary"), "members")
-    found = settle(link_groups(loaded, _jaccard(bands, threshold), per_block, 16 << 20), "links")
+    tied = narrow.select("id", "text", F.xxhash64("text").alias("tie"))
+    signed = settle(tied.mapInArrow(_signer(n, bands, rows), "id long, n_ngrams long, node binary, bands array<long>, tie long"), "signatures")
+    usable = signed.where("id is not null and node is not null")
+    same = usable.groupBy("node").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("n_ngrams").alias("size"))
+    classes = settle(same, "classes")
+
+    keyed = classes.select(F.explode("bands").alias("band"), "node", "size")
+    buckets = settle(keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams")).where("n > 1"), "buckets")
+    packed = F.unhex(F.array_join(F.transform("bands", lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+    in_buckets = keyed.drop("size").join(buckets, "band").withColumn("nb", blocks(F.col("n"), F.col("grams") * 8, per_block, 16 << 20))
+    described = in_buckets.join(classes.select("node", packed.alias("bands"), "size"), "node")
+    need = settle(dealt(spread(described, "band", "nb", ["bands", "size"])).mapInArrow(_first_met(bands, threshold), "grp long, i long, j long, right boolean, node binary"), "needed")
+
+    wanted = classes.join(need.select("node").distinct(), "node").select("class_id", "node", "copies", packed.alias("bands"))
+    texts = narrow.join(wanted.hint("shuffle_hash"), narrow["id"] == wanted["class_id"]).select("text", "node", "copies", "bands")
+    sets = settle(texts.mapInArrow(_payloads(n), "node binary, copies long, payload binary"), "sets")
+    found = settle(link_units(need.join(sets, "node").select("grp", "i", "j", "right", "node", "copies", "payload"), _jaccard(bands, threshold)), "links")
+
     links = found.where("kind = 'n'").groupBy("node").agg(F.sum("value").alias("others"))
-    parts = connected(found.where("kind = 'e'"), "node", "value")
-    whole = classes.join(links, "node", "left").join(parts, "node", "left").select(
-        "set_key", F.col("node").alias("class_id"), F.col("copies").alias("class_size"),
-        (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"),
-    )
-    done = usable.select("id", "n_ngrams", "set_key").join(whole, "set_key").drop("set_key")
-    alone = signed.where("id is null or set_key is null").select(
-        "id", "n_ngrams", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")
+    parts = connected(found.where("kind = 'e'"), "node", "other")
+    met = classes.select("node", "class_id", "copies").join(links, "node", "left").join(parts, "node", "left")
+    lowest = met.where("component is not null").groupBy("component").agg(F.min("class_id").alias("lowest"))
+    whole = met.join(lowest, "component", "left").select(
+        "node", "class_id", F.col("copies").alias("class_size"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("lowest", "class_id").alias("component_id")
+    )
+    return signed, settle(whole, "classes")
+
+
+def _report(signed: DataFrame, whole: DataFrame) -> DataFrame:
+    """id, tie (a hash of the text), n_ngrams, class_id, class_size, n_links, component_id, kept of every row."""
+    done = signed.where("id is not null and node is not null").select("id", "tie", "n_ngrams", "node").join(whole, "node").drop("node")
+    alone = signed.where("id is null or node is null").select(
+        "id", "tie", "n_ngrams", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")
     )
-    out = done.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
-    return out.withColumnRenamed("id", id_col)
+    return done.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one document of each group, the one with the smallest id; rows that repeat that id are reduced to one per text."""
-    gone = ngram_join(docs, id_col, text_col, **how).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["_gone"], "left_anti")
+    """docs with one document of each group, the one with the smallest id.
+
+    Rows go by id and text, so a document whose id a near copy repeats stays; rows
+    that repeat both (exact copies, which `op8` drops) stay or go together.
+    """
+    signed, whole = _joined(docs, id_col, text_col, **how)
+    gone = _report(signed, whole).where("not kept").select(F.col("id").alias("_gone_id"), F.col("tie").alias("_gone_tie")).distinct()
+    same = (docs[id_col] == gone["_gone_id"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["_gone_tie"])
+    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")

@@ -110,7 +110,7 @@ FROM n WINDOW g AS (PARTITION BY text_sha256)
 """,
     "op6_embedding_links": f"""
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / list_max(list_transform(CAST(embedding AS DOUBLE[]), lambda y: abs(y)))) AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), n AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v),

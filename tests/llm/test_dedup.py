@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from clauseloom.llm import op6_embedding_dedup as op6
 from clauseloom.llm import op7_ngram_join as op7
 from clauseloom.llm import op8_exact_dedup as op8
+from clauseloom.llm.pairs import forest
 
 LONG = " ".join(f"word{i * 7919 % 5003}" for i in range(20_000))
 TEXTS = ["a b", "a  b", "a\n\tb", None, "", " ", "\v", "x", LONG, LONG.replace(" ", "  "), LONG + "!", "a b ", "é\r\nb", "é b", "a b"]
@@ -155,3 +156,42 @@ def test_vector_links(spark):
             comp[y] = x
     assert {k: v for k, v in got.items() if k is not None} == {i: (links[i], top(i)) for i in links} and got[None] == (0, None)
     assert op6.embedding_links(df.limit(0)).collect() == []
+
+
+def test_ids_repeated_with_other_vectors_keep_their_links(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0001]), (3, [1.0001, 0.0]), (4, [1e200, 1e200]), (5, [1e200, 1.01e200]), (6, [1e-170, -1e-170]), (7, [1e-170, -1.01e-170])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in op6.embedding_links(df).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 4), (5, 1, 4), (6, 1, 6), (7, 1, 6)]
+
+
+def test_ids_repeated_with_other_texts_keep_their_links(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (5, b + " other end"), (5, "nothing like the others at all")]
+    got = sorted((r.doc_id, r.n_links, r.component_id) for r in op7.ngram_join(frame(spark, rows)).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (5, 0, 5), (5, 2, 1)]
+    stay = sorted((r.doc_id, r.text) for r in op7.drop_near_duplicates(frame(spark, rows)).collect())
+    assert stay == [(1, a), (1, b), (5, "nothing like the others at all")]
+
+
+def test_forest_keeps_everything_connected():
+    rng = np.random.default_rng(4)
+    for n, m, p in ((1, 1, 1.0), (5, 7, 0.2), (30, 20, 0.03), (40, 40, 0.5)):
+        links = rng.random((n, m)) < p
+
+        def parts(edges, size=n + m):
+            comp = list(range(size))
+            for a, b in [*edges] * size:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+            return comp
+
+        kept = forest(links)
+        assert parts(kept) == parts([(i, n + j) for i, j in zip(*np.nonzero(links), strict=True)]) and len(kept) < n + m
+
+
+def test_chained_groups_stay_apart(spark):
+    """A chain of texts, each near the next only, is one component but never one group of candidates."""
+    words = [f"w{i}" for i in range(100 + 2 * 120)]
+    rows = [(i, " ".join(words[2 * i : 2 * i + 100])) for i in range(120)]
+    got = {r.doc_id: (r.n_links, r.component_id) for r in op7.ngram_join(frame(spark, rows)).collect()}
+    assert got == brute(rows) and {c for _, c in got.values()} == {0}
