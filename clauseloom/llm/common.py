@@ -18,6 +18,23 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """name, with as many underscores behind it as no column's name needs."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Rows of two longs that a join may hold on every executor; more are shuffled.
+FEW_ROWS = 500_000
+
+
+def bounded(keys: DataFrame) -> DataFrame:
+    """Narrow keys (a written table) for a join: broadcast up to FEW_ROWS counted rows, else shuffled and hashed."""
+    return F.broadcast(keys) if keys.limit(FEW_ROWS + 1).count() <= FEW_ROWS else keys.hint("shuffle_hash")
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches in slices of at most `rows` rows and `size` bytes (a larger row alone), so that few texts are Python objects at a time."""
     for b in batches:

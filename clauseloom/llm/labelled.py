@@ -29,8 +29,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, out: int,
     A document labelled more than once has the larger label; null labels don't count.
     """
     chosen = highest(labels, label, id_col, folds, out).orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    met = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"])  # `rows` rows at most
-    got = met.select("_y", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *[F.col(c).alias(f"_{c}") for c in also], "_id")
+    texts = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *[F.col(c).alias(f"_{c}") for c in also])
+    met = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))  # `rows` rows at most
+    got = met.select("_y", "_text", *[f"_{c}" for c in also], "_id")
     return got.orderBy(F.xxhash64("_id"), F.xxhash64("_text")).limit(rows).collect()
 
 

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import connected, settle, small
+from clauseloom.llm.common import bounded, connected, settle, small
 from clauseloom.llm.pairs import blocks, by_node, dealt, link_units, spread, units
 from clauseloom.llm.tokens import Memo, only
 
@@ -221,9 +221,11 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS, thresho
     described = in_buckets.join(classes.select("node", packed.alias("bands"), "size"), "node")
     need = settle(dealt(spread(described, "band", "nb", ["bands", "size"])).mapInArrow(_first_met(bands, threshold), "grp long, i long, j long, right boolean, node binary"), "needed")
 
-    wanted = classes.join(need.select("node").distinct(), "node").select("class_id", "node", "copies", packed.alias("bands"))
-    texts = narrow.join(wanted.hint("shuffle_hash"), narrow["id"] == wanted["class_id"]).select("text", "node", "copies", "bands")
-    sets = settle(texts.mapInArrow(_payloads(n), "node binary, copies long, payload binary"), "sets")
+    wanted = settle(classes.join(need.select("node").distinct(), "node").select("class_id", "node", "copies", packed.alias("bands")), "wanted")
+    ids = wanted.select("class_id").distinct()
+    texts = narrow.join(bounded(ids), narrow["id"] == ids["class_id"], "left_semi")  # only these texts move
+    loaded = texts.join(wanted.hint("shuffle_hash"), texts["id"] == wanted["class_id"]).select("text", "node", "copies", "bands")
+    sets = settle(loaded.mapInArrow(_payloads(n), "node binary, copies long, payload binary"), "sets")
     found = settle(link_units(need.join(sets, "node").select("grp", "i", "j", "right", "node", "copies", "payload"), _jaccard(bands, threshold)), "links")
 
     links = found.where("kind = 'n'").groupBy("node").agg(F.sum("value").alias("others"))
@@ -252,6 +254,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     that repeat both (exact copies, which `op8` drops) stay or go together.
     """
     signed, whole = _joined(docs, id_col, text_col, **how)
-    gone = _report(signed, whole).where("not kept").select(F.col("id").alias("_gone_id"), F.col("tie").alias("_gone_tie")).distinct()
+    gone = settle(_report(signed, whole).where("not kept").select(F.col("id").alias("_gone_id"), F.col("tie").alias("_gone_tie")).distinct(), "gone")
     same = (docs[id_col] == gone["_gone_id"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["_gone_tie"])
-    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")
+    return docs.join(bounded(gone), same, "left_anti")

@@ -27,13 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import settle, small
+from clauseloom.llm.common import bounded, settle, small, unused
 
 _UNEVEN = re.compile(r"[ \t-\r]{2,}|[\t-\r]")
 _GEAR = np.random.default_rng(20240611).integers(0, 2**32, 256, dtype=np.uint32)
 #: Bytes: no cut before MIN or after MAX of a chunk, one in AVG positions is a candidate.
 MIN_CHUNK, AVG_CHUNK, MAX_CHUNK = 512, 2048, 65536
 HASH_BYTES = 16
+#: Rows of a common chunk meet in so many places first.
+SALTS = 16
 
 
 def normalise(text: str | None) -> bytes:
@@ -72,7 +74,7 @@ def _recipes(size: int):
                 data = normalise(text)
                 sha.append(hashlib.sha256(data).hexdigest())
                 recipe.append(b"".join(_hash(c, size) for c in chunks(data)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sha), pa.array(recipe, pa.binary())], ["id", "sha", "recipe"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sha), pa.array(recipe, pa.binary())], ["id", "tie", "sha", "recipe"])
 
     return run
 
@@ -106,25 +108,22 @@ def _listed_chunks(size: int):
     return run
 
 
-def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bytes: int = HASH_BYTES) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256. `hash_bytes` under 16 is for tests of collisions."""
+def _decided(docs: DataFrame, id_col: str, text_col: str, hash_bytes: int = HASH_BYTES) -> DataFrame:
+    """One row per input row: id, tie (a hash of the raw text), keep_id, group_size, kept, text_sha256."""
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = settle(narrow.mapInArrow(_recipes(hash_bytes), f"id {kind}, sha string, recipe binary"), "recipes")
+    tied = narrow.select("id", "text", F.xxhash64("text").alias("tie"))
+    rows = settle(tied.mapInArrow(_recipes(hash_bytes), f"id {kind}, tie long, sha string, recipe binary"), "recipes")
 
     repeated = settle(
         rows.groupBy("recipe").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"), "repeated"
     )
-    again = rows.join(repeated.where("length(recipe) > 0").select("recipe"), "recipe", "left_semi").select("id").distinct()
-    texts = narrow.join(again.hint("shuffle_hash"), narrow["id"].eqNullSafe(again["id"]), "left_semi")
-    clash = settle(
-        texts.mapInArrow(_chunk_rows(hash_bytes), "hash binary, chunk binary")
-        .groupBy("hash")
-        .agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
-        .where("low != high")
-        .select("hash"),
-        "clashes",
-    )
+    again = settle(rows.join(repeated.where("length(recipe) > 0").select("recipe"), "recipe", "left_semi").select("id").distinct(), "again")
+    texts = narrow.join(bounded(again), narrow["id"].eqNullSafe(again["id"]), "left_semi")
+    # A common chunk comes once from every task, so what meets is first halved and halved again by the tasks' numbers.
+    seen = texts.mapInArrow(_chunk_rows(hash_bytes), "hash binary, chunk binary").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    part = seen.groupBy("hash", "salt").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
+    clash = settle(part.groupBy("hash").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("hash"), "clashes")
     rows, groups = rows.withColumn("key", F.col("recipe")), repeated.withColumnRenamed("recipe", "key")
     if not clash.isEmpty():  # one hash names several chunks: list the chunks of those texts by (hash, ordinal)
         listed = texts.mapInArrow(_listed_chunks(hash_bytes), f"id {kind}, sha string, at int, hash binary, chunk binary")
@@ -144,22 +143,43 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows = (
             rows.alias("r")
             .join(verified.alias("v"), F.expr("r.id <=> v.id and r.sha = v.sha"), "left")
-            .selectExpr("r.id", "r.sha", "coalesce(v.verified, r.recipe) as key")
+            .selectExpr("r.id", "r.tie", "r.sha", "coalesce(v.verified, r.recipe) as key")
         )
         groups = settle(rows.groupBy("key").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"), "groups")
     # Groups are a table by now, so that a join with a hot group is one whose large side can be split.
     met = rows.join(groups, "key", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return met.select(
-        F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"),
-    )
+        "id", "tie", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256")
+    )
+
+
+def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bytes: int = HASH_BYTES) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256. `hash_bytes` under 16 is for tests of collisions."""
+    return _decided(docs, id_col, text_col, hash_bytes).drop("tie").withColumnRenamed("id", id_col)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, one of each group, with all their columns."""
-    stay = dedup_report(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    even = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[ \t-\r]{2,}|[\t-\r]", " ")
-    named = docs.withColumn("_text_sha", F.sha2(even, 256))
-    kept = named.join(stay, named[id_col].eqNullSafe(stay["_id"]) & (named["_text_sha"] == stay["_sha"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_text_sha"]).drop("_text_sha")
+    """The rows of docs that stay, one of each group, with all their columns.
+
+    Rows are decided by (id, hash of the raw text) on narrow rows; texts are passed
+    once, and move only where the dropped rows are too many to be sent to them.
+    """
+    all_rows = settle(_decided(docs, id_col, text_col), "decided")
+    stay = all_rows.where("kept").groupBy("id", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.min("tie").alias("low"))
+    more = settle(stay.where("n > 1").drop("n"), "more")  # rows that repeat an id with an equal text
+    gone = all_rows.where("not kept").select("id", "tie")
+    tie = F.xxhash64(docs[text_col].cast("string"))
+    some = not more.isEmpty()
+    if some:
+        again = all_rows.where("kept").alias("r").join(more.alias("m"), F.expr("r.id <=> m.id and r.text_sha256 = m.text_sha256")).selectExpr("r.id", "r.tie", "r.tie = m.low as first")
+        gone = gone.unionByName(again.where("not first").select("id", "tie"))
+    gone = settle(gone.distinct().toDF("_gone_id", "_gone_tie"), "gone")
+    left = docs.join(bounded(gone), docs[id_col].eqNullSafe(gone["_gone_id"]) & (tie == gone["_gone_tie"]), "left_anti")
+    if not some:
+        return left
+    twice = settle(again.where("first").groupBy("id", "tie").count().where("count > 1").select(F.col("id").alias("_gone_id"), F.col("tie").alias("_gone_tie")), "twice")
+    met = left[id_col].eqNullSafe(twice["_gone_id"]) & (tie == twice["_gone_tie"])
+    name = unused(docs.columns, "_tie")
+    once = left.join(bounded(twice), met, "left_semi").withColumn(name, F.xxhash64(F.col(text_col).cast("string"))).dropDuplicates([id_col, name]).drop(name)
+    return left.join(bounded(twice), met, "left_anti").unionByName(once)

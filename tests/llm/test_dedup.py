@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from clauseloom.llm import op6_embedding_dedup as op6
 from clauseloom.llm import op7_ngram_join as op7
@@ -38,6 +39,15 @@ def test_exact_groups(spark, hash_bytes):
     assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
 
 
+def test_exact_filter_keeps_every_column_and_one_row_of_each_text(spark):
+    rows = [(3, "a b", 7), (3, "a  b", 8), (3, "a  b", 9), (4, "a b", 1), (None, "x", 2), (None, "x", 3), (5, "y", 4), (6, None, 5), (6, "", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text_sha long").withColumn("_tie", F.lit("mine"))
+    got = op8.deduplicate(docs)
+    assert got.columns == ["doc_id", "text", "_text_sha", "_tie"]
+    got = [(r.doc_id, norm(r.text), r._tie) for r in got.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(3, "a b", "mine"), (None, "x", "mine"), (5, "y", "mine"), (6, "", "mine")]))
+
+
 def test_exact_filter(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(0, "a b")]
     kept = op8.deduplicate(frame(spark, rows))
