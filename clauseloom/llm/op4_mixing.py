@@ -7,7 +7,10 @@ is a row of shards of `shard_slots` slots. The number of slots that each source
 has in each shard is drawn from a multinomial law under the condition that a
 source's slots add up to its target (a multivariate hypergeometric law), by
 splitting the range of shards in halves from the root down with a seeded
-generator, so every task draws its own shards and reruns agree. A source's k-th
+generator, so every task draws its own shards and reruns agree. Sources are drawn
+in pages of PAGE: a split first divides its slots among the pages, then a page's
+among its sources, so a task holds one number a page and the sources of one page,
+however many there are. The draw is exact at any number of slots. A source's k-th
 slot goes to block perm(k) by a keyed pseudorandom permutation of its blocks,
 another in each pass, and slots meet blocks in a join by source and index.
 
@@ -29,13 +32,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import running_total, settle
+from clauseloom.llm.common import running_total, settle, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 BLOCK, SHARD_SLOTS, SEED = 128, 1024, 20240917
-#: Sources are sent to tasks as one table of 56 bytes a source; more than this many are refused.
-MAX_SOURCES = 1_000_000
+#: Sources of a page; shards that a task draws, for each page; slots up to which the generator draws alone, and picks one by one.
+PAGE, CHUNK, DIRECT, SINGLE = 1024, 64, 1 << 29, 1000
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -93,10 +96,10 @@ def _position(value: int, n: int, key: int) -> int:
             return value
 
 
-def _source_plan(sources: list[tuple[int, int, float]], block: int) -> list[dict]:
+def _source_plan(block: int):
     """For each source its blocks, slots and the words that its last slot leaves out, so that it takes round(target) words."""
-    plan = []
-    for no, size, target in sources:
+
+    def one(no: int, size: int, target: float) -> tuple[int, int, int]:
         want = min(round(target), math.floor(2 * size)) if size else 0
         n = -(-size // block)
         passes, rest = divmod(want, size) if size else (0, 0)
@@ -105,61 +108,110 @@ def _source_plan(sources: list[tuple[int, int, float]], block: int) -> list[dict
             short = n * block - size  # words that the last block of the stream lacks
             early = short and _position(n - 1, n, no * 64 + passes) < -(-rest // block)
             j = -(-(rest + short * bool(early)) // block)
-            words = j * block - short * bool(early)
-            slots, cut = slots + j, words - rest
-        plan.append({"no": no, "size": size, "blocks": n, "slots": slots, "cut": cut})
-    return plan
+            slots, cut = slots + j, j * block - short * bool(early) - rest
+        return n, slots, cut
+
+    def run(frames):
+        for f in frames:
+            made = [one(*r) for r in zip(f["no"].tolist(), f["source_size"].tolist(), f["target"].tolist(), strict=True)]
+            yield pd.DataFrame({"no": f["no"]} | {c: np.array([m[k] for m in made], np.int64) for k, c in enumerate(("blocks", "slots", "cut"))})
+
+    return run
 
 
-def _split(left_slots: int, counts: np.ndarray, rng) -> np.ndarray:
-    """Of counts by source, those in the first left_slots of all slots."""
+def draw(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each colour are among n balls drawn without replacement, for any counts.
+
+    Beyond the generator's range every ball is first taken by itself with
+    probability n over all; as all sets of a size are equally likely then, what is
+    too much or too little is drawn again out of those taken or left: about the
+    root of n balls, so few rounds are needed.
+    """
     total = int(counts.sum())
-    if total >= 1 << 29:  # beyond the generator's range: in proportion, remainders to the largest fractions
-        exact = counts * (left_slots / total)
-        got = np.minimum(np.floor(exact).astype(np.int64), counts)
-        for i in np.argsort(got - exact)[: max(0, left_slots - int(got.sum()))]:
+    if total < DIRECT:
+        return rng.multivariate_hypergeometric(counts, n, method="marginals")
+    if n > total - n:
+        return counts - draw(counts, total - n, rng)
+    if n <= SINGLE:
+        left, got = counts.copy(), np.zeros_like(counts)
+        for k in range(n):
+            i = int(np.searchsorted(np.cumsum(left), rng.integers(total - k), "right"))
+            left[i] -= 1
             got[i] += 1
         return got
-    return rng.multivariate_hypergeometric(counts, left_slots, method="marginals")
+    got = rng.binomial(counts, n / total)
+    over = int(got.sum()) - n
+    return got - draw(got, over, rng) if over > 0 else got + draw(counts - got, -over, rng)
+
 
+def _draw(page_slots: np.ndarray, n_shards: int, chunk: int, shard_slots: int):
+    """For rows (page, chunk, its sources), the page's rows (shard, slot, no, epoch, block_no, cut) of the mix in the chunk's shards."""
+    all_slots = int(page_slots.sum())
 
-def _draw(plan: list[dict], n_shards: int, shard_slots: int):
-    """For a range of shards, rows (shard, slot, no, block_no, cut) of the mix."""
-    totals = np.array([p["slots"] for p in plan], np.int64)
-    all_slots = int(totals.sum())
+    def split(low: int, mid: int, high: int, pages: np.ndarray, own: np.ndarray, page: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of a range of shards' slots by page and by this page's source, those in the shards before mid."""
+        left = draw(pages, min(mid * shard_slots, all_slots) - low * shard_slots, np.random.default_rng([SEED, low, high]))
+        return left, draw(own, int(left[page]), np.random.default_rng([SEED, low, high, 1 + page]))
 
-    def shard_counts(shard: int) -> tuple[np.ndarray, np.ndarray]:
-        low, high, counts, before = 0, n_shards, totals, np.zeros_like(totals)
+    def shards(low, high, pages, own, before, page):
+        if not own.sum():
+            return
+        if high - low == 1:
+            yield low, pages, own, before
+            return
+        mid = (low + high) // 2
+        lp, lo = split(low, mid, high, pages, own, page)
+        yield from shards(low, mid, lp, lo, before, page)
+        yield from shards(mid, high, pages - lp, own - lo, before + lo, page)
+
+    def chunk_of(at: int, pages, own, page):
+        low, high, before = 0, -(-n_shards // chunk), np.zeros_like(own)
         while high - low > 1:
             mid = (low + high) // 2
-            n_left = min(mid * shard_slots, all_slots) - low * shard_slots
-            left = _split(n_left, counts, np.random.default_rng([SEED, low, high]))
-            if shard < mid:
-                high, counts = mid, left
+            lp, lo = split(low * chunk, mid * chunk, min(high * chunk, n_shards), pages, own, page)
+            if at < mid:
+                high, pages, own = mid, lp, lo
             else:
-                low, before, counts = mid, before + left, counts - left
-        return counts, before
+                low, before, pages, own = mid, before + lo, pages - lp, own - lo
+        yield from shards(at * chunk, min((at + 1) * chunk, n_shards), pages, own, before, page)
 
     def run(frames):
         for f in frames:
-            for shard in f["shard"]:
-                counts, before = shard_counts(int(shard))
-                parts = []
-                for p, c, b in zip(plan, counts, before, strict=True):
-                    if not c:
-                        continue
-                    k = np.arange(b, b + c)
-                    epoch, at, block = k // p["blocks"], k % p["blocks"], np.empty(c, np.int64)
-                    for e in np.unique(epoch):
-                        block[epoch == e] = _permute(at[epoch == e], p["blocks"], p["no"] * 64 + int(e))
-                    parts.append(pd.DataFrame({"no": p["no"], "epoch": epoch, "block_no": block, "cut": np.where(k == p["slots"] - 1, p["cut"], 0)}))
-                made = pd.concat(parts, ignore_index=True)
-                made["shard"], made["slot"] = int(shard), np.random.default_rng([SEED, int(shard)]).permutation(len(made))
-                yield made[["shard", "slot", "no", "epoch", "block_no", "cut"]].astype(np.int64)
+            for page, at, sources in zip(f["page"].tolist(), f["chunk"].tolist(), f["sources"], strict=True):
+                no, blocks, slots, cut = np.array([[s["no"], s["blocks"], s["slots"], s["cut"]] for s in sources], np.int64).T
+                for shard, pages, own, before in chunk_of(at, page_slots, slots, page):
+                    parts = []
+                    for i in np.flatnonzero(own).tolist():
+                        k = np.arange(before[i], before[i] + own[i])
+                        epoch, place, block = k // blocks[i], k % blocks[i], np.empty(len(k), np.int64)
+                        for e in np.unique(epoch):
+                            block[epoch == e] = _permute(place[epoch == e], int(blocks[i]), int(no[i]) * 64 + int(e))
+                        parts.append((np.full(len(k), no[i]), epoch, block, np.where(k == slots[i] - 1, cut[i], 0)))
+                    cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                    first = int(pages[:page].sum())
+                    slot = np.random.default_rng([SEED, shard]).permutation(int(pages.sum()))[first : first + len(cols[0])]
+                    yield pd.DataFrame(dict(zip(("shard", "slot", "no", "epoch", "block_no", "cut"), (np.full(len(slot), shard), slot, *cols), strict=True)))
 
     return run
 
 
+def mix_slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The drawn mix of targets (no, source_size, target): shard, slot, no, epoch, block_no, cut (words its end leaves out)."""
+    spark = targets.sparkSession
+    wide = targets.select(F.col("no").cast("long").alias("no"), "source_size", "target").mapInPandas(_source_plan(block), "no long, blocks long, slots long, cut long")
+    plan = settle(wide.where("slots > 0"), "plan")
+    paged = plan.withColumn("page", F.floor(F.col("no") / PAGE))
+    totals = {r[0]: r[1] for r in paged.groupBy("page").agg(F.sum("slots")).collect()}  # one number for PAGE sources
+    page_slots = np.array([totals.get(k, 0) for k in range(max(totals, default=-1) + 1)], np.int64)
+    n_shards = -(-int(page_slots.sum()) // shard_slots)
+    chunk = CHUNK * max(1, len(page_slots))
+    n_chunks = -(-n_shards // chunk)
+    lists = paged.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("no", "blocks", "slots", "cut"))).alias("sources"))  # PAGE sources at most
+    work = lists.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_chunks - 1)))))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n_chunks * max(1, len(page_slots)), n_shards // 16384))
+    return work.repartition(n, "page", "chunk").mapInPandas(_draw(page_slots, n_shards, chunk, shard_slots), "shard long, slot long, no long, epoch long, block_no long, cut long")
+
+
 def mix_plan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE,
     most: float = MOST, block: int = BLOCK, shard_slots: int = SHARD_SLOTS,
@@ -177,13 +229,7 @@ def mix_plan(
     rows = settle(
         placed.join(targets, placed["source"].eqNullSafe(targets["source"])).select("id", "size", "source_size", "target", F.col("no").cast("long").alias("no"), "start", "tie"), "rows"
     )
-    if targets.count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
-    plan = _source_plan([(r["no"], r["source_size"], r["target"]) for r in targets.collect()], block)
-    n_shards = -(-sum(p["slots"] for p in plan) // shard_slots)
-    spark = docs.sparkSession
-    shards = spark.range(0, n_shards, 1, max(1, min(n_shards, max(12, n_shards // 64)))).withColumnRenamed("id", "shard")
-    slots = shards.mapInPandas(_draw(plan, n_shards, shard_slots), "shard long, slot long, no long, epoch long, block_no long, cut long")
+    slots = mix_slots(targets, block, shard_slots)
     parts = rows.where("size > 0").select(
         "no", "start", "size", "source_size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block_no")
     )
@@ -217,13 +263,13 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     runs = spans.groupBy("no", "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("word_from", "word_to"))).alias("runs"), F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
     same = Window.partitionBy("id", "tie").orderBy("no", "start")
     of = rows.where("size > 0").withColumn("copy", F.row_number().over(same)).join(runs, ["no", "start"])
-    of = of.select(*[F.col(c).alias(f"_of_{c}") for c in ("id", "tie", "copy", "size", "runs", "taken")])  # docs' columns may have any name
-    keyed = docs.withColumn("_tie", F.xxhash64(F.col(text_col).cast("string")))
-    keyed = keyed.withColumn("_copy", F.row_number().over(Window.partitionBy(id_col, "_tie").orderBy(F.xxhash64(*[c for c in docs.columns if c != text_col]))))
-    met = keyed.join(of, keyed[id_col].eqNullSafe(of["_of_id"]) & (keyed["_tie"] == of["_of_tie"]) & (keyed["_copy"] == of["_of_copy"]))
+    tie, copy, text, of_ = (unused(docs.columns, x) for x in ("_tie", "_copy", "_mixed", "_of"))  # docs' columns may have any name
+    of = of.select(*[F.col(c).alias(f"{of_}_{c}") for c in ("id", "tie", "copy", "size", "runs", "taken")])
+    keyed = docs.withColumn(tie, F.xxhash64(F.col(text_col).cast("string")))
+    keyed = keyed.withColumn(copy, F.row_number().over(Window.partitionBy(id_col, tie).orderBy(F.xxhash64(*[c for c in docs.columns if c != text_col]))))
+    met = keyed.join(of, keyed[id_col].eqNullSafe(of[f"{of_}_id"]) & (keyed[tie] == of[f"{of_}_tie"]) & (keyed[copy] == of[f"{of_}_copy"]))
     words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1))
-    picked = F.array_join(F.flatten(F.transform("_of_runs", lambda r: F.slice(words, r["word_from"].cast("int") + 1, (r["word_to"] - r["word_from"]).cast("int")))), " ")
-    text = F.when(F.col("_of_taken") == F.col("_of_size"), F.col(text_col)).otherwise(picked)
-    new = met.withColumn("_new", text)
-    out = [F.col("_new").alias(c) if c == text_col else F.length("_new").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    picked = F.array_join(F.flatten(F.transform(f"{of_}_runs", lambda r: F.slice(words, r["word_from"].cast("int") + 1, (r["word_to"] - r["word_from"]).cast("int")))), " ")
+    new = met.withColumn(text, F.when(F.col(f"{of_}_taken") == F.col(f"{of_}_size"), F.col(text_col)).otherwise(picked))
+    out = [F.col(text).alias(c) if c == text_col else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return new.select(*out)

@@ -86,6 +86,47 @@ def test_mixed_documents(spark):
     assert op4.mix_report(frame(spark, [])).collect() == []
 
 
+def test_mix_keeps_the_callers_columns(spark):
+    rows = rows_of(40, 6)
+    docs = frame(spark, rows).selectExpr("*", "'t' AS _tie", "'c' AS _copy", "'m' AS _mixed", "'o' AS _of", "'n' AS _new")
+    got = op4.mix_documents(docs)
+    assert got.columns == docs.columns
+    assert {(r._tie, r._copy, r._mixed, r._of, r._new) for r in got.collect()} == {("t", "c", "m", "o", "n")}
+
+
+def test_draws_beyond_the_generators_range():
+    """Mean and variance of the multivariate hypergeometric law for more slots than the generator takes at once."""
+    counts, n = np.array([3 << 30, 1 << 30, 1000, 7], np.int64), (1 << 31) - 12345
+    total = int(counts.sum())
+    for left in (n, total - n, 900, total - 900):
+        got = np.array([op4.draw(counts, left, np.random.default_rng([left, k])) for k in range(400)])
+        assert (got.sum(1) == left).all() and (got >= 0).all() and (got <= counts).all()
+        p = counts / total
+        mean, var = left * p, left * p * (1 - p) * (total - left) / (total - 1)
+        assert (np.abs(got.mean(0) - mean) <= 4.5 * np.sqrt(var / 400) + 1e-9).all()
+        seen = var > 1  # rarer colours never come in 400 draws
+        assert (np.abs(got.var(0) / var - 1)[seen] < 0.45).all() and seen.sum() >= 2
+    small = np.array([op4.draw(np.array([6, 4]), 5, np.random.default_rng(k))[0] for k in range(50)])
+    assert small.min() >= 1 and small.max() <= 5
+
+
+def test_draws_over_many_sources(spark, monkeypatch):
+    """Pages of sources: every slot of every source is drawn once, shards are full, and small ranges give the same law at any size."""
+    monkeypatch.setattr(op4, "PAGE", 64)
+    monkeypatch.setattr(op4, "DIRECT", 100)
+    rows = [(k, int(k % 37) * 11, float(k % 37) * 11 * (1.5 if k % 2 else 2)) for k in range(1000)]
+    targets = spark.createDataFrame(rows, "no long, source_size long, target double")
+    got = op4.mix_slots(targets, block=8, shard_slots=32).toPandas()
+    full = got.groupby("shard").size()
+    assert (full.iloc[:-1] == 32).all() and len(got.drop_duplicates(["shard", "slot"])) == len(got)
+    assert len(got.drop_duplicates(["no", "epoch", "block_no"])) == len(got)
+    for no, mine in got.groupby("no"):
+        _, size, target = rows[no]
+        words = np.minimum(8, size - 8 * mine["block_no"]).sum() - mine["cut"].sum()
+        assert words == min(round(target), 2 * size)
+    assert set(got["no"]) == {no for no, size, _ in rows if size}
+
+
 def test_permutation():
     for n in (1, 2, 3, 10, 1000, 4097):
         p = op4._permute(np.arange(n), n, 5)
