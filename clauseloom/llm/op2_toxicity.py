@@ -42,7 +42,7 @@ from clauseloom.llm.tokens import Memo, only
 
 TRAIN_ROWS, FOLDS, HELD_OUT = 6000, 4, 2
 BUCKETS, DIM, WIDTHS, FILTERS, STEMS = 1 << 17, 8, (1, 2, 3), 4, (4, 5)
-EPOCHS, BATCH, RATE, SEED = 4, 64, 0.05, 99
+EPOCHS, BATCH, RATE, SEED = 6, 64, 0.1, 99
 #: Toxic rows that the counts of all languages weigh as in a language's threshold; score bins for each unit of log-odds.
 PRIOR, BINS = 5, 256
 #: The contract's fixed cut for `predicted`.
@@ -171,11 +171,13 @@ def logits(tables: dict, ids: list[bytes], words: int = 1 << 15) -> np.ndarray:
         for k in range(1, _KEYS):
             g += tables["t"][flat[:, k]]
         n, at, feats = len(flat) - _PAD, 0, []
+        across = (starts[1:, None] - np.arange(1, _PAD + 1)).ravel()  # windows that would reach into the next document
         for w in WIDTHS:
             conv = g[:n, at : at + FILTERS].copy()
             for j in range(1, w):
                 conv += g[j : n + j, at + j * FILTERS : at + (j + 1) * FILTERS]
             at += w * FILTERS
+            conv[across] = -np.inf
             feats.append(np.maximum.reduceat(conv, starts, axis=0))
         x = np.maximum(np.concatenate(feats, 1) + tables["B"], 0)
         out.append(x @ tables["U"] + tables["c"])

@@ -3,8 +3,13 @@
 Every line is labelled good or bad. A line's features are shares of kinds of
 characters, its length, the share of distinct words, whether the document repeats
 it, and the same of the line before and after. The field is fitted on the driver
-by maximum likelihood on a bounded sample of labelled documents (`TRAIN_ROWS`)
-whose lines carry their document's label. A document's quality is the mean of its
+by maximum likelihood on a bounded sample of labelled documents (`TRAIN_ROWS`).
+Only documents are labelled, their lines are latent: a first field without
+transitions and neighbours learns what lines of good and of bad documents look
+like by themselves; by it, and by `PRIOR` in favour of their document's label,
+lines get labels of their own. Whole documents of one kind would teach the field
+that a line is as its neighbours are, so documents with lines of the other kind
+spliced in join them, and the field is fitted on all these chains. A document's quality is the mean of its
 lines' forward-backward marginals weighted by their length, turned into a
 probability by a logistic fit on a part of the sample that the field hasn't seen.
 
@@ -25,7 +30,11 @@ from clauseloom.llm.common import small
 from clauseloom.llm.labelled import held_out, platt, sample, sigmoid
 
 TRAIN_ROWS, FOLDS, HELD_OUT = 5000, 5, 0
-ROUNDS, RATE, SEED = 150, 0.1, 5
+ROUNDS, RATE = 150, 0.1
+#: Log-odds by which a document's label counts in the label of each of its lines.
+PRIOR = 2.0
+#: One of so many documents is also used with lines of the other kind, one to so many of its own lines.
+SPLICED, SPLICE_LINES, SEED = 2, 4, 5
 CUT = 0.3
 _OWN, _NEAR = 11, 5  # features of a line itself, and how many of them its neighbours lend
 N_FEATURES = 1 + _OWN + 2 * (_NEAR + 1)
@@ -102,27 +111,67 @@ def forward_backward(emit: np.ndarray, n_lines: np.ndarray, trans: np.ndarray, f
     return p, pairs, (p[starts] / size[:, None]).sum(0)
 
 
+def splice(texts: list[str], y: np.ndarray, n_lines: np.ndarray, lines: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Documents with lines of the other kind put in at random places, and the labels of all their lines."""
+    rng = np.random.default_rng(SEED)
+    at = np.cumsum(n_lines) - n_lines
+    rows = [(t.split("\n"), lines[a : a + n]) for t, a, n in zip(texts, at, n_lines, strict=True)]
+    pool = {k: [x for (doc, own), kind in zip(rows, y, strict=True) if kind == k for x, label in zip(doc, own, strict=False) if label == k and x] for k in (0, 1)}
+    out, labels = [], []
+    for (doc, own), kind in zip(rows, y, strict=True):
+        if len(own) < 2 or rng.integers(SPLICED) or not pool[1 - int(kind)]:
+            continue
+        doc, own, donors = list(doc), own.tolist(), pool[1 - int(kind)]
+        for _ in range(max(1, len(doc) // SPLICE_LINES)):
+            k = int(rng.integers(len(doc) + 1))
+            doc.insert(k, donors[int(rng.integers(len(donors)))])
+            own.insert(k, float(1 - kind))
+        out.append("\n".join(doc))
+        labels += own
+    return out, np.array(labels, float)
+
+
 class Field:
     """Weights of 'good' against 'bad', transitions, first states; a, b turn a document's mean into a probability."""
 
     def __init__(self):
         self.w, self.trans, self.first, self.a, self.b, self.rate = np.zeros(N_FEATURES), np.zeros((2, 2)), np.zeros(2), 1.0, 0.0, 0.5
 
-    def fit(self, x: np.ndarray, n_lines: np.ndarray, y: np.ndarray) -> None:
-        """Adam on the likelihood of the lines' labels; each document counts once, whatever its lines."""
-        has = n_lines > 0
+    def fit(self, texts: list[str], y: np.ndarray) -> None:
+        """From documents' labels: first the lines' own labels, then chains of these, with lines of the other kind spliced in."""
+        x, n_lines, _ = line_features(texts)
         label = np.repeat(y, n_lines)
+        alone = np.zeros(N_FEATURES, bool)
+        alone[: 1 + _OWN] = True
+        self._climb(x, n_lines, label, alone, chained=False)
+        lines = (x @ self.w + PRIOR * (2 * label - 1) >= 0).astype(float)
+        more, more_lines = splice(texts, y, n_lines, lines)
+        x2, n2, _ = line_features(more)
+        self._climb(np.concatenate([x, x2]), np.concatenate([n_lines, n2]), np.concatenate([lines, more_lines]), np.ones(N_FEATURES, bool), chained=True)
+
+    def _climb(self, x: np.ndarray, n_lines: np.ndarray, label: np.ndarray, used: np.ndarray, chained: bool) -> None:
+        """Adam on the likelihood of the lines' labels; each document counts once, whatever its lines. Without chains, lines stand alone."""
+        has = n_lines > 0
         weight = np.repeat(1 / np.maximum(n_lines, 1), n_lines)
-        same = (n_lines[has] - 1) / n_lines[has]
-        seen = np.diag([(same * (y[has] == 0)).sum(), (same * (y[has] == 1)).sum()])
-        start = np.array([((y[has] == k) / n_lines[has]).sum() for k in (0, 1)])
         n = max(1, has.sum())
+        first_line = (np.cumsum(n_lines) - n_lines)[has]
+        inside = np.ones(len(label), bool)
+        inside[first_line] = False
+        at = np.flatnonzero(inside)
+        seen, start, state = np.zeros((2, 2)), np.zeros(2), label.astype(int)
+        np.add.at(seen, (state[at - 1], state[at]), weight[at])
+        np.add.at(start, state[first_line], weight[first_line])
         theta = np.zeros(N_FEATURES + 6)
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         for r in range(1, ROUNDS + 1):
-            self.w, self.trans, self.first = theta[:N_FEATURES], theta[N_FEATURES : N_FEATURES + 4].reshape(2, 2), theta[-2:]
-            p, pairs, firsts = forward_backward(x @ self.w, n_lines, self.trans, self.first)
-            grad = np.concatenate([x.T @ ((label - p[:, 1]) * weight), (seen - pairs).ravel(), start - firsts]) / n - 1e-4 * theta
+            w, trans, first = theta[:N_FEATURES], theta[N_FEATURES : N_FEATURES + 4].reshape(2, 2), theta[-2:]
+            if chained:
+                p, pairs, firsts = forward_backward(x @ w, n_lines, trans, first)
+                grad = np.concatenate([x.T @ ((label - p[:, 1]) * weight), (seen - pairs).ravel(), start - firsts])
+            else:
+                grad = np.concatenate([x.T @ ((label - sigmoid(x @ w)) * weight), np.zeros(6)])
+            grad = grad / n - 1e-4 * theta
+            grad[:N_FEATURES] *= used
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
             theta = theta + RATE * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
         self.w, self.trans, self.first = theta[:N_FEATURES], theta[N_FEATURES : N_FEATURES + 4].reshape(2, 2), theta[-2:]
@@ -153,8 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     check = np.arange(len(got)) % 5 == 4
     fit = [t for t, c in zip(texts, check, strict=True) if not c]
     if fit and 0 < y[~check].sum() < len(fit):
-        x, n_lines, _ = line_features(fit)
-        field.fit(x, n_lines, y[~check])
+        field.fit(fit, y[~check])
         z = field.quality([t for t, c in zip(texts, check, strict=True) if c])
         fine = ~np.isnan(z)
         field.a, field.b = platt(z[fine], y[check][fine])

@@ -247,3 +247,47 @@ def test_forward_backward_is_exact():
         if n:
             assert np.allclose(got[at : at + n], w / w.sum(1, keepdims=True))
         at += n
+
+
+def test_lines_of_the_other_kind_are_found(spark):
+    """Lines planted in documents of the other kind, which no label names, are labelled one by one."""
+    docs, labels = labelled(spark)
+    field = op3.train(docs, labels)
+    rng, texts, truth = np.random.default_rng(12), [], []
+    for k in range(60):
+        lines = [(" ".join(f"{'abcdefgh'[rng.integers(8)]}{rng.integers(300)}" for _ in range(8)), 1 - k % 2) for _ in range(int(rng.integers(6, 14)))]
+        for at in rng.choice(len(lines), 2, replace=False):
+            lines[at] = (lines[at][0], k % 2)
+        texts.append("\n".join(x if good else x.upper().replace(" ", "!! ") + "!!" for x, good in lines))
+        truth += [good for _, good in lines]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.good for r in op3.line_labels(rows, field).orderBy("doc_id", "line_no").collect()]
+    same = np.array(got) == np.array(truth, bool)
+    assert same.mean() > 0.9
+
+
+def test_logits_are_the_convolution():
+    """The tables' shifted sums and maxima against embeddings, filters and maxima spelled out."""
+    rng, model = np.random.default_rng(3), op2.Model()
+    model.U, model.c = rng.standard_normal(len(model.U)), 0.3
+    texts = ["", "one", "one two", "some words that go on, and on; even Further!", "x " * 500]
+    ids = [op2.word_ids(t) for t in texts]
+    want = []
+    for raw in ids:
+        keys = np.frombuffer(raw, "<i4").reshape(-1, op2._KEYS)
+        emb = np.concatenate([model.E[keys].sum(1), np.zeros((op2._PAD, op2.DIM))])
+        emb = np.concatenate([emb, np.zeros((1, op2.DIM))]) if not len(keys) else emb
+        feats = []
+        for w in op2.WIDTHS:
+            conv = [sum(emb[i + j] @ model.W[w][j] for j in range(w) if i + j < len(emb)) for i in range(len(keys) + 1)]
+            feats.append(np.maximum(np.max(conv, axis=0) + model.B[w], 0))
+        want.append(np.concatenate(feats) @ model.U + model.c)
+    assert np.allclose(op2.logits(model.tables(), ids), want, atol=1e-4) and np.allclose(op2.logits(model.tables(), ids, words=1), want, atol=1e-4)
+
+
+def test_clashing_columns_pass_through(spark):
+    docs, labels = labelled(spark, 200)
+    docs = docs.selectExpr("*", "1 AS _y", "2 AS _id", "3 AS _score", "4 AS _text", "5 AS bin", "6 AS n", "7 AS score")
+    kept = op2.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and {(r._y, r._id, r._score, r.score) for r in kept.collect()} == {(1, 2, 3, 7)}
+    assert op3.quality_scores(docs, labels).count() == docs.count()
