@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from clauseloom.llm.common import running_total, settle
 
-SHARD_BYTES = 16 * 1024 * 1024
+#: Small shards, as for random access; the directory has a row a shard and is a table, so any size will do.
+SHARD_BYTES = 1024 * 1024
 HASH_BITS = 60
 _FIRST, _STEP = 4, 8
 
@@ -104,10 +105,9 @@ def shard_rows(
 
 def _paged(chain: DataFrame, bits, shard_bytes: int, n_rows: int) -> DataFrame:
     """Pages of buckets whose rows all share their bits: halves of the limit by running bytes, large rows one to a page."""
-    rows = settle(chain.withColumn("part", F.monotonically_increasing_id()), "chains")
     half = shard_bytes // 2
-    rows = rows.withColumn("w", F.when(F.col("n_bytes") > half, half).otherwise(F.col("n_bytes")).cast("long"))
-    run = running_total(rows.withColumn("big", F.col("n_bytes") > half), ["depth", "prefix", "big"], "w", [F.col("part")], n_rows, "start")
+    rows = settle(chain, "chains").withColumn("w", F.when(F.col("n_bytes") > half, half).otherwise(F.col("n_bytes")).cast("long"))
+    run = running_total(rows.withColumn("big", F.col("n_bytes") > half), ["depth", "prefix", "big"], "w", [F.col("tie"), F.col("id"), F.col("n_bytes")], n_rows, "start")
     paged = run.withColumn("page", F.when(F.col("big"), -1 - F.floor(F.col("start") / max(1, half))).otherwise(F.floor(F.col("start") / max(1, half))).cast("long"))
     sizes = paged.groupBy("depth", "prefix", "page").agg(F.sum("n_bytes").alias("shard_bytes"))
     return paged.join(sizes, ["depth", "prefix", "page"]).select(

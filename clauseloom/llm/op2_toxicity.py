@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from clauseloom.llm.common import settle, small
+from clauseloom.llm.common import settle, small, unused
 from clauseloom.llm.labelled import best_bin, held_out, highest, platt, sample, sigmoid
 from clauseloom.llm.tokens import Memo, only
 
@@ -240,18 +240,18 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     tables = docs.sparkSession.sparkContext.broadcast(model.tables())  # BUCKETS rows
     scored = settle(_scored(docs.select(F.col(id_col), F.col(text_col).cast("string"), F.col(lang_col).cast("string").alias("lang")), tables, id_col), "scores")
     set_thresholds(model, scored.withColumnRenamed("id", id_col), labels)
-    cut = _threshold(model, "lang")
+    cut = _threshold(model, F.col("lang"))
     return scored.select(
         F.col("id").alias(id_col), held_out("id", FOLDS, HELD_OUT).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"),
         cut.alias("threshold"), (F.col("score") >= cut).alias("toxic"),
     )
 
 
-def _threshold(model: Model, lang_col: str) -> F.Column:
+def _threshold(model: Model, lang: F.Column) -> F.Column:
     if not model.thresholds:
         return F.lit(model.threshold)
     by_lang = F.create_map(*[F.lit(x) for pair in sorted(model.thresholds.items()) for x in pair])
-    return F.coalesce(F.element_at(by_lang, F.col(lang_col).cast("string")), F.lit(model.threshold))
+    return F.coalesce(F.try_element_at(by_lang, lang), F.lit(model.threshold))
 
 
 def _score_batches(tables):
@@ -277,18 +277,18 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """docs without those at or above their language's threshold, with all their columns.
 
     Every text is scored once: docs are written with their scores, as thresholds are known only after all scores.
+    Without a column `lang_col` all documents have the threshold of all.
     """
     model = train(docs, labels, id_col, text_col)
     tables = docs.sparkSession.sparkContext.broadcast(model.tables())
     score = _score_batches(tables)
-    at, name = docs.columns.index(text_col), "_score"
-    while name in docs.columns:
-        name += "_"
+    at, name = docs.columns.index(text_col), unused(docs.columns, "_score")
+    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
 
     def run(batches):
         for b in small(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, score(b.column(at).to_pylist())], [*b.schema.names, name])
 
     scored = settle(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())])), "scored")
-    set_thresholds(model, scored.select(id_col, F.col(lang_col).cast("string"), name), labels)
-    return scored.where(F.col(name) < _threshold(model, lang_col)).select(*docs.columns)
+    set_thresholds(model, scored.select(id_col, lang.alias("lang"), name), labels)
+    return scored.where(F.col(name) < _threshold(model, lang)).select(*docs.columns)
