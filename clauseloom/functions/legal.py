@@ -25,7 +25,7 @@ ORDINALS = {
         "sixteenth seventeenth eighteenth nineteenth twentieth".split()
     )
 }
-NUMBER = r"(?<![A-Za-z])(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)(?![A-Za-z])"
+NUMBER = r"(?U)(?<![A-Za-z])(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)(?![A-Za-z])"
 ROLES = (
     "magistrate", "judge", "court", "minister", "child", "parent", "guardian", "person", "officer", "commissioner", "police",
     "defendant", "plaintiff", "director", "secretary", "president", "government", "public servant", "wife", "husband", "surgeon",
@@ -33,14 +33,14 @@ ROLES = (
 CROSS_REFERENCES = (
     "this section", "that section", "last preceding section", "preceding section", "subsection", "chapter", "this code", "hereinafter",
 )
-MODAL = r"(?i)\b(?:shall|may|must)\b"
-EXCEPTION = r"(?i)\b(?:if|unless|provided that|provided further that|except|notwithstanding)\b"
+MODAL = r"(?iU)\b(?:shall|may|must)\b"
+EXCEPTION = r"(?iU)\b(?:if|unless|provided that|provided further that|except|notwithstanding)\b"
 
 #: Every number word and its value; "one" alone is an article as often as a number and isn't counted.
 WORD_VALUES: dict[str, int] = (
     {f"{t}-{d}": a + b for t, a in TENS.items() for d, b in DIGITS.items()} | TENS | TEENS | {w: v for w, v in DIGITS.items() if w != "one"} | ORDINALS
 )
-WORD_NUMBER = r"\b(?:" + "|".join(sorted(WORD_VALUES, key=lambda w: (-len(w), w))) + r")\b"
+WORD_NUMBER = r"(?U)\b(?:" + "|".join(sorted(WORD_VALUES, key=lambda w: (-len(w), w))) + r")\b"
 
 
 def canonical_number(c: Column) -> Column:
@@ -71,9 +71,9 @@ def modality_tags(c: Column) -> Column:
     t = F.lower(c)
     return F.array_compact(
         F.array(
-            F.when(t.rlike(r"\b(?:shall|must)\b(?!\s+not\b)"), OBLIGATION),
-            F.when(t.rlike(r"\b(?:may|can)\b(?!\s+not\b)"), PERMISSION),
-            F.when(t.rlike(r"\b(?:shall|must|may|can)\s+not\b|\bcannot\b"), PROHIBITION),
+            F.when(t.rlike(r"(?U)\b(?:shall|must)\b(?!\s+not\b)"), OBLIGATION),
+            F.when(t.rlike(r"(?U)\b(?:may|can)\b(?!\s+not\b)"), PERMISSION),
+            F.when(t.rlike(r"(?U)\b(?:shall|must|may|can)\s+not\b|\bcannot\b"), PROHIBITION),
         )
     )
 
@@ -119,7 +119,7 @@ def legal_flags(c: Column) -> dict[str, Column]:
         "has_exception": c.rlike(EXCEPTION),
         "has_numbers": c.rlike(r"(?U)\b\d+\b"),
         "has_roles": some_role,
-        "needs_context": low.rlike(r"\b(?:" + "|".join(CROSS_REFERENCES) + r")\b"),
+        "needs_context": low.rlike(r"(?U)\b(?:" + "|".join(CROSS_REFERENCES) + r")\b"),
         "bad_fragment": (F.length(bare) < 35) | (bare.rlike("[:;]$") & (F.length(bare) < 120)),
     }
     return {k: v.cast("int").alias(k) for k, v in flags.items()}

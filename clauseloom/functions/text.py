@@ -16,9 +16,9 @@ SPACE_BEFORE = r"(?U)\s+([;,.:)])"
 SPACE_AFTER = r"(?U)([(\[])\s+"
 CLAUSE_CUT = r"(?iU);\s*|,\s+(?:and|but|however|whereas)\s+"
 SENTENCE_CUT = r"(?U)(?<=[.!?])\s+"
-PREAMBLE = r"(?iU)^\s*(?:here(?:'|’)?s|here is|sure|simplified version)\b[^:\n]*[:!]\s*"
+PREAMBLE = r"(?iU)^(?:here'?s|here is|sure[,!]?|certainly[,!]?|simplified version|plain english)[^\n]*?:\s*"
 ITEM = r"\(\s*(?:[a-z]|([a-z])\1|i{1,3}|iv|v|vi{0,3}|ix|x)\s*\)"
-HEADLESS = rf"(?i)^(?:(?:(?:or|and)\s*,?\s*)?if\b|{ITEM})"
+HEADLESS = rf"(?iU)^(?:(?:(?:or|and)\s*,?\s*)?if\b|{ITEM})"
 
 
 def strip(c: Column) -> Column:
@@ -74,8 +74,8 @@ def paragraph_split(c: Column) -> Column:
 
 
 def strip_preamble(c: Column) -> Column:
-    """Without one leading announcement such as "Here is a simplified version:"."""
-    return strip(F.regexp_replace(c, PREAMBLE, ""))
+    """Without one leading announcement such as "Here is a simplified version:", up to the first line's first colon."""
+    return strip(F.regexp_replace(strip(c), PREAMBLE, ""))
 
 
 def is_headless(c: Column) -> Column:

@@ -14,12 +14,12 @@ from clauseloom.functions.text import clean_unit_text, is_blank, normalize_line,
 from clauseloom.plans.shared import fresh_path
 
 # Marks of sections, units and margin notes, and the share of a page that is margin.
-SECTION = r"^\d+[A-Z]?\."
-SECTION_MARK = r"^(\d+[A-Z]?)\.(?:\s|$)"
-AMENDMENT = r"^\[\s*\d+.*\]$"
-CHAPTER = r"(?i)^CHAPTER\b"
-SUBSECTION = r"^\((\d+)\)\s*"
-PROVISO = r"(?i)^Provided(?:\s+further)?\s+that\b"
+SECTION = r"(?U)^\d+[A-Z]?\."
+SECTION_MARK = r"(?U)^(\d+[A-Z]?)\.(?:\s|$)"
+AMENDMENT = r"(?U)^\[\s*\d+.*\]$"
+CHAPTER = r"(?iU)^CHAPTER\b"
+SUBSECTION = r"(?U)^\((\d+)\)\s*"
+PROVISO = r"(?iU)^Provided(?:\s+further)?\s+that\b"
 EXPLANATION = r"(?i)^Explanation"
 ILLUSTRATIONS = r"(?i)^Illustrations?\.?$"
 LETTER_OR_ROMAN = r"(?i)^\((?:[a-z]|[ivxlcdm]+)\)"
@@ -83,19 +83,19 @@ def find_sections(lines: DataFrame, lo: int = 1, hi: int = 500) -> DataFrame:
     mark = F.regexp_extract("line", SECTION_MARK, 1)
     number = F.regexp_extract(mark, r"^\d+", 0).try_cast("long")
     valid = (mark != "") & ~mark.rlike(r"^\d{4}$") & number.between(lo, hi)
-    marked = lines.withColumn("_id", F.when(valid, mark)).withColumn("section_no", F.count("_id").over(order)).where("section_no > 0")
+    # The page behind each line's own, known at the page's last line.
+    ends = lines.withColumn("_lead", F.lead("page").over(order)).withColumn("_end", F.col("_lead").isNull() | (F.col("_lead") != F.col("page")))
+    behind = F.first(F.when(F.col("_end"), F.col("_lead")), ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    marked = ends.withColumn("_behind", behind).withColumn("_id", F.when(valid, mark)).withColumn("section_no", F.count("_id").over(order)).where("section_no > 0")
     whole = Window.partitionBy("doc_id", "section_no")
     first = F.min("page").over(whole)
     later = F.min(F.when(F.col("page") > F.col("_first"), F.col("page"))).over(whole)
     begun = marked.withColumn("section_id", F.max("_id").over(whole)).withColumn("_first", first).withColumn("_next", later)
     # A section that ends with its page still holds the next page's mark, whatever opens there.
-    pages = lines.select("doc_id", "page").distinct()
-    after = pages.select("doc_id", F.col("page").alias("_first"), F.lead("page").over(Window.partitionBy("doc_id").orderBy("page")).alias("_lead"))
-    ends = begun.join(after, ["doc_id", "_first"]).withColumn("_last", F.max(F.struct("page", "line_idx")).over(whole))
-    page_end = lines.groupBy(F.col("doc_id"), F.col("page").alias("_first")).agg(F.max("line_idx").alias("_end"))
-    reaches = ends.join(page_end, ["doc_id", "_first"])
-    at_end = (F.col("_last.page") == F.col("_first")) & (F.col("_last.line_idx") == F.col("_end"))
-    return reaches.select("doc_id", "page", "line_idx", "line", "section_no", "section_id", F.coalesce("_next", F.when(at_end, F.col("_lead"))).alias("page_start"))
+    last, opening = F.max(F.struct("page", "line_idx", "_end")).over(whole), F.min(F.struct("page", "line_idx", "_behind")).over(whole)
+    reaches = begun.withColumn("_last", last).withColumn("_open", opening)
+    at_end = (F.col("_last.page") == F.col("_first")) & F.col("_last._end")
+    return reaches.select("doc_id", "page", "line_idx", "line", "section_no", "section_id", F.coalesce("_next", F.when(at_end, F.col("_open._behind"))).alias("page_start"))
 
 
 def split_units(section_lines: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,19 +16,27 @@ from clauseloom.functions.text import PREAMBLE, is_blank, strip
 # The published readability formulas' factors and the marks of format defects.
 FKGL = (0.39, 11.8, -15.59)
 ARI = (4.71, 0.5, -21.43)
-BULLET = r"(?m)^\s*(?:[-*•]|\d+[.)])\s+"
-LEAKED = r"(?i)\b(?:original|source|provision|simplified|output|answer)\s*(?:text|version)?\s*:"
+BULLET = r"(?mdU)^\s*(?:[-*•]|\d+[.)])\s+"
+LEAKED = r"(?iU)\b(?:original|source|provision|simplified|output|answer)\s*(?:text|version)?\s*:"
+
+
+#: Characters of a word, and those of them that are no vowels.
+_IN_WORD, _CONSONANT = r"[\p{L}\p{N}']", r"[\p{L}\p{N}'&&[^aeiouy]]"
 
 
 def _counts(c: Column) -> tuple[Column, Column, Column, Column]:
-    """(sentences, words, letters and digits, syllables) of a text; syllables are vowel groups without a silent last e."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}']+"), F.lit(0))
-    n_words = F.size(words)
-    sentences = F.greatest(F.regexp_count(c, F.lit(r"[.!?]+(?=\s|$)")), F.lit(1))
-    letters = F.regexp_count(c, F.lit(r"[\p{L}\p{N}]"))
-    one = lambda w: F.greatest(F.regexp_count(F.regexp_replace(w, r"(?<=[^aeiouy])e$", ""), F.lit("[aeiouy]+")), F.lit(1))
-    syllables = F.aggregate(words, F.lit(0), lambda a, w: a + one(w))
-    return sentences, n_words, letters, syllables
+    """(sentences, words, letters and digits, syllables) of a text.
+
+    A word's syllables are its vowel groups without a silent last e, one at least.
+    Over a whole text these are all vowel groups, less the words' silent e's, and
+    one for each word that then has none.
+    """
+    low = F.lower(c)
+    count = lambda x, pattern: F.regexp_count(x, F.lit(pattern))
+    silent = count(low, f"(?<={_CONSONANT})e(?!{_IN_WORD})")
+    without = count(low, f"(?<!{_IN_WORD}){_CONSONANT}++e?+(?!{_IN_WORD})")
+    sentences = F.greatest(count(c, r"[.!?]+(?=\s|$)"), F.lit(1))
+    return sentences, count(low, f"{_IN_WORD}+"), count(c, r"[\p{L}\p{N}]"), count(low, "[aeiouy]+") - silent + without
 
 
 def _formula(c: Column, kind: str) -> Column:
@@ -51,22 +60,71 @@ def ari(c: Column) -> Column:
     return _formula(c, "ari")
 
 
-_SUFFIXES = (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", ""))
+# The endings of the published algorithm's second, third and fourth step, in its order.
+SECOND = (
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
+    ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+)
+THIRD = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
+FOURTH = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+
+
+def _measure(stem: str) -> int:
+    """How often a vowel is followed by a consonant, each counted once a run."""
+    return len(re.findall("vc", re.sub("v+", "v", re.sub("c+", "c", _shape(stem)))))
+
 
+def _shape(w: str) -> str:
+    """v for each vowel, c for each consonant; y is a vowel behind a consonant."""
+    out = ""
+    for k, ch in enumerate(w):
+        out += "v" if ch in "aeiou" or (ch == "y" and k and out[-1] == "c") else "c"
+    return out
 
+
+def _closed(w: str) -> bool:
+    """Ends consonant, vowel, consonant, the last not w, x or y."""
+    return _shape(w)[-3:] == "cvc" and w[-1] not in "wxy"
+
+
+@lru_cache(1 << 16)
 def _stem(w: str) -> str:
-    """Plural, -ed, -ing and -ly endings of words over three letters: the first step of suffix stripping."""
+    """The published suffix stripping algorithm of 1980, for words over three letters."""
     if len(w) <= 3:
         return w
-    for end, put in _SUFFIXES:
+    has_vowel = lambda x: "v" in _shape(x)
+    for end, put in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
         if w.endswith(end):
             w = w[: len(w) - len(end)] + put
             break
-    for end in ("ing", "ed", "ly"):
-        base = w[: -len(end)]
-        if w.endswith(end) and len(base) > 2 and re.search("[aeiouy]", base):
-            return base[:-1] if len(base) > 3 and base[-1] == base[-2] and base[-1] not in "lsz" else base
-    return w
+    if w.endswith("eed"):
+        w = w[:-1] if _measure(w[:-3]) > 0 else w
+    else:
+        for end in ("ed", "ing"):
+            base = w[: len(w) - len(end)]
+            if w.endswith(end) and has_vowel(base):
+                double = len(base) > 1 and base[-1] == base[-2] and _shape(base)[-1] == "c" and base[-1] not in "lsz"
+                w = base + "e" if base.endswith(("at", "bl", "iz")) else base[:-1] if double else base + "e" if _measure(base) == 1 and _closed(base) else base
+                break
+    if w.endswith("y") and has_vowel(w[:-1]):
+        w = w[:-1] + "i"
+    for table in (SECOND, THIRD):
+        for end, put in table:
+            if w.endswith(end):
+                base = w[: len(w) - len(end)]
+                w = base + put if _measure(base) > 0 else w
+                break
+    for end in FOURTH:
+        if w.endswith(end):
+            base = w[: len(w) - len(end)]
+            if _measure(base) > 1 and (end != "ion" or base.endswith(("s", "t"))):
+                w = base
+            break
+    if w.endswith("e"):
+        base = w[:-1]
+        if _measure(base) > 1 or (_measure(base) == 1 and not _closed(base)):
+            w = base
+    return w[:-1] if w.endswith("ll") and _measure(w[:-1]) > 1 else w
 
 
 def _lcs(a: list[str], b: list[str]) -> int:
@@ -132,11 +190,12 @@ def exact_copies(outputs: DataFrame) -> DataFrame:
 def format_defects(outputs: DataFrame) -> DataFrame:
     o = F.col("output")
     return outputs.groupBy("model").agg(
-        F.count_if(o.rlike(PREAMBLE)).alias("n_preamble"), F.count_if(o.rlike(BULLET)).alias("n_bullets"), F.count_if(o.rlike(LEAKED)).alias("n_leaked_label")
+        F.count_if(strip(o).rlike(PREAMBLE)).alias("n_preamble"), F.count_if(o.rlike(BULLET)).alias("n_bullets"), F.count_if(o.rlike(LEAKED)).alias("n_leaked_label")
     )
 
 
 def source_vs_gold(df: DataFrame) -> DataFrame:
     """Mean readability of the sources and of the gold rewrites."""
     sides = df.select(F.inline(F.array(F.struct(F.lit("source").alias("side"), F.col("source_text").alias("t")), F.struct(F.lit("gold").alias("side"), F.col("simple_text").alias("t")))))
-    return sides.groupBy("side").agg(F.bround(F.avg(fkgl(F.col("t"))), 3).alias("fkgl"), F.bround(F.avg(ari(F.col("t"))), 3).alias("ari"), F.count(fkgl(F.col("t"))).alias("n"))
+    graded = sides.select("side", fkgl(F.col("t")).alias("fkgl"), ari(F.col("t")).alias("ari"))
+    return graded.groupBy("side").agg(F.bround(F.avg("fkgl"), 3).alias("fkgl"), F.bround(F.avg("ari"), 3).alias("ari"), F.count("fkgl").alias("n"))

@@ -10,8 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.functions.text import is_blank
-
 # The canonical labels by id, what they mean for a claim, codes worth another call, limits.
 LABELS = ("contradiction", "entailment", "neutral")
 MEANING = {"entailment": "supported", "contradiction": "unsupported"}
@@ -85,7 +83,7 @@ def distinct_labels(model_labels: DataFrame) -> DataFrame:
 
 def pair_length(df: DataFrame, counter: Column | None = None) -> DataFrame:
     """df with n_tokens of (premise, hypothesis): words and marks plus the special tokens of a pair, unless a counter is given."""
-    rule = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+    rule = r"(?U)[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
     default = F.regexp_count(F.coalesce("premise", F.lit("")), F.lit(rule)) + F.regexp_count(F.coalesce("hypothesis", F.lit("")), F.lit(rule)) + SPECIAL_TOKENS
     return df.withColumn("n_tokens", default if counter is None else counter)
 
@@ -185,11 +183,18 @@ def batch_generate(
     """df with output, attempts and gen_error from a caller's generator; only transient failures are tried again."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        make = None
+        make, broken = None, None
         for f in frames:
             outs = []
-            make = make or make_generator()
+            if make is None and broken is None:
+                try:
+                    make = make_generator()
+                except Exception as e:  # noqa: BLE001  any failure to load is a column of the result
+                    broken = f"{type(e).__name__}: {e}"
             for text in f[source]:
+                if broken:
+                    outs.append((None, 0, broken))
+                    continue
                 said, error, n = None, None, 0
                 prompt = text if max_source_tokens is None or text is None else " ".join(text.split()[:max_source_tokens])
                 while n < max_attempts and said is None:
@@ -256,6 +261,3 @@ def build_predictions(df: DataFrame) -> DataFrame:
         *[F.bround(p, 6).alias(f"prob_{k}") for p, k in zip(ps, LABELS, strict=True)],
     )
 
-
-def unusable_evidence(c: Column) -> Column:
-    return is_blank(c)

@@ -275,7 +275,7 @@ def paragraph_split(spark, d):
     return documents(spark, d).select("doc_id", F.explode(text.paragraph_split(c("text"))).alias("paragraph"))
 
 
-@query("strip_preamble", f"SELECT example_id, model, CASE WHEN model = 'talk' THEN {q.strip('source_text')} ELSE {q.strip('output')} END AS output FROM ({fx.REWRITES}) r")
+@query("strip_preamble", f"SELECT example_id, model, {q.strip(q.preamble_cut('output'))} AS output FROM ({fx.REWRITES}) r")
 def strip_preamble(spark, d):
     return derive(spark, d, fx.REWRITES).select("example_id", "model", text.strip_preamble(c("output")).alias("output"))
 
@@ -763,13 +763,13 @@ def exact_copies(spark, d):
     return rewrites.exact_copies(derive(spark, d, fx.REWRITES))
 
 
-def _counted(pattern: str) -> str:
-    return "count(*) FILTER (WHERE regexp_matches(output, '" + pattern.replace("(?iU)", "(?i)").replace("'", "''") + "'))"
+def _counted(pattern: str, of: str = "output") -> str:
+    return f"count(*) FILTER (WHERE regexp_matches({of}, '" + pattern.replace("(?iU)", "(?i)").replace("(?mdU)", "(?m)").replace("'", "''") + "'))"
 
 
 @query(
     "format_defects",
-    f"SELECT model, {_counted(text.PREAMBLE)} AS n_preamble, {_counted(rewrites.BULLET)} AS n_bullets, {_counted(rewrites.LEAKED)} AS n_leaked_label FROM ({fx.REWRITES}) r GROUP BY 1",
+    f"SELECT model, count(*) FILTER (WHERE {q.has_preamble('output')}) AS n_preamble, {_counted(rewrites.BULLET)} AS n_bullets, {_counted(rewrites.LEAKED)} AS n_leaked_label FROM ({fx.REWRITES}) r GROUP BY 1",
 )
 def format_defects(spark, d):
     return rewrites.format_defects(derive(spark, d, fx.REWRITES))

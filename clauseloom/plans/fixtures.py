@@ -91,11 +91,15 @@ SELECT CAST(floor(n / 400) AS BIGINT) AS doc_id, CAST(floor((n % 400) / 80) AS I
 FROM (SELECT o_orderkey AS n, CAST(o_orderkey % 12 + 2 AS STRING) AS ms, CAST(o_orderkey % 30 AS STRING) AS fs FROM orders) b
 """
 
+#: What the talking model says first; a preamble ends at the first line's first colon, so the last two are none by themselves.
+TALKS = ("Here is the simplified version: ", "Certainly! Here it is: ", "Plain English: ", "Surely the rule: ", "Sure! ", "Note: ")
+TALK = "CASE conv_id % 6 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(TALKS)) + " END"
+
 #: Rewrites of question and answer turns by three models: a copy, a cut, and one with a preamble.
 REWRITES = " UNION ALL ".join(
     f"SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS example_id, '{model}' AS model, text AS source_text, lower(text) AS simple_text, "
     f"{output} AS output, CAST(conv_id % 2 AS INT) AS has_exception FROM conversations WHERE text IS NOT NULL"
-    for model, output in (("copy", "concat(text, ' ')"), ("cut", "substr(text, 1, 60)"), ("talk", "concat('Here is the simplified version: ', text)"))
+    for model, output in (("copy", "concat(text, ' ')"), ("cut", "substr(text, 1, 60)"), ("talk", f"concat({TALK}, text)"))
 )
 
 EPOCHS = """

@@ -66,3 +66,13 @@ def label_id(c: str) -> str:
         f"CASE {low} WHEN 'contradiction' THEN 0 WHEN 'entailment' THEN 1 WHEN 'neutral' THEN 2 ELSE "
         f"CASE WHEN regexp_matches({low}, '^[+-]?\\d+(\\.\\d*)?$') AND CAST({low} AS DOUBLE) IN (0, 1, 2) THEN CAST(CAST({low} AS DOUBLE) AS INT) END END"
     )
+
+
+def has_preamble(t: str) -> str:
+    """An announcement at the text's begin, and a colon in its first line."""
+    words = " OR ".join(f"starts_with(lower({strip(t)}), '{w}')" for w in ("heres", "here''s", "here is", "sure", "certainly", "simplified version", "plain english"))
+    return f"(({words}) AND contains(split_part({strip(t)}, chr(10), 1), ':'))"
+
+
+def preamble_cut(t: str) -> str:
+    return f"CASE WHEN {has_preamble(t)} THEN substr({strip(t)}, strpos({strip(t)}, ':') + 1) ELSE {t} END"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,10 +77,11 @@ def write_v2_splits(splits: dict[str, DataFrame], path: str, fmt: str = "parquet
 
 
 def write_runs(df: DataFrame, path: str, ts: str = "ts") -> str:
-    """Append run records as JSON by date. A failing log yields "warning" and stops nothing else."""
+    """Append run records as JSON by date. A failing write is logged, yields "warning" and stops nothing else."""
     try:
         _write(df.withColumn("run_date", F.to_date(ts)), path, "json", ["run_date"], "append")
     except Exception:  # noqa: BLE001  the log is not critical
+        logging.getLogger(__name__).exception("run records were not written to %s", path)
         return "warning"
     return "success"
 
