@@ -151,7 +151,7 @@ def validate_spans(spans: DataFrame, provisions: DataFrame) -> DataFrame:
 
 
 def spans_with_fallback(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with spans, span_status and span_method: structural, else by sentences, else the whole text."""
+    """df with spans, span_status, span_method and span_reason: structural, else by sentences, else the whole text, which is kept where it fails too."""
     c = F.col(text)
     whole = F.array(F.struct(F.lit(1).alias("span_idx"), F.lit("P1").alias("span_id"), c.alias("text"), F.lit(0).alias("start"), F.length(c).alias("end"))).cast(SPANS)
     tiers = df.withColumn("_1", make_spans(c)).withColumn("_2", sentence_spans(c)).withColumn("_3", whole)
@@ -161,6 +161,7 @@ def spans_with_fallback(df: DataFrame, text: str = "text") -> DataFrame:
         F.when(ok[0], F.col("_1")).when(ok[1], F.col("_2")).otherwise(F.col("_3")).alias("spans"),
         F.when(ok[0], "success").when(ok[1] | ok[2], "fallback").otherwise("failed").alias("span_status"),
         F.when(ok[0], None).when(ok[1], "sentence_splitter").when(ok[2], "full_provision").alias("span_method"),
+        F.when(~ok[0] & ~ok[1], spans_reason(F.col("_3"), c)).alias("span_reason"),
     ).drop("_1", "_2", "_3")
 
 

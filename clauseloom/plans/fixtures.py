@@ -47,6 +47,14 @@ CLAIM_ROWS = " UNION ALL ".join(
 )
 SIMPLIFIED = f"SELECT {_ID}, {_case({k: 'concat_ws(chr(32), ' + ', '.join(c) + ')' for k, c in CLAIMS.items()})} AS simplified_text FROM ({BASE}) b"
 
+#: What a simplifier and a claim extractor answer: some failures, some answers that are no JSON.
+RESPONSES = (
+    f"SELECT {_ID}, CASE WHEN n % 29 <> 0 THEN {_case({k: 'concat_ws(chr(32), ' + ', '.join(c) + ')' for k, c in CLAIMS.items()})} END AS simplified_text, "
+    "CASE WHEN n % 29 = 0 THEN 2 ELSE 1 END AS attempts, CASE WHEN n % 29 = 0 THEN 'TimeoutError' END AS error, CASE WHEN n % 5 = 0 THEN 'no json' ELSE "
+    + _case({k: "concat('[', " + ", ',', ".join(f"""'{{"claim_id": "x", "claim_text": "', {t}, '"}}'""" for t in c) + ", ']')" for k, c in CLAIMS.items()})
+    + f" END AS raw FROM ({BASE}) b"
+)
+
 #: Labelled pairs: names, ids and unusable labels mixed; texts that repeat in other case and spacing.
 PAIRS = """
 SELECT concat('x', CAST(o_orderkey - CASE WHEN o_orderkey % 97 = 1 THEN 1 ELSE 0 END AS STRING)) AS nli_id,
@@ -132,7 +140,7 @@ def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The result of a template over the tables of one folder that it names."""
     tables = ("orders", "lineitem", "customer", "conversations", "events", "embeddings", "documents", "labels")
     named = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables if f"FROM {t}" in sql}
-    text = sql.replace('AS "end"', "AS `end`").replace("{", "{{").replace("}", "}}")
+    text = sql.replace('AS "end"', "AS `end`").replace("{", "{{").replace("}", "}}")  # named tables are put in by format
     for t in named:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
     return spark.sql(text, **named)

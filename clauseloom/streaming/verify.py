@@ -33,7 +33,11 @@ def stream_verify(spark: SparkSession, source: str, sink: str, checkpoint: str,
     stream = spark.readStream.schema(INPUT).json(source)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        verify(batch).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        held = batch.persist()  # read for spans, claims and sources
+        try:
+            verify(held).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        finally:
+            held.unpersist()
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
