@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clauseloom.llm.common import small
+
 #: compare(group, a, b) of two lists of payloads gives a boolean matrix of links.
 Compare = Callable[[object, list, list], np.ndarray]
 #: Groups are cut into at least so many blocks as soon as these hold FEW members each, so that a large group is never two tasks' work.
@@ -40,7 +42,7 @@ def forest(links: np.ndarray) -> list[tuple[int, int]]:
 
 def units(batches: Iterator[pa.RecordBatch], same: Callable[[tuple], tuple]) -> Iterator[tuple[tuple, list, list, bool]]:
     """(key, left rows, right rows, whether both are one block) of each unit of sorted batches; rows (grp, i, j, right, node, ...) by node once."""
-    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    rows = (r for b in small(batches) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
     for key, part in groupby(rows, key=lambda r: r[:3]):
         once = {same(r): r for r in part}.values()
         left = [r for r in once if not r[3]]

@@ -11,17 +11,19 @@ library whole. Tests compare all of it with the library on whole texts.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import unicodedata
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
-#: Bytes of one generation of a memo; two are kept, so what was used lately survives. Longer keys than MEMO_CHARS are not kept.
-MEMO_BYTES, MEMO_CHARS = 64 << 20, 48
+#: Bytes of one generation of an encoder's and of a words' memo; two are kept, so what was used lately survives. Longer keys than MEMO_CHARS are not kept.
+MEMO_BYTES, WORD_BYTES, MEMO_CHARS = 60 << 20, 20 << 20, 48
 #: What an entry takes besides its key's and value's own bytes: two objects' heads and a dict's slot.
 ENTRY_BYTES = 200
 #: Chunks that go to the library in one call.
@@ -35,6 +37,7 @@ _LATIN = re.compile("[^\x00-įĲ-ſ]")
 
 
 _LIVE: list = []
+_LIBC = ctypes.CDLL(None)  # gives freed memory back, which the allocator keeps otherwise
 
 
 def only(owner):
@@ -42,6 +45,9 @@ def only(owner):
     for memo in _LIVE:
         if memo is not owner:
             memo.forget()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
     return owner
 
 
@@ -62,7 +68,7 @@ class Memo(dict):
         if value is None:
             value = self.make(key)
         if len(key) <= MEMO_CHARS:
-            if self.held >= MEMO_BYTES:
+            if self.held >= WORD_BYTES:
                 self.old, self.held = dict(self), 0
                 self.clear()
             self[key] = value
