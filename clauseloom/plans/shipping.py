@@ -1,4 +1,4 @@
-"""Hands this package to the Python workers of a session."""
+"""Hands this package, and batches of bounded size, to the Python workers of a session."""
 
 from __future__ import annotations
 
@@ -9,10 +9,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of an Arrow batch, which the JVM and the Python worker of every task hold; whole texts make the default of 64 MB costly.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Add the package as a zip file to the session's workers, once for each application."""
+    """Add the package as a zip file to the session's workers, once for each application, and bound their batches where the session doesn't."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
