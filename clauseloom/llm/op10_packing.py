@@ -95,18 +95,24 @@ def rounded(lengths: np.ndarray, counts: np.ndarray, uses: dict[tuple, float], c
     A configuration is used if it is filled to FILL of the best with the same longest
     piece. Uses are rounded by their running sum, those with the longest piece first, so
     many small uses are not all rounded to none; a use takes no more pieces than last.
+    Pieces of uses that are not made are kept from later configurations, as the next
+    program has better ones for them.
     """
-    rest, out, carry = counts.astype(np.int64), [], 0.0
+    rest, kept, out, carry = counts.astype(np.int64), np.zeros(len(counts)), [], 0.0
     fill = {c: sum(int(lengths[i]) * n for i, n in c) for c in uses}
     best = {c[-1][0]: f for c, f in sorted(fill.items(), key=lambda cf: cf[1])}
-    for config in sorted((c for c in uses if fill[c] >= FILL * best[c[-1][0]]), key=lambda c: (-c[-1][0], -fill[c], -uses[c], c)):
-        carry += uses[config]
-        whole = min(int(carry), *(int(rest[i] // n) for i, n in config))
-        carry -= int(carry)
+    for config in sorted(uses, key=lambda c: (-c[-1][0], -fill[c], -uses[c], c)):
+        idx, copies = np.array(config).T
+        wanted, whole = uses[config], 0
+        if fill[config] >= FILL * best[config[-1][0]]:
+            carry += wanted
+            wanted = int(carry)
+            carry -= wanted
+            whole = min(wanted, int((np.maximum(rest[idx] - kept[idx], 0) // copies).min()))
         if whole > 0:
             out.append((whole, {int(lengths[i]): n for i, n in config}))
-            for i, n in config:
-                rest[i] -= whole * n
+            rest[idx] -= whole * copies
+        kept[idx] += (wanted - whole) * copies
     return out, {int(x): int(n) for x, n in zip(lengths, rest, strict=True) if n}
 
 

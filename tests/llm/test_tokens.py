@@ -158,6 +158,12 @@ def test_configurations_hold_everything(hist):
     assert used >= -(-volume // 32) and used <= 1.1 * sum(n for n, _ in op10_packing.best_fit(hist, 32)) + 3
 
 
+def test_scarce_lengths_leave_the_others_their_pieces():
+    """The fullest configurations hold a length that soon runs out; what they would have taken stays for the next program."""
+    for hist, most in (({1: 1, 8: 25, 17: 25}, 25), ({1: 1, 2: 2, 8: 386, 13: 1, 15: 4, 18: 485}, 490)):
+        assert sum(n for n, _ in op10_packing.configurations(hist, 32, rounds=30)) <= most
+
+
 def test_program_beats_greedy():
     hist = {6: 700, 10: 700, 16: 700, 34: 1000, 51: 1000}  # longest first wastes space here
     assert sum(n for n, _ in op10_packing.configurations(hist, 101)) < sum(n for n, _ in op10_packing.best_fit(hist, 101))
