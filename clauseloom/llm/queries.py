@@ -17,6 +17,9 @@ from clauseloom.llm import (
     op8_exact_dedup,
     op9_token_files,
     op10_packing,
+    op11_lattice_lm,
+    op12_fill_in_middle,
+    op13_hard_negatives,
 )
 
 
@@ -65,6 +68,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_lattice_lm.lattice_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_fill_in_middle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_fill_in_middle.fill_in_middle_report(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_hard_negatives.mined_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding_query,
     "op2_toxicity_scores": op2_toxicity_scores,
@@ -76,6 +91,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup_query,
     "op9_token_files": op9_token_files_query,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_lattice_scores": op11_lattice_scores,
+    "op12_fill_in_middle": op12_fill_in_middle_query,
+    "op13_hard_negatives": op13_hard_negatives_query,
 }
 
 ORACLE_SQL = {
@@ -137,5 +155,38 @@ deg AS (SELECT a, count(*) AS n_links, count(*) FILTER (WHERE same) AS copies, m
 SELECT d.doc_id, coalesce(n.n, 0) AS n_ngrams, coalesce(least(d.doc_id, deg.low), d.doc_id) AS class_id, coalesce(deg.copies, 0) + 1 AS class_size,
        coalesce(deg.n_links, 0) AS n_links, coalesce(c.c, d.doc_id) AS component_id, d.doc_id = coalesce(c.c, d.doc_id) AS kept
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN deg ON deg.a = d.doc_id LEFT JOIN comp c ON c.a = d.doc_id
+""",
+    "op12_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+u AS (
+  SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d
+), f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u
+), p AS (SELECT *, substr(t, 1, a) AS x, substr(t, a + 1, b - a) AS y, substr(t, b + 1) AS z FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+""",
+    "op13_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER w <= 3
 """,
 }
