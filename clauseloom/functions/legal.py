@@ -9,8 +9,9 @@ from clauseloom.functions.text import strip
 
 # Words that carry no content, modal tags, number words, roles and cross references.
 STOP_WORDS = (
-    "the a an and or of to in on for by with is are be was were this that any such as at he she they who which been have has from its their"
-).split()
+    "the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "by", "with", "is", "are", "be", "was", "were", "this", "that", "any", "such",
+    "as", "at", "he", "she", "they", "who", "which", "been", "have", "has", "from", "its", "their",
+)
 OBLIGATION, PERMISSION, PROHIBITION = "LEGAL_MODAL_OBLIGATION", "LEGAL_MODAL_PERMISSION", "LEGAL_MODAL_PROHIBITION"
 TENS = {"twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
 DIGITS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9}
@@ -19,12 +20,10 @@ TEENS = {
     "seventeen": 17, "eighteen": 18, "nineteen": 19,
 }
 ORDINALS = {
-    w: i + 1
-    for i, w in enumerate(
-        "first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth "
-        "sixteenth seventeenth eighteenth nineteenth twentieth".split()
-    )
-}
+    "first": 1, "second": 2, "third": 3, "fourth": 4, "fifth": 5, "sixth": 6, "seventh": 7, "eighth": 8, "ninth": 9, "tenth": 10,
+    "eleventh": 11, "twelfth": 12, "thirteenth": 13, "fourteenth": 14, "fifteenth": 15, "sixteenth": 16, "seventeenth": 17,
+    "eighteenth": 18, "nineteenth": 19, "twentieth": 20,
+}
 NUMBER = r"(?U)(?<![A-Za-z])(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)(?![A-Za-z])"
 ROLES = (
     "magistrate", "judge", "court", "minister", "child", "parent", "guardian", "person", "officer", "commissioner", "police",
@@ -40,7 +39,18 @@ EXCEPTION = r"(?iU)\b(?:if|unless|provided that|provided further that|except|not
 WORD_VALUES: dict[str, int] = (
     {f"{t}-{d}": a + b for t, a in TENS.items() for d, b in DIGITS.items()} | TENS | TEENS | {w: v for w, v in DIGITS.items() if w != "one"} | ORDINALS
 )
-WORD_NUMBER = r"(?U)\b(?:" + "|".join(sorted(WORD_VALUES, key=lambda w: (-len(w), w))) + r")\b"
+
+
+def _word_pattern(words) -> str:
+    """Any of words, the longest first; one branch for each first letter, so that few places of a text try any word at all."""
+    by_first: dict[str, list[str]] = {}
+    for w in sorted(words, key=lambda w: (-len(w), w)):
+        by_first.setdefault(w[0], []).append(w[1:])
+    branches = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(by_first.items()))
+    return rf"(?U)\b(?=[{''.join(sorted(by_first))}])(?:{branches})\b"
+
+
+WORD_NUMBER = _word_pattern(WORD_VALUES)
 
 
 def canonical_number(c: Column) -> Column:

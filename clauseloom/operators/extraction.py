@@ -1,28 +1,39 @@
 """Statute pages to candidate rows: positioned words, lines, pages, sections, units.
 
-Every window is over one document, and all steps after the lines are keyed by
-document, so that one shuffle by document serves them.
+Sections and units are found in one pass over lines that are dealt by document and
+sorted inside partitions. Rows stream through Arrow batches; what is carried from
+line to line, and from batch to batch, is the state of one document's open section:
+its lines up to the first page break, where its page becomes known, and the open
+unit's text.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+from itertools import batched
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from clauseloom.functions.legal import legal_flags
-from clauseloom.functions.text import clean_unit_text, is_blank, normalize_line, strip
-from clauseloom.plans.shared import fresh_path
+from clauseloom.functions.text import DROPPED, clean_unit_text, is_blank, normalize_line, strip
+from clauseloom.plans.shared import written
 
 # Marks of sections, units and margin notes, and the share of a page that is margin.
 SECTION = r"(?U)^\d+[A-Z]?\."
-SECTION_MARK = r"(?U)^(\d+[A-Z]?)\.(?:\s|$)"
+SECTION_MARK = re.compile(r"(\d+[A-Z]?)\.(?:\s|$)")
 AMENDMENT = r"(?U)^\[\s*\d+.*\]$"
 CHAPTER = r"(?iU)^CHAPTER\b"
-SUBSECTION = r"(?U)^\((\d+)\)\s*"
-PROVISO = r"(?iU)^Provided(?:\s+further)?\s+that\b"
-EXPLANATION = r"(?i)^Explanation"
-ILLUSTRATIONS = r"(?i)^Illustrations?\.?$"
-LETTER_OR_ROMAN = r"(?i)^\((?:[a-z]|[ivxlcdm]+)\)"
+CHAPTER_LINE = re.compile(r"CHAPTER\b", re.I)
+SUBSECTION = re.compile(r"\((\d+)\)\s*")
+PROVISO = re.compile(r"Provided(?:\s+further)?\s+that\b", re.I)
+EXPLANATION = re.compile("Explanation", re.I)
+ILLUSTRATIONS = re.compile(r"Illustrations?\.?$", re.I)
+LETTER_OR_ROMAN = re.compile(r"\((?:[a-z]|[ivxlcdm]+)\)", re.I)
 LEFT_MARGIN, WIDE_MARGIN = 0.20, 0.22
 SHORT_LINE, SHORT_NOTE = 60, 80
 
@@ -73,82 +84,161 @@ def page_lines(pages: DataFrame) -> DataFrame:
     return full.select("doc_id", "page", F.posexplode(F.split(strip(F.col("text")), "\n")).alias("line_idx", "line"))
 
 
-def find_sections(lines: DataFrame, lo: int = 1, hi: int = 500) -> DataFrame:
-    """lines with section_no (its ordinal in the document), section_id and page_start; lines before the first section go.
+#: Rows of an Arrow batch that a scan gives back.
+BATCH_ROWS = 4096
+_DROP = dict.fromkeys(map(ord, DROPPED))
+_UNSEEN = object()
+
+
+def _section_mark(line: str, lo: int, hi: int) -> str | None:
+    """The number that opens a section; four digits are a year."""
+    m = SECTION_MARK.match(line)
+    if not m:
+        return None
+    digits = m[1].rstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    return m[1] if (len(m[1]) != 4 or digits != m[1]) and len(digits) < 19 and lo <= int(digits) <= hi else None
 
-    page_start is the first page mark inside a section: the next page, if its mark
-    comes before the next section does.
+
+def scan_sections(lines: Iterator[tuple], lo: int, hi: int) -> Iterator[tuple]:
+    """Sorted (doc, page, line_idx, line) -> these with section_no, section_id and page_start; lines before a document's first section go.
+
+    page_start is the page that begins first after the section's own first page and
+    before the next section does; a page's mark stands in front of its lines, so a
+    section that ends with its page still holds the mark of the next.
     """
-    order = Window.partitionBy("doc_id").orderBy("page", "line_idx")
-    mark = F.regexp_extract("line", SECTION_MARK, 1)
-    number = F.regexp_extract(mark, r"^\d+", 0).try_cast("long")
-    valid = (mark != "") & ~mark.rlike(r"^\d{4}$") & number.between(lo, hi)
-    # The page behind each line's own, known at the page's last line.
-    ends = lines.withColumn("_lead", F.lead("page").over(order)).withColumn("_end", F.col("_lead").isNull() | (F.col("_lead") != F.col("page")))
-    behind = F.first(F.when(F.col("_end"), F.col("_lead")), ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    marked = ends.withColumn("_behind", behind).withColumn("_id", F.when(valid, mark)).withColumn("section_no", F.count("_id").over(order)).where("section_no > 0")
-    whole = Window.partitionBy("doc_id", "section_no")
-    first = F.min("page").over(whole)
-    later = F.min(F.when(F.col("page") > F.col("_first"), F.col("page"))).over(whole)
-    begun = marked.withColumn("section_id", F.max("_id").over(whole)).withColumn("_first", first).withColumn("_next", later)
-    # A section that ends with its page still holds the next page's mark, whatever opens there.
-    last, opening = F.max(F.struct("page", "line_idx", "_end")).over(whole), F.min(F.struct("page", "line_idx", "_behind")).over(whole)
-    reaches = begun.withColumn("_last", last).withColumn("_open", opening)
-    at_end = (F.col("_last.page") == F.col("_first")) & F.col("_last._end")
-    return reaches.select("doc_id", "page", "line_idx", "line", "section_no", "section_id", F.coalesce("_next", F.when(at_end, F.col("_open._behind"))).alias("page_start"))
+    doc, no, mark, first, start, held = _UNSEEN, 0, None, None, None, None
+
+    def release() -> Iterator[tuple]:
+        for row in held or ():
+            yield (*row, no, mark, start)
+
+    for row in lines:
+        if row[0] != doc or doc is _UNSEEN:
+            yield from release()
+            doc, no, mark, held = row[0], 0, None, None
+        if held is not None and row[1] != first:
+            start = row[1]
+            yield from release()
+            held = None
+        opened = _section_mark(row[3], lo, hi)
+        if opened is not None:
+            yield from release()
+            no, mark, first, start, held = no + 1, opened, row[1], None, []
+        if held is not None:
+            held.append(row)
+        elif mark is not None:
+            yield (*row, no, mark, start)
+    yield from release()
+
+
+def _kind(line: str) -> tuple[str | None, str]:
+    """Type and label of the unit that a line opens; no type where it opens none."""
+    if m := SUBSECTION.match(line):
+        return "subsection", m[1]
+    if PROVISO.match(line):
+        return "proviso", "provided_that"
+    if EXPLANATION.match(line):
+        return "explanation", "explanation"
+    return ("illustrations_header", "illustrations") if ILLUSTRATIONS.match(line) else (None, "")
+
+
+def scan_units(lines: Iterator[tuple]) -> Iterator[tuple]:
+    """Rows of `scan_sections` -> (doc, section_no, section_id, page_start, unit_no, label, type, text, seq).
+
+    unit_no counts the lines of a section that open a unit; what stands before the
+    first is unit 0. seq counts a document's units whose cleaned text isn't empty.
+    """
+    section, unit, seq = _UNSEEN, None, 0
+
+    def close() -> Iterator[tuple]:
+        nonlocal seq
+        if unit:
+            (doc, no, mark, start), unit_no, kind, label, texts = unit
+            if kind == "illustrations_header" and any(map(LETTER_OR_ROMAN.match, texts[1:])):
+                kind = "illustration"
+            text = " ".join(texts)
+            seq += bool(text.translate(_DROP).strip())
+            yield doc, no, mark, start, unit_no, label, kind or "section_body", text, seq
+
+    for doc, _, _, line, no, mark, start in lines:
+        line = line.strip()
+        if not line or CHAPTER_LINE.match(line):
+            continue
+        kind, label = _kind(line)
+        if section is _UNSEEN or (doc, no) != section[:2]:
+            yield from close()
+            if section is _UNSEEN or doc != section[0]:
+                seq = 0
+            section, unit = (doc, no, mark, start), None
+        if unit is None or kind:
+            before = unit[1] if unit else 0
+            if unit:
+                yield from close()
+            unit = (section, before + bool(kind), kind, label, [])
+        unit[4].append(line)
+    yield from close()
+
+
+def _scan(rows: DataFrame, order: list[str], columns: list[str], step: Callable[[Iterator[tuple]], Iterator[tuple]], out: str) -> DataFrame:
+    """`step` over the rows of whole documents in order; `out` are its columns behind doc_id and page (page_start)."""
+    doc, page = rows.schema["doc_id"].dataType, rows.schema["page"].dataType
+    types = {"doc": doc, "page": page, "long": T.LongType(), "int": T.IntegerType(), "string": T.StringType()}
+    schema = T.StructType([T.StructField(n, types[t]) for n, t in (x.split() for x in out.split(","))])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = (r for b in batches for k in range(0, b.num_rows, BATCH_ROWS) for r in zip(*(b.column(c).slice(k, BATCH_ROWS).to_pylist() for c in columns), strict=True))
+        for part in batched(step(flat), BATCH_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), arrow, strict=True)], schema=arrow)
+
+    return rows.select(*columns).repartition("doc_id").sortWithinPartitions("doc_id", *order).mapInArrow(run, schema)
+
+
+_LINE, _FOUND = ["doc_id", "page", "line_idx", "line"], ["section_no", "section_id", "page_start"]
+_UNITS = "doc_id doc,section_no long,section_id string,page_start page,unit_no long,unit_label string,unit_type string,text string,seq long"
+
+
+def find_sections(lines: DataFrame, lo: int = 1, hi: int = 500) -> DataFrame:
+    """lines with section_no (its ordinal in the document), section_id and page_start; lines before the first section go."""
+    out = "doc_id doc,page page,line_idx int,line string,section_no long,section_id string,page_start page"
+    return _scan(lines, ["page", "line_idx"], _LINE, lambda rows: scan_sections(rows, lo, hi), out)
 
 
 def split_units(section_lines: DataFrame) -> DataFrame:
     """Units of each section: doc_id, section_no, section_id, page_start, unit_no, unit_label, unit_type, text."""
-    t = section_lines.withColumn("line", strip(F.col("line"))).where((F.col("line") != "") & ~F.col("line").rlike(CHAPTER))
-    kind = (
-        F.when(F.col("line").rlike(SUBSECTION), "subsection").when(F.col("line").rlike(PROVISO), "proviso")
-        .when(F.col("line").rlike(EXPLANATION), "explanation").when(F.col("line").rlike(ILLUSTRATIONS), "illustrations_header")
-    )
-    order = Window.partitionBy("doc_id", "section_no").orderBy("page", "line_idx")
-    numbered = t.withColumn("kind", kind).withColumn("unit_no", F.count("kind").over(order))
-    line = F.struct("page", "line_idx", "kind", "line")
-    units = numbered.groupBy("doc_id", "section_no", "section_id", "page_start", "unit_no").agg(F.array_sort(F.collect_list(line)).alias("l"))
-    first = F.col("l")[0]
-    items = F.exists(F.slice("l", F.lit(2), F.size("l")), lambda x: x["line"].rlike(LETTER_OR_ROMAN))
-    unit_type = F.coalesce(first["kind"], F.lit("section_body"))
-    label = (
-        F.when(first["kind"] == "subsection", F.regexp_extract(first["line"], SUBSECTION, 1)).when(first["kind"] == "proviso", "provided_that")
-        .when(first["kind"] == "explanation", "explanation").when(first["kind"] == "illustrations_header", "illustrations").otherwise("")
-    )
-    return units.select(
-        "doc_id", "section_no", "section_id", "page_start", "unit_no", label.alias("unit_label"),
-        F.when((unit_type == "illustrations_header") & items, "illustration").otherwise(unit_type).alias("unit_type"),
-        F.array_join(F.transform("l", lambda x: x["line"]), " ").alias("text"),
-    )
+    return _scan(section_lines, ["section_no", "page", "line_idx"], [*_LINE, *_FOUND], scan_units, _UNITS).drop("seq")
+
+
+def section_units(lines: DataFrame, lo: int = 1, hi: int = 500) -> DataFrame:
+    """What find_sections and split_units give one after the other, in one pass, with seq, a document's running number of units."""
+    return _scan(lines, ["page", "line_idx"], _LINE, lambda rows: scan_units(scan_sections(rows, lo, hi)), _UNITS)
 
 
-def number_rows(df: DataFrame, doc: str, order: list[str], out: str) -> DataFrame:
-    """df with `out`, a running number from 1 over documents in order of id and rows in their order.
+def rows_before(counts: DataFrame, doc: str, n: str, out: str) -> DataFrame:
+    """doc and `out`, the sum of n over all documents of smaller id.
 
-    Rows are numbered inside their document. The documents' counts are ranged into
-    parts by id, summed inside each part, and moved by the sums of the parts before,
-    so that no window spans more than a part, or one row per part.
+    Documents are ranged into parts by id, summed inside each part, and moved by the
+    sums of the parts before, so that no window spans more than a part, or one row
+    per part.
     """
-    inside = df.withColumn("_n", F.row_number().over(Window.partitionBy(doc).orderBy(*order)))
-    path = fresh_path(df.sparkSession, "counts")  # written once, so that both uses below see the same parts
-    df.groupBy(doc).agg(F.count(F.lit(1)).alias("_c")).repartitionByRange(doc).withColumn("_part", F.spark_partition_id()).write.parquet(path)
-    counts = df.sparkSession.read.parquet(path)
+    parts = written(counts.repartitionByRange(doc).withColumn("_part", F.spark_partition_id()), "counts")  # both uses below see the same parts
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    within = F.coalesce(F.sum("_c").over(earlier(Window.partitionBy("_part").orderBy(doc))), F.lit(0))
-    parts = counts.groupBy("_part").agg(F.sum("_c").alias("_s"))
-    moved = parts.select("_part", F.coalesce(F.sum("_s").over(earlier(Window.orderBy("_part"))), F.lit(0)).alias("_before"))
-    base = counts.withColumn("_in", within).join(moved, "_part").select(doc, (F.col("_in") + F.col("_before")).alias("_base"))
-    return inside.join(base, doc).withColumn(out, F.col("_base") + F.col("_n")).drop("_n", "_base")
+    within = F.coalesce(F.sum(n).over(earlier(Window.partitionBy("_part").orderBy(doc))), F.lit(0))
+    sums = parts.groupBy("_part").agg(F.sum(n).alias("_s"))
+    moved = sums.select("_part", F.coalesce(F.sum("_s").over(earlier(Window.orderBy("_part"))), F.lit(0)).alias("_before"))
+    return parts.withColumn("_in", within).join(moved, "_part").select(doc, (F.col("_in") + F.col("_before")).alias(out))
 
 
 def build_candidates(pages: DataFrame, act_name: str, lo: int = 1, hi: int = 500) -> DataFrame:
     """The candidate table: one row per non-empty unit, numbered in document order."""
-    units = split_units(find_sections(page_lines(pages), lo, hi)).withColumn("source_text", clean_unit_text(F.col("text"))).where("source_text != ''")
-    named = number_rows(units, "doc_id", ["section_no", "unit_no"], "_no")
+    cleaned = section_units(page_lines(pages), lo, hi).withColumn("source_text", clean_unit_text(F.col("text"))).where("source_text != ''")
+    units = written(cleaned.drop("text"), "units")
+    before = rows_before(units.groupBy("doc_id").agg(F.max("seq").alias("_c")), "doc_id", "_c", "_base")
+    no = (F.col("_base") + F.col("seq")).cast("string")
+    named = units.join(before, "doc_id").withColumn("_no", F.when(F.length(no) < 5, F.lpad(no, 5, "0")).otherwise(no))
     empty = F.lit("")
     return named.select(
-        F.concat(F.lit("SL"), F.when(F.length(F.col("_no").cast("string")) < 5, F.lpad(F.col("_no").cast("string"), 5, "0")).otherwise(F.col("_no").cast("string"))).alias("example_id"),
+        F.concat(F.lit("SL"), "_no").alias("example_id"),
         F.lit(act_name).alias("act_name"), F.concat(F.lit("Section "), F.col("section_id")).alias("section_id"), "unit_label", "unit_type",
         F.col("page_start").cast("int").alias("page_start"), "source_text", *legal_flags(F.col("source_text")).values(),
         empty.alias("simple_text"), empty.alias("split"), empty.alias("notes"),
