@@ -212,22 +212,49 @@ def mix_slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_S
     return work.repartition(n, "page", "chunk").mapInPandas(_draw(page_slots, n_shards, chunk, shard_slots), "shard long, slot long, no long, epoch long, block_no long, cut long")
 
 
+def _placed(sized: DataFrame) -> DataFrame:
+    """sized with start, the words of the source in front of each row.
+
+    Rows that repeat an id, a text and a source are laid behind each other, one
+    place for all of them, and are numbered by their rows only where there are
+    such; no key, however often it repeats, is one task's work.
+    """
+    key = ["source", "id", "tie", "size"]
+    kinds = sized.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row")).withColumn("words", F.col("size") * F.col("copies"))
+    kinds = settle(kinds, "kinds")
+    placed = settle(running_total(kinds, ["source"], "words", [F.col("id"), F.col("tie"), F.col("size")], kinds.count(), "start"), "placed")
+    many = placed.where("copies > 1")
+    single = placed.where("copies = 1").select(*sized.columns, "start")
+    if many.isEmpty():
+        return single
+    alike = many.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("start").alias("_start"))
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    repeated = settle(sized.join(alike, same).select(*sized.columns, "_start", F.lit(1).alias("_one")), "repeated")
+    numbered = running_total(repeated, key, "_one", [F.col("row")], repeated.count(), "_nth")
+    return single.unionByName(numbered.select(*sized.columns, (F.col("_start") + F.col("_nth") * F.col("size")).alias("start")))
+
+
 def mix_plan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE,
-    most: float = MOST, block: int = BLOCK, shard_slots: int = SHARD_SLOTS,
+    most: float = MOST, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, row_col: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans). rows: id, size, source_size, target, no, start, tie of each document; spans: the mix itself,
-    one row per part of a slot: shard, slot, place (words before it in the slot), epoch, no, start (its document's), word_from, word_to."""
+    """(rows, spans). rows: id, size, source_size, target, no, start, row (row_col's, else a number) of each document; spans: the mix
+    itself, one row per part of a slot: shard, slot, place (words before it in the slot), epoch, no, start (its document's), word_from, word_to."""
     text = F.col(text_col).cast("string")
+    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
     sized = settle(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text).alias("tie")),
+        docs.select(
+            F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            F.xxhash64(text).alias("tie"), row.alias("row"),
+        ),
         "sized",
-    )
+    )
     targets = settle(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share=share, most=most), "targets")
-    n_rows = sized.count()
-    placed = running_total(sized, ["source"], "size", [F.col("id"), F.col("tie"), F.col("size")], n_rows, "start")
+    placed = _placed(sized)
     rows = settle(
-        placed.join(targets, placed["source"].eqNullSafe(targets["source"])).select("id", "size", "source_size", "target", F.col("no").cast("long").alias("no"), "start", "tie"), "rows"
+        placed.join(targets, placed["source"].eqNullSafe(targets["source"])).select("id", "size", "source_size", "target", F.col("no").cast("long").alias("no"), "start", "row"), "rows"
     )
     slots = mix_slots(targets, block, shard_slots)
     parts = rows.where("size > 0").select(
@@ -259,15 +286,12 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A document taken whole keeps its text; of others the words taken are joined by single spaces.
     """
-    rows, spans = mix_plan(docs, id_col, text_col, source_col, **how)
+    row, text, of_ = (unused(docs.columns, x) for x in ("_row", "_mixed", "_of"))  # docs' columns may have any name
+    held = settle(docs.withColumn(row, F.monotonically_increasing_id()), "held")  # rows are numbered by the table
+    rows, spans = mix_plan(held, id_col, text_col, source_col, row_col=row, **how)
     runs = spans.groupBy("no", "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("word_from", "word_to"))).alias("runs"), F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
-    same = Window.partitionBy("id", "tie").orderBy("no", "start")
-    of = rows.where("size > 0").withColumn("copy", F.row_number().over(same)).join(runs, ["no", "start"])
-    tie, copy, text, of_ = (unused(docs.columns, x) for x in ("_tie", "_copy", "_mixed", "_of"))  # docs' columns may have any name
-    of = of.select(*[F.col(c).alias(f"{of_}_{c}") for c in ("id", "tie", "copy", "size", "runs", "taken")])
-    keyed = docs.withColumn(tie, F.xxhash64(F.col(text_col).cast("string")))
-    keyed = keyed.withColumn(copy, F.row_number().over(Window.partitionBy(id_col, tie).orderBy(F.xxhash64(*[c for c in docs.columns if c != text_col]))))
-    met = keyed.join(of, keyed[id_col].eqNullSafe(of[f"{of_}_id"]) & (keyed[tie] == of[f"{of_}_tie"]) & (keyed[copy] == of[f"{of_}_copy"]))
+    of = rows.where("size > 0").join(runs, ["no", "start"]).select(*[F.col(c).alias(f"{of_}_{c}") for c in ("row", "size", "runs", "taken")])
+    met = held.join(of, F.col(row) == F.col(f"{of_}_row"))
     words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1))
     picked = F.array_join(F.flatten(F.transform(f"{of_}_runs", lambda r: F.slice(words, r["word_from"].cast("int") + 1, (r["word_to"] - r["word_from"]).cast("int")))), " ")
     new = met.withColumn(text, F.when(F.col(f"{of_}_taken") == F.col(f"{of_}_size"), F.col(text_col)).otherwise(picked))

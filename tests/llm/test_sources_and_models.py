@@ -4,6 +4,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from clauseloom.llm import op1_sharding as op1
 from clauseloom.llm import op2_toxicity as op2
 from clauseloom.llm import op3_line_quality as op3
@@ -212,9 +214,10 @@ def test_every_language_has_a_threshold_from_all_its_labels(spark):
     docs, labels = frame(spark, [r[:4] for r in rows]), spark.createDataFrame([(r[0], r[4]) for r in rows], "doc_id long, toxic int")
     model = op2.train(docs, labels, rows=200)
     got = {r.doc_id: r for r in op2.toxicity_scores(docs, labels, model=model).collect()}
-    assert set(model.thresholds) == {"en", "es"} and model.thresholds["es"] > model.thresholds["en"]
+    cuts = {r.lang: r.cut for r in model.thresholds.collect()}
+    assert set(cuts) == {"en", "es"} and cuts["es"] > cuts["en"]
     assert {r.threshold for i, r in got.items() if rows[i][3] is None} == {model.threshold}
-    assert {r.threshold for i, r in got.items() if rows[i][3] == "es"} == {model.thresholds["es"]}
+    assert {r.threshold for i, r in got.items() if rows[i][3] == "es"} == {cuts["es"]}
     # the labels that the thresholds come from: all outside the held-out fold that the fit did not see
     y = {i: t for i, *_, t in rows if not got[i].held_out and i not in set(model.fit_ids)}
     assert len(model.fit_ids) == 160 and len(y) > 2500
@@ -291,3 +294,18 @@ def test_clashing_columns_pass_through(spark):
     kept = op2.drop_toxic(docs, labels)
     assert kept.columns == docs.columns and {(r._y, r._id, r._score, r.score) for r in kept.collect()} == {(1, 2, 3, 7)}
     assert op3.quality_scores(docs, labels).count() == docs.count()
+
+
+def test_a_mix_of_100000_equal_rows(spark):
+    """Rows that repeat an id and a text are numbered in parts, and each is taken at most twice."""
+    n = 100_000
+    docs = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("s").alias("source"), F.col("id").alias("_row"))
+    docs = docs.unionByName(spark.createDataFrame([(1, "four five", "t", -1), (None, None, "s", -2), (None, "", None, -3)], "doc_id long, text string, source string, _row long"))
+    report = op4.mix_report(docs).groupBy("doc_id", "size").agg(F.count(F.lit(1)).alias("n"), F.sum("taken").alias("taken"), F.max("taken").alias("most"), F.max("target").alias("target")).collect()
+    got = {(r.doc_id, r.size): r for r in report}
+    assert got[None, 3].n == n and got[None, 0].n == 2 and got[1, 2].n == 1
+    assert got[None, 3].taken == round(got[None, 3].target) and got[None, 3].most <= 6
+    mixed = op4.mix_documents(docs)
+    assert mixed.columns == docs.columns
+    per_row = mixed.where("source = 's'").groupBy("_row").agg(F.sum(F.size(F.split("text", " "))).alias("w")).agg(F.sum("w"), F.max("w"), F.count(F.lit(1))).first()
+    assert per_row[0] == got[None, 3].taken and per_row[1] <= 6
