@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,14 +79,22 @@ def split_provision(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _numbered(spans: list[tuple[int, int, str]]) -> list[dict]:
-    return [{"span_idx": i, "span_id": f"P{i}", "text": t, "start": a, "end": b} for i, (a, b, t) in enumerate(spans, 1)]
+_SPAN_FIELDS = [pa.field("span_idx", pa.int32()), pa.field("span_id", pa.string()), pa.field("text", pa.string()), pa.field("start", pa.int32()), pa.field("end", pa.int32())]
 
 
-@F.pandas_udf(SPANS)
-def make_spans(s: pd.Series) -> pd.Series:
-    """Structural spans of each text; the fold over one string has no built-in form."""
-    return s.map(lambda x: None if x is None else _numbered(split_provision(x)))
+@F.arrow_udf(SPANS)
+def make_spans(texts: pa.Array) -> pa.Array:
+    """Structural spans of each text; the fold over one string has no built-in form. Lists are built as columns, without an object for each span."""
+    ends, rows = [0], []
+    for text in texts.to_pylist():
+        if text is None:
+            ends[-1] = None  # a null list begins where nothing is added
+        else:
+            rows.extend((i, f"P{i}", t, a, b) for i, (a, b, t) in enumerate(split_provision(text), 1))
+        ends.append(len(rows))
+    columns = zip(*rows, strict=True) if rows else [[]] * len(_SPAN_FIELDS)
+    spans = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SPAN_FIELDS, strict=True)], fields=_SPAN_FIELDS)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)
 
 
 def sentence_spans(c: Column) -> Column:

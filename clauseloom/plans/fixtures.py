@@ -136,10 +136,16 @@ FROM events WHERE event_id % 10 <> 0
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores where it is read as fewer partitions: a small file is one, and work on its rows costs more than moving them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The result of a template over the tables of one folder that it names."""
     tables = ("orders", "lineitem", "customer", "conversations", "events", "embeddings", "documents", "labels")
-    named = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables if f"FROM {t}" in sql}
+    named = {t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in tables if f"FROM {t}" in sql}
     text = sql.replace('AS "end"', "AS `end`").replace("{", "{{").replace("}", "}}")  # named tables are put in by format
     for t in named:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}")

@@ -1,4 +1,4 @@
-"""Hands this package, and batches of bounded size, to the Python workers of a session."""
+"""Hands this package to the Python workers of a session; bounds batches for applications that own theirs."""
 
 from __future__ import annotations
 
@@ -14,10 +14,14 @@ BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4 << 20
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Add the package as a zip file to the session's workers, once for each application, and bound their batches where the session doesn't."""
+def bound_batches(spark: SparkSession) -> None:
+    """Set the bytes of Arrow batches where the session doesn't. For applications (the driver's entry, the pipeline); the library changes no setting."""
     if spark.conf.get(BATCH, None) is None:
         spark.conf.set(BATCH, BATCH_BYTES)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Add the package as a zip file to the session's workers, once for each application."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
