@@ -19,7 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clauseloom.llm import op2_toxicity, op4_mixing, op7_ngram_join, op8_exact_dedup, op10_packing
 from clauseloom.llm.common import settle
-from clauseloom.plans.shipping import ship_package
+from clauseloom.plans.shipping import bound_batches, ship_package
+
+
+def _ready(spark: SparkSession) -> None:
+    ship_package(spark)
+    bound_batches(spark)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +34,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels, which drops none); a score equal to the threshold goes; empty texts have
     the score of no words.
     """
-    ship_package(spark)
+    _ready(spark)
     return op2_toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal normalised texts, the one with the smallest doc_id; null ids last, empty texts are one group."""
-    ship_package(spark)
+    _ready(spark)
     return op8_exact_dedup.deduplicate(docs)
 
 
@@ -44,7 +49,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts under five words and rows with a null id link with nothing and stay.
     """
-    ship_package(spark)
+    _ready(spark)
     return op7_ngram_join.drop_near_duplicates(docs)
 
 
@@ -53,13 +58,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null source is a source of its own.
     """
-    ship_package(spark)
+    _ready(spark)
     return op4_mixing.mix_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1,024 tokens with their places in sequences; an empty text has its end id."""
-    ship_package(spark)
+    _ready(spark)
     return op10_packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
