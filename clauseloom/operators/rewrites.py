@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,23 +22,83 @@ BULLET = r"(?mdU)^\s*(?:[-*•]|\d+[.)])\s+"
 LEAKED = r"(?iU)\b(?:original|source|provision|simplified|output|answer)\s*(?:text|version)?\s*:"
 
 
-#: Characters of a word, and those of them that are no vowels.
-_IN_WORD, _CONSONANT = r"[\p{L}\p{N}']", r"[\p{L}\p{N}'&&[^aeiouy]]"
+#: Classes of a character, as bits.
+IN_WORD, LETTER, VOWEL, LAST_E, STOP, SPACE, LINE_END = 1, 2, 4, 8, 16, 32, 64
+_COUNTS = T.StructType([T.StructField(n, T.LongType()) for n in ("sentences", "words", "letters", "syllables")])
 
 
-def _counts(c: Column) -> tuple[Column, Column, Column, Column]:
-    """(sentences, words, letters and digits, syllables) of a text.
+@lru_cache(1)
+def _classes() -> np.ndarray:
+    """The classes of every code point; a worker makes the table once."""
+    out = np.zeros(0x110000, np.uint8)
+    for code in range(len(out)):
+        if unicodedata.category(chr(code))[0] in "LN":
+            out[code] = IN_WORD | LETTER
+    marks = {"'": IN_WORD, " \t\n\x0b\f\r": SPACE, "\x85\u2028\u2029": LINE_END, ".!?": STOP, "aeiouy": VOWEL, "e": LAST_E}
+    for chars, bit in marks.items():
+        for c in chars:
+            out[ord(c)] |= bit
+    return out
+
 
-    A word's syllables are its vowel groups without a silent last e, one at least.
-    Over a whole text these are all vowel groups, less the words' silent e's, and
-    one for each word that then has none.
+def scan_counts(texts: list[str]) -> np.ndarray:
+    """(sentences, words, letters and digits, syllables) of lower-case texts, by one pass of table look-ups over all of them.
+
+    Sentences are runs of stops before white space or the end, one at least. A
+    word's syllables are its vowel groups without a silent last e, one at least:
+    over a text these are all vowel groups, less the words' silent e's, and one for
+    each word that then has none.
     """
-    low = F.lower(c)
-    count = lambda x, pattern: F.regexp_count(x, F.lit(pattern))
-    silent = count(low, f"(?<={_CONSONANT})e(?!{_IN_WORD})")
-    without = count(low, f"(?<!{_IN_WORD}){_CONSONANT}++e?+(?!{_IN_WORD})")
-    sentences = F.greatest(count(c, r"[.!?]+(?=\s|$)"), F.lit(1))
-    return sentences, count(low, f"{_IN_WORD}+"), count(c, r"[\p{L}\p{N}]"), count(low, "[aeiouy]+") - silent + without
+    size = np.array([len(t) for t in texts], np.int64)
+    end = np.cumsum(size)
+    start, full = end - size, size > 0
+    kind = _classes()[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")]
+    before, after = np.zeros_like(kind), np.zeros_like(kind)
+    before[1:], after[:-1] = kind[:-1], kind[1:]
+    before[start[full]] = after[end[full] - 1] = 0  # nothing reaches into a neighbour's text
+    last = np.zeros(len(kind), bool)
+    last[end[full] - 1] = True
+    closing = np.zeros(len(kind), bool)  # a line end as a text's last character ends it too
+    closing[:-1] = last[1:] & (kind[1:] & LINE_END > 0)
+    closing[start[full]] &= size[full] > 1
+    has = lambda k, bit: k & bit > 0
+    ended = has(kind, STOP) & (has(after, SPACE) | last | closing)
+    begins = has(kind, IN_WORD) & ~has(before, IN_WORD)
+    groups = has(kind, VOWEL) & ~has(before, VOWEL)
+    silent = has(kind, LAST_E) & has(before, IN_WORD) & ~has(before, VOWEL) & ~has(after, IN_WORD)
+    word = np.cumsum(begins) - 1
+    voiced = np.bincount(word[has(kind, VOWEL) & ~silent], minlength=int(begins.sum()))
+    bare = np.zeros(len(kind), bool)
+    bare[np.flatnonzero(begins)[voiced == 0]] = True
+
+    def total(flags: np.ndarray) -> np.ndarray:
+        upto = np.concatenate([[0], np.cumsum(flags)])
+        return upto[end] - upto[start]
+
+    return np.stack([np.maximum(total(ended), 1), total(begins), total(has(kind, LETTER)), total(groups) - total(silent) + total(bare)], 1)
+
+
+@F.arrow_udf(_COUNTS)
+def _scanned(low: pa.Array) -> pa.Array:
+    """Counts of lower-case texts; about a million characters are in memory at a time, a longer text alone."""
+    texts = low.to_pylist()
+    parts, part, size = [], [], 0
+    for t in texts:
+        part.append(t or "")
+        size += len(part[-1])
+        if size > 1 << 20:
+            parts.append(scan_counts(part))
+            part, size = [], 0
+    if part:
+        parts.append(scan_counts(part))
+    counts = np.concatenate(parts) if parts else np.zeros((0, 4), np.int64)
+    return pa.StructArray.from_arrays([pa.array(c) for c in counts.T.copy()], _COUNTS.names)
+
+
+def _counts(c: Column) -> tuple[Column, Column, Column, Column]:
+    """(sentences, words, letters and digits, syllables) of a text."""
+    scanned = _scanned(F.lower(c))
+    return tuple(scanned[n] for n in _COUNTS.names)
 
 
 def _formula(c: Column, kind: str) -> Column:
@@ -128,15 +190,24 @@ def _stem(w: str) -> str:
 
 
 def _lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, a row of the table at a time."""
+    """Length of the longest common subsequence, by bits: one integer of as many bits as the shorter text has words.
+
+    Bit i of `open_` is cleared where the table's row for the words of the longer
+    text so far rises at word i; a word updates the row in a few operations on whole
+    integers, that is on as many places at once as a machine word has bits.
+    """
     if len(a) < len(b):
         a, b = b, a
-    at = {w: np.array([x == w for x in b]) for w in set(a) & set(b)}
-    row = np.zeros(len(b) + 1, np.int32)
+    places: dict[str, int] = {}
+    for i, w in enumerate(b):
+        places[w] = places.get(w, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    open_ = full
     for w in a:
-        if w in at:
-            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + at[w]))
-    return int(row[-1])
+        if hit := places.get(w):
+            met = open_ & hit
+            open_ = ((open_ + met) | (open_ - met)) & full
+    return len(b) - open_.bit_count()
 
 
 def _rouge(stem: bool):

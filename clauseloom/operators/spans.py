@@ -126,7 +126,8 @@ def sentence_spans(c: Column) -> Column:
 
 def explode_spans(df: DataFrame, spans: str = "spans") -> DataFrame:
     """One row per span: provision_id, span_idx, span_id, text, start, end."""
-    return df.select("provision_id", F.inline(spans))
+    # Not inline alone: its inferred filter on the list would make the list a second time.
+    return df.select("provision_id", F.inline_outer(spans)).where("span_idx is not null")
 
 
 def _span_reason(x: Column, repeated: Column, size: Column) -> Column:

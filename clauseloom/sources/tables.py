@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseloom.functions.text import is_blank
+from clauseloom.sources.quoted_csv import read_quoted_csv
 
 NLI_SCHEMA = (
     "nli_id string, source_id string, statute string, section_number string, split string, span_ids string, premise string, claim_id string, "
@@ -18,7 +19,7 @@ NLI_REQUIRED, EVAL_REQUIRED = ("premise", "hypothesis", "gold_label"), ("source_
 
 def _csv(spark: SparkSession, path: str, required: tuple[str, ...]) -> DataFrame:
     """A CSV with header, every column as text; quoted cells may hold line breaks and doubled quotes. A missing file or column is an error."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    df = read_quoted_csv(spark, path)
     if missing := [c for c in required if c not in df.columns]:
         raise ValueError(f"{path}: missing columns {missing}")
     return df

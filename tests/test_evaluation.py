@@ -1,7 +1,12 @@
 import math
+import random
+import re
+import time
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from clauseloom.operators import curation, evaluation, rewrites, scoring, status
@@ -113,3 +118,48 @@ def test_rewrites(spark):
     assert got[0] == 1.0 and got[1] == pytest.approx(2 * 2 / 7) and got[2:] == [None, None, 0.0]
     one = spark.createDataFrame([("The cat sat on the mat.",)], "t string").select(rewrites.fkgl(F.col("t")), rewrites.ari(F.col("t"))).first()
     assert one[0] == pytest.approx(0.39 * 6 + 11.8 - 15.59) and one[1] == pytest.approx(4.71 * 17 / 6 + 3 - 21.43)
+
+
+def table_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcde"), max_size=90), st.lists(st.sampled_from("abcdef"), max_size=90))
+def test_common_subsequence_by_bits(a, b):
+    assert rewrites._lcs(a, b) == table_lcs(a, b)
+
+
+def test_common_subsequence_of_10000_words():
+    rng = random.Random(1)
+    a, b = ([f"w{rng.randrange(300)}" for _ in range(10_000)] for _ in range(2))
+    start = time.perf_counter()
+    rewrites._lcs(a, b)
+    assert time.perf_counter() - start < 0.1  # about 10 ms on an idle core
+    assert rewrites._lcs(a, a) == 10_000
+
+
+def plain_counts(t):
+    """The four counts by patterns, one word at a time."""
+    words = re.findall(r"(?:[^\W_]|')+", t)
+    syllables = 0
+    for w in words:
+        n = len(re.findall("[aeiouy]+", w))
+        if len(w) > 1 and w.endswith("e") and w[-2] not in "aeiouy":
+            n -= 1
+        syllables += max(n, 1)
+    sentences = len(re.findall(r"[.!?]+(?=[ \t\n\x0b\f\r]|[\x85\u2028\u2029]?\Z)", t))
+    return [max(sentences, 1), len(words), sum(c.isalnum() for c in t), syllables]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["e", "the", "a", "y", "rhythm", "'", "1", "é", "ß", "漢", ".", "?!", " ", "\n", "\x85", "_", "😀", "table", "ee"]), max_size=14).map("".join), max_size=6))
+def test_counts_of_texts_by_one_scan(texts):
+    if texts:
+        assert rewrites.scan_counts(texts).tolist() == [plain_counts(t) for t in texts]
