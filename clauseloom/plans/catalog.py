@@ -15,6 +15,7 @@ from clauseloom.plans import sql as q
 from clauseloom.plans.fixtures import derive
 from clauseloom.plans.shared import fresh_path
 from clauseloom.sources import tables
+from clauseloom.streaming import meet
 from clauseloom.streaming import verify as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1056,3 +1057,16 @@ def stream_verify(spark, d):
     rows.write.json(f"{base}/in")
     streaming.stream_verify(spark, f"{base}/in", f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("provision_id", "claim_id", "evidence_span_id", "evidence_method", "evidence_ambiguity")
+
+
+@query("stream_meet", f"{LINK_SQL} SELECT provision_id, claim_id, evidence_span_id, evidence_method, evidence_ambiguity, 'matched' AS met FROM linked")
+def stream_meet(spark, d):
+    """Claims before and after their provision, in two runs of one stream."""
+    base = fresh_path(spark, "meet")
+    early = F.crc32(c("provision_id").cast("binary")) % 2 == 0
+    sides = {"p": derive(spark, d, fx.PROVISIONS).select("provision_id", "text"), "c": derive(spark, d, fx.CLAIM_ROWS)}
+    for now in ({"p": early, "c": ~early}, {"p": ~early, "c": early}):
+        for side, rows in now.items():
+            sides[side].where(rows).write.mode("append").json(f"{base}/{side}")
+        meet.stream_meet(spark, f"{base}/p", f"{base}/c", f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("provision_id", "claim_id", "evidence_span_id", "evidence_method", "evidence_ambiguity", "met")
