@@ -14,7 +14,7 @@ from clauseloom.plans import fixtures as fx
 from clauseloom.plans import sql as q
 from clauseloom.plans.fixtures import derive
 from clauseloom.plans.shared import fresh_path
-from clauseloom.sources import tables
+from clauseloom.sources import run_log, tables
 from clauseloom.streaming import meet
 from clauseloom.streaming import verify as streaming
 
@@ -728,7 +728,8 @@ SELECT provision_id, concat('run-', provision_id) AS run_id, CASE WHEN NOT no_sp
   CASE WHEN no_spans OR no_text THEN 'skipped,-' WHEN n % 5 = 0 THEN 'fallback,sentence_splitter' ELSE 'success,llm' END AS claim_extraction,
   CASE WHEN no_spans OR no_text THEN 'skipped,-' WHEN whole THEN 'fallback,full_provision' ELSE 'success,lexical_overlap' END AS evidence_retrieval,
   CASE WHEN no_spans OR no_text THEN 'skipped' WHEN nli_bad THEN 'partial' ELSE 'success' END AS nli_verification,
-  CASE WHEN NOT no_spans AND NOT no_text THEN concat('s,', claim_method, ',', CASE WHEN whole THEN 'full_provision' ELSE 'lexical_overlap' END, ',n') END AS provenance
+  CASE WHEN NOT no_spans AND NOT no_text THEN concat('s,', claim_method, ',', CASE WHEN whole THEN 'full_provision' ELSE 'lexical_overlap' END, ',n') END AS provenance,
+  'success' AS run_logging, CASE WHEN no_spans THEN '{status.NO_SPANS}empty_text' WHEN no_text THEN 'TimeoutError' END AS message
 FROM st LEFT JOIN cs USING (provision_id) LEFT JOIN sp USING (provision_id)""",
 )
 def verify_provisions(spark, d):
@@ -740,7 +741,7 @@ def verify_provisions(spark, d):
         lost = F.when(b % 11 == 0, "inference_failed")
         return linked.withColumns({**{f"l{k}": F.when(lost.isNull(), x.cast("double")) for k, x in enumerate((a % 7, b % 5, (a + b) % 3))}, "error": lost})
 
-    r = verification.verify_provisions(provisions, derive(spark, d, fx.RESPONSES), score, F.concat(F.lit("run-"), c("provision_id")), "s", "n")
+    r = verification.verify_provisions(provisions, derive(spark, d, fx.RESPONSES), score, F.concat(F.lit("run-"), c("provision_id")), "s", "n", (fresh_path(spark, "log"), "all"))
     dash = lambda x: F.coalesce(x.cast("string"), F.lit("-"))
     part = lambda x: dash(F.round(x * 1_000_000).cast("long"))
     claim = lambda x: F.concat_ws(
@@ -754,7 +755,7 @@ def verify_provisions(spark, d):
     sources = F.concat_ws(",", p["simplification_model"], p["claim_extraction_method"], p["evidence_retrieval_method"], p["nli_model"])
     return r.select(
         "provision_id", "run_id", "simplified_text", F.array_join(F.transform("claims", claim), ";").alias("claims"), F.array_join(F.transform("spans", span), ";").alias("spans"), "pipeline_status.overall",
-        s("span_generation", "reason"), s("simplification", "attempts", "reason"), s("claim_extraction", "method"), s("evidence_retrieval", "method"), s("nli_verification"), F.when(p.isNotNull(), sources).alias("provenance"),
+        s("span_generation", "reason"), s("simplification", "attempts", "reason"), s("claim_extraction", "method"), s("evidence_retrieval", "method"), s("nli_verification"), s("run_logging"), F.when(p.isNotNull(), sources).alias("provenance"), "message",
     )
 
 
@@ -1031,8 +1032,10 @@ def write_v2_splits(spark, d):
 def write_run_log(spark, d):
     runs = derive(spark, d, fx.RUNS)
     path = fresh_path(spark, "runs")
-    tables.write_runs(runs, path)
-    return spark.read.schema("run_id string, event_type string, span_status string, run_date date").json(path).withColumn("run_date", c("run_date").cast("string"))
+    for half in (0, 1, 1):  # a set that is written again is logged once
+        tables.write_runs(runs.where(F.crc32(c("run_id").cast("binary")) % 2 == half), path, f"half {half}")
+    kept = run_log.read_runs(spark, path, "run_id string, event_type string, span_status string, run_date date")
+    return kept.withColumn("run_date", c("run_date").cast("string"))
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions.text import is_blank
 from clauseloom.sources.quoted_csv import read_quoted_csv
+from clauseloom.sources.run_log import WARNING, log_runs
 
 NLI_SCHEMA = (
     "nli_id string, source_id string, statute string, section_number string, split string, span_ids string, premise string, claim_id string, "
@@ -77,14 +78,12 @@ def write_v2_splits(splits: dict[str, DataFrame], path: str, fmt: str = "parquet
         _write(df, f"{path}/{name}", fmt)
 
 
-def write_runs(df: DataFrame, path: str, ts: str = "ts") -> str:
-    """Append run records as JSON by date. A failing write is logged, yields "warning" and stops nothing else."""
-    try:
-        _write(df.withColumn("run_date", F.to_date(ts)), path, "json", ["run_date"], "append")
-    except Exception:  # noqa: BLE001  the log is not critical
-        logging.getLogger(__name__).exception("run records were not written to %s", path)
-        return "warning"
-    return "success"
+def write_runs(df: DataFrame, path: str, key: str, ts: str = "ts") -> str:
+    """Log a set of run records by date, once for each key; see `run_log`."""
+    if ts not in df.columns:
+        logging.getLogger(__name__).error("run records without %s were not written to %s", ts, path)
+        return WARNING
+    return log_runs(df.withColumn("run_date", F.to_date(ts)), path, key, ["run_date"])
 
 
 def resume_missing(df: DataFrame, done: DataFrame, key: str, output: str) -> tuple[DataFrame, DataFrame]:

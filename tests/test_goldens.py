@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions import legal, text
 from clauseloom.operators import evaluation, linking, rewrites, scoring, spans, status, verification
+from clauseloom.sources import run_log
 
 #: id: (provision, {claim: expected span ids}).
 CASES = {
@@ -102,7 +103,7 @@ def test_middle_and_last_tier_of_spans(spark, monkeypatch):
     assert got == {"a": ("fallback", "full_provision"), "b": ("failed", None)}
 
 
-def test_whole_runs(spark):
+def test_whole_runs(spark, tmp_path):
     """Each stage's failure shows in the record and stops or degrades what follows."""
     p = spark.createDataFrame([(k, "The Court may order costs of the suit.") for k in ("good", "mute", "down", "talk")] + [("blank", " ")], "provision_id string, text string")
     raw = '[{"claim_id": "C1", "claim_text": "The Court may order costs."}]'
@@ -123,3 +124,10 @@ def test_whole_runs(spark):
     assert (d.verification_label, d.verification_reason, d.nli_probabilities, d.label_confidence) == ("unverified", "nli_model_unavailable", None, 0.0) and s["down"].nli_verification.status == "partial"
     assert s["talk"].claim_extraction.status == "fallback" and s["talk"].claim_extraction.method == "whole_text_claim"
     assert status.FULL_PROVISION and got["good"].spans[0].span_id == "P1"
+    assert (got["blank"].message, got["mute"].message, got["good"].message) == (f"{status.NO_SPANS}empty_text", "TimeoutError", None)
+    assert {x.pipeline_status.run_logging.status for x in got.values()} == {"skipped"}
+    for path, want in ((tmp_path / "log", "success"), (tmp_path / "file", "warning")):
+        (tmp_path / "file").write_text("no folder")
+        rows = verification.verify_provisions(p, r, score, F.col("provision_id"), "s", "n", (str(path), "set 1")).collect()
+        assert {x.pipeline_status.run_logging.status for x in rows} == {want} and {x.provision_id: x.pipeline_status.overall for x in rows} == {k: x.overall for k, x in s.items()}
+    assert run_log.read_runs(spark, str(tmp_path / "log"), "provision_id string, message string").count() == 5

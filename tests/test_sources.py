@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clauseloom.operators import scoring
-from clauseloom.sources import tables
+from clauseloom.sources import run_log, tables
 from clauseloom.streaming import verify
 
 
@@ -26,9 +26,27 @@ def test_nothing_is_overwritten(spark, tmp_path):
 
 def test_run_log_failure_is_a_warning(spark, tmp_path):
     df = spark.createDataFrame([("r", "2024-05-01 10:00:00", [1.5])], "run_id string, t string, probs array<double>").withColumn("ts", F.to_timestamp("t"))
-    assert tables.write_runs(df, f"{tmp_path}/log") == "success"
-    assert tables.write_runs(df.drop("ts"), f"{tmp_path}/log") == "warning"
-    assert spark.read.json(f"{tmp_path}/log").first().probs == [1.5]
+    assert tables.write_runs(df, f"{tmp_path}/log", "one") == "success"
+    assert tables.write_runs(df.drop("ts"), f"{tmp_path}/log", "two") == "warning"
+    (tmp_path / "file").write_text("no folder")
+    assert tables.write_runs(df, f"{tmp_path}/file", "one") == "warning"
+    assert run_log.read_runs(spark, f"{tmp_path}/log", "run_id string, probs array<double>").first().probs == [1.5]
+
+
+def test_a_run_is_logged_once(spark, tmp_path):
+    log, schema = str(tmp_path / "log"), "run_id string"
+    runs = lambda *ids: spark.createDataFrame([(i,) for i in ids], schema)
+    kept = lambda: sorted(r.run_id for r in run_log.read_runs(spark, log, schema).collect())
+    # a writer that died behind its files, and one that died behind an empty marker
+    runs("a", "b").write.json(f"{log}/data/run={run_log._folder('k1')}/attempt=adead")
+    (tmp_path / "log" / "commits").mkdir()
+    (tmp_path / "log" / "commits" / run_log._folder("k2")).write_text("")
+    assert [run_log.log_runs(runs("a", "b"), log, "k1"), run_log.log_runs(runs("c"), log, "k2"), run_log.log_runs(runs("d"), log, "../odd key")] == ["success"] * 3
+    assert kept() == ["a", "b", "c", "d"]
+    assert run_log.log_runs(runs("a", "b"), log, "k1") == "success" and kept() == ["a", "b", "c", "d"]
+    with pytest.raises(Exception, match="exists"):
+        run_log._Marker(spark, log, "k1").create("k1 late\n")
+    assert kept() == ["a", "b", "c", "d"]
 
 
 def test_resume(spark):
