@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -155,13 +157,17 @@ def batch_score(df: DataFrame, make_scorer: MakeScorer, batch_size: int = 16, ev
     return scored.select(*cols, *[F.when(F.isnan(c), None).otherwise(F.col(c)).alias(c) for c in ("l0", "l1", "l2")], "error")
 
 
+def pair_hash(evidence: str, claim: str) -> Column:
+    """128 bits of a pair of texts, each behind its length, so that no two pairs read alike; null apart from empty."""
+    side = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    return F.md5(F.concat(side(evidence), side(claim)))
+
+
 def score_once(df: DataFrame, make_scorer: MakeScorer, evidence: str = "evidence_text", claim: str = "claim_text", **how) -> DataFrame:
-    """batch_score on distinct pairs only, joined back: the model's cost dominates."""
-    pairs = df.select(evidence, claim).distinct()
-    scored = batch_score(pairs, make_scorer, evidence=evidence, claim=claim, **how).select(
-        F.col(evidence).alias("_e"), F.col(claim).alias("_c"), "l0", "l1", "l2", "error"
-    )
-    return df.join(scored, df[evidence].eqNullSafe(scored["_e"]) & df[claim].eqNullSafe(scored["_c"]), "left").drop("_e", "_c")
+    """batch_score on distinct pairs only, joined back by a 128-bit hash of the pair, so texts move once; `score_store` keeps scores across runs."""
+    keyed = df.withColumn("_pair", pair_hash(evidence, claim))
+    scored = batch_score(keyed.select("_pair", evidence, claim).dropDuplicates(["_pair"]), make_scorer, evidence=evidence, claim=claim, **how)
+    return keyed.join(scored.select("_pair", "l0", "l1", "l2", "error"), "_pair", "left").drop("_pair")
 
 
 class TransientError(Exception):
@@ -215,35 +221,71 @@ def batch_generate(
     return df.mapInPandas(run, schema)
 
 
-def claims_with_retries(df: DataFrame, make_generators: Callable[[], list[Callable[[str], str]]], source: str, max_calls: int = 3) -> DataFrame:
-    """df with raw responses for claims: at most max_calls calls over the prompts in turn, the next prompt on an empty answer."""
+def usable_claims(raw: str) -> bool:
+    """Whether an answer is a strict JSON list of claims; the same rule as `claims.parse_claims`, for a caller that may ask again."""
+    try:
+        items = json.loads(re.sub(r"```(?:json)?", "", raw).strip().strip("`").strip())
+    except ValueError:
+        return False
+    whole = lambda x: isinstance(x, dict) and isinstance(x.get("claim_id"), str) and isinstance(x.get("claim_text"), str) and x["claim_text"].strip()
+    return isinstance(items, list) and bool(items) and all(map(whole, items))
+
+
+def claims_with_retries(
+    df: DataFrame, make_generators: Callable[[], list[Callable[[str], str]]], source: str, max_calls: int = 3, usable: Callable[[str], bool] = usable_claims,
+    transient: Callable[[Exception], bool] = is_transient, wait: float = 0.0, trip: int | None = None,
+) -> DataFrame:
+    """df with raw, calls and call_error: the first usable answer within max_calls calls, which the prompts share.
+
+    A transient failure is tried again with the same prompt, an answer that isn't
+    usable with the next one; any other failure ends a row's calls. Generators that
+    can't be loaded are a column of the result. With `trip`, a worker that meets so
+    many rows in a row whose calls ended by a failure that isn't transient stops
+    calling: its further rows have no calls and the error "circuit_open".
+    """
+
+    def ask(makers, text) -> tuple[str | None, int, str | None, bool]:
+        calls, error = 0, None
+        for make in makers:
+            while calls < max_calls:
+                calls += 1
+                try:
+                    raw, error = make(text), None
+                except Exception as e:  # noqa: BLE001
+                    error = f"{type(e).__name__}: {e}"
+                    if not transient(e):
+                        return None, calls, error, True
+                    if calls < max_calls:
+                        time.sleep(wait)
+                    continue
+                if raw is not None and usable(raw):
+                    return raw, calls, None, False
+                break
+        return None, calls, error, False
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        makers = None
+        makers, broken, failures = None, None, 0
         for f in frames:
-            makers = makers or make_generators()
-            raws, calls = [], []
+            if makers is None and broken is None:
+                try:
+                    makers = make_generators()
+                except Exception as e:  # noqa: BLE001  any failure to load is a column of the result
+                    broken = f"{type(e).__name__}: {e}"
+            rows = []
             for text in f[source]:
-                left, raw = max_calls, None
-                for make in makers:
-                    permanent = False
-                    while left and raw is None:
-                        left -= 1
-                        try:
-                            raw = make(text)
-                            break
-                        except Exception as e:  # noqa: BLE001
-                            if not is_transient(e):
-                                permanent = True
-                                break
-                    if raw or permanent or not left:
-                        break
-                    raw = None
-                raws.append(raw)
-                calls.append(max_calls - left)
-            yield f.assign(raw=raws, calls=calls)
+                if broken:
+                    rows.append((None, 0, broken))
+                elif trip is not None and failures >= trip:
+                    rows.append((None, 0, "circuit_open"))
+                else:
+                    *row, hard = ask(makers, text)
+                    failures = failures + 1 if hard else 0
+                    rows.append(tuple(row))
+            out = f.copy()
+            out["raw"], out["calls"], out["call_error"] = zip(*rows, strict=True) if rows else ([], [], [])
+            yield out
 
-    return df.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", raw string, calls int")
+    return df.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", raw string, calls int, call_error string")
 
 
 def build_predictions(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseloom.functions import legal, text
-from clauseloom.operators import claims, curation, evaluation, extraction, linking, rewrites, scoring, spans, status, verification
+from clauseloom.operators import claims, curation, evaluation, extraction, linking, rewrites, score_store, scoring, spans, status, verification
 from clauseloom.plans import fixtures as fx
 from clauseloom.plans import sql as q
 from clauseloom.plans.fixtures import derive
@@ -631,6 +631,65 @@ def batch_generate(spark, d):
     return scoring.batch_generate(derive(spark, d, fx.PROVISIONS), lambda: str.upper, "text").drop("act_name", "text")
 
 
+@query(
+    "score_store",
+    f"""{LINK_SQL}, k AS (SELECT *, CAST(substr(provision_id, 2) AS BIGINT) % 3 AS third FROM linked),
+old AS (SELECT DISTINCT evidence_text, claim_text FROM k WHERE third < 2)
+SELECT k.provision_id, k.claim_id, (length(k.evidence_text) % 7)::DOUBLE AS l0, (length(k.claim_text) % 5)::DOUBLE AS l1, ((length(k.evidence_text) + length(k.claim_text)) % 3)::DOUBLE AS l2, NULL::VARCHAR AS error,
+  (SELECT count(*) FROM (SELECT DISTINCT evidence_text, claim_text FROM k) a WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.evidence_text = a.evidence_text AND old.claim_text = a.claim_text)) AS n_new
+FROM k""",
+)
+def score_store_runs(spark, d):
+    """Two thirds of the pairs are scored by a first run; the second one scores what is new, n_new pairs, and gives all scores."""
+    pairs = _linked(spark, d).select("provision_id", "claim_id", "evidence_text", "claim_text")
+    store = fresh_path(spark, "scores")
+    first = F.substring("provision_id", 2, 20).cast("long") % 3 < 2
+    score_store.score_with_store(pairs.where(first), _length_scorer, store, "length").count()
+    before = score_store.stored_scores(spark, store, "length").count()
+    rows = score_store.score_with_store(pairs, _length_scorer, store, "length")
+    after = score_store.stored_scores(spark, store, "length").count()
+    return rows.drop("evidence_text", "claim_text").withColumn("n_new", F.lit(after - before).cast("long"))
+
+
+def _claim_generators():
+    """Two prompts of a generator that fails in every way, told by a text's length."""
+    tried = set()
+
+    def normal(text):
+        k = len(text) % 7
+        if k == 0 or (k == 4 and text not in tried):
+            tried.add(text)
+            raise ConnectionError("busy")
+        tried.discard(text)
+        if k == 1:
+            raise PermissionError("denied")
+        return {2: "", 3: "no json", 5: "[]"}.get(k, '[{"claim_id": "1", "claim_text": "first"}]')
+
+    def strict(text):
+        return '[{"claim_id": 1, "claim_text": "bad id"}]' if len(text) % 2 else '```json [{"claim_id": "2", "claim_text": "second"}]```'
+
+    return [normal, strict]
+
+
+def _no_generators():
+    raise OSError("no weights")
+
+
+@query(
+    "claims_with_retries",
+    f"""WITH p AS (SELECT provision_id, length(text) % 7 AS k, length(text) % 2 = 0 AS even, CAST(substr(provision_id, 2) AS BIGINT) % 10 = 9 AS lost FROM ({fx.PROVISIONS}) p)
+SELECT provision_id, CASE WHEN lost OR k IN (0, 1) THEN NULL WHEN k IN (2, 3, 5) THEN CASE WHEN even THEN '```json [{{"claim_id": "2", "claim_text": "second"}}]```' END ELSE '[{{"claim_id": "1", "claim_text": "first"}}]' END AS raw,
+  CAST(CASE WHEN lost THEN 0 WHEN k = 0 THEN 3 WHEN k IN (1, 6) THEN 1 ELSE 2 END AS INT) AS calls,
+  CASE WHEN lost THEN 'OSError: no weights' WHEN k = 0 THEN 'ConnectionError: busy' WHEN k = 1 THEN 'PermissionError: denied' END AS call_error FROM p""",
+)
+def claims_with_retries(spark, d):
+    """Answers within a budget of calls; a tenth of the rows meets generators that can't be loaded."""
+    p = derive(spark, d, fx.PROVISIONS)
+    lost = F.substring("provision_id", 2, 20).cast("long") % 10 == 9
+    parts = [scoring.claims_with_retries(p.where(~lost), _claim_generators, "text"), scoring.claims_with_retries(p.where(lost), _no_generators, "text")]
+    return parts[0].unionByName(parts[1]).drop("act_name", "text")
+
+
 # -- runs ---------------------------------------------------------------------
 
 STATUS_SQL = f"""
@@ -1049,6 +1108,28 @@ def resume_missing(spark, d):
     return todo.select("example_id", "model", F.lit("todo").alias("state")).unionByName(had.select("example_id", "model", F.lit("done").alias("state")))
 
 
+@query(
+    "with_checkpoint",
+    "WITH k AS (SELECT o_orderkey AS n, CASE x.name WHEN 'shifted' THEN o_orderkey + 1 WHEN 'doubled' THEN o_orderkey - o_orderkey % 2 ELSE o_orderkey END AS m, x.name AS checkpoint FROM orders, (VALUES ('permuted'), ('short'), ('shifted'), ('doubled')) x(name)), "
+    "d AS (SELECT * FROM k WHERE checkpoint <> 'short' OR n % 10 <> 3) "
+    "SELECT checkpoint, NOT EXISTS ((SELECT o_orderkey FROM orders EXCEPT ALL SELECT m FROM d WHERE d.checkpoint = c.name) UNION ALL (SELECT m FROM d WHERE d.checkpoint = c.name EXCEPT ALL SELECT o_orderkey FROM orders)) AS fits "
+    "FROM (SELECT DISTINCT checkpoint, checkpoint AS name FROM k) c",
+)
+def with_checkpoint(spark, d):
+    """Which of four written checkpoints belong to the orders: the rows in another order, some missing, other keys, keys doubled."""
+    n = c("o_orderkey")
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(n.alias("key"), F.lit("done").alias("output"))
+    cases = {
+        "permuted": orders.orderBy(F.xxhash64("key")), "short": orders.where("key % 10 <> 3"), "shifted": orders.withColumn("key", c("key") + 1),
+        "doubled": orders.withColumn("key", c("key") - c("key") % 2),
+    }
+    rows = []
+    for name, done in cases.items():
+        tables.write_checkpoint(done, path := fresh_path(spark, "checkpoint"), "key")
+        rows.append((name, tables.checkpoint_fits(orders, path, "key")))
+    return spark.createDataFrame(rows, "checkpoint string, fits boolean")
+
+
 # -- streaming ----------------------------------------------------------------
 
 

@@ -106,8 +106,8 @@ TALK = "CASE conv_id % 6 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumera
 #: Rewrites of question and answer turns by three models: a copy, a cut, and one with a preamble.
 REWRITES = " UNION ALL ".join(
     f"SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS example_id, '{model}' AS model, text AS source_text, lower(text) AS simple_text, "
-    f"{output} AS output, CAST(conv_id % 2 AS INT) AS has_exception FROM conversations WHERE text IS NOT NULL"
-    for model, output in (("copy", "concat(text, ' ')"), ("cut", "substr(text, 1, 60)"), ("talk", f"concat({TALK}, text)"))
+    f"{output} AS output, CAST(conv_id % 2 AS INT) AS has_exception FROM conversations"
+    for model, output in (("copy", "text || ' '"), ("cut", "substr(text, 1, 60)"), ("talk", f"({TALK}) || text"))
 )
 
 EPOCHS = """

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from clauseloom.operators import scoring
+from clauseloom.operators import claims, score_store, scoring
 from clauseloom.sources import run_log, tables
 from clauseloom.streaming import verify
 
@@ -49,12 +49,69 @@ def test_a_run_is_logged_once(spark, tmp_path):
     assert kept() == ["a", "b", "c", "d"]
 
 
-def test_resume(spark):
+def test_resume(spark, tmp_path):
     df = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
-    done = spark.createDataFrame([("a", "x"), ("b", " "), ("a", "x")], "k string, o string")
-    todo, had = tables.resume_missing(df, done, "k", "o")
+    done = spark.createDataFrame([("a", "x", 2), ("b", " ", 1), ("a", "y", 1), ("c", None, 1)], "k string, o string, at int")
+    todo, had = tables.resume_missing(df, done, "k", "o", "at")
     assert sorted(r.k for r in todo.collect()) == ["b", "c"] and [tuple(r) for r in had.collect()] == [("a", "x")]
-    assert tables.with_checkpoint(df, df, "k") and not tables.with_checkpoint(df, done, "k")
+    assert [tuple(r) for r in tables.resume_missing(df, done, "k", "o")[1].collect()] == [("a", "y")]
+    assert tables.with_checkpoint(df, df.orderBy(F.desc("k")), "k") and not tables.with_checkpoint(df, done, "k")
+    assert not tables.with_checkpoint(df, spark.createDataFrame([("a",), ("b",), ("b",)], "k string"), "k")
+    tables.write_checkpoint(df.repartition(3).withColumn("o", F.lit("x")), f"{tmp_path}/c", "k")
+    assert tables.checkpoint_fits(df, f"{tmp_path}/c", "k") and not tables.checkpoint_fits(df.where("k <> 'a'"), f"{tmp_path}/c", "k")
+    empty = df.limit(0)
+    assert tables.with_checkpoint(empty, empty, "k") and not tables.with_checkpoint(empty, df, "k")
+
+
+def test_scores_are_kept_across_runs(spark, tmp_path):
+    calls, store = spark.sparkContext.accumulator(0), str(tmp_path / "s")
+
+    def make():
+        def score(ev, cl):
+            calls.add(len(ev))
+            if "bad" in cl:
+                raise ValueError
+            return [[len(e), len(c), 0] for e, c in zip(ev, cl, strict=True)]
+
+        return score
+
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), "evidence_text string, claim_text string").withColumn("key", F.lit("mine"))
+    run = lambda df, model="m": sorted(map(str, score_store.score_with_store(df, make, store, model).select("evidence_text", "claim_text", "l0", "l1", "error", "key").collect()))
+    first = rows(("e", "c"), ("e", "c"), (None, "c"), ("", "c"), ("e", None))
+    plain = lambda df: sorted(map(str, scoring.score_once(df, make).select("evidence_text", "claim_text", "l0", "l1", "error", "key").collect()))
+    assert run(first) == plain(first)
+    calls.value = 0
+    assert run(rows(("e", "c"))) == plain(rows(("e", "c")))[:1] and calls.value == 1  # the plain call's
+    calls.value = 0
+    again = rows(("e", "c"), ("new", "c"), ("new", "c"), ("x", "bad"))
+    assert "inference_failed" in str(run(again)) and calls.value in (3, 4)  # the new pair, and the bad one with its neighbour and alone
+    assert score_store.stored_scores(spark, store, "m").count() == 2
+    calls.value = 0
+    run(rows(("e", "c")), "other model")
+    assert calls.value == 1
+
+
+def test_claim_calls_stop_where_generators_fail(spark):
+    def denied():
+        def call(t):
+            raise PermissionError("no")
+
+        return [call, call]
+
+    def lost():
+        raise OSError("no weights")
+
+    df = spark.createDataFrame([(str(k),) for k in range(6)], "t string").coalesce(1)
+    got = lambda make, **how: [(r.raw, r.calls, r.call_error) for r in scoring.claims_with_retries(df, make, "t", **how).collect()]
+    assert got(lost) == [(None, 0, "OSError: no weights")] * 6
+    assert got(denied, trip=2) == [(None, 1, "PermissionError: no")] * 2 + [(None, 0, "circuit_open")] * 4
+    assert got(denied) == [(None, 1, "PermissionError: no")] * 6
+
+
+@pytest.mark.parametrize("raw", ['[{"claim_id": "1", "claim_text": "a"}]', '```json [{"claim_id": "1", "claim_text": "a"}]```', "[]", "no", '{"claim_id": "1"}', '[{"claim_id": 1, "claim_text": "a"}]', '[{"claim_id": "1", "claim_text": " "}]', '["a"]', "null"])
+def test_usable_answers_are_those_that_parse(spark, raw):
+    df = spark.createDataFrame([(raw,)], "raw string").select(claims.parse_claims(F.col("raw")).isNotNull().alias("ok"))
+    assert scoring.usable_claims(raw) == df.first().ok
 
 
 def test_claim_calls_share_a_budget(spark):
@@ -68,7 +125,7 @@ def test_claim_calls_share_a_budget(spark):
         return [denied if False else (lambda t: busy(t) if t == "busy" else denied(t) if t == "denied" else "[]" if t == "ok" else ""), lambda t: "second"]
 
     df = spark.createDataFrame([("ok",), ("busy",), ("denied",), ("empty",)], "t string").coalesce(1)
-    got = [(r.raw, r.calls) for r in scoring.claims_with_retries(df, make, "t").collect()]
+    got = [(r.raw, r.calls) for r in scoring.claims_with_retries(df, make, "t", usable=bool).collect()]
     assert got == [("[]", 1), (None, 3), (None, 1), ("second", 2)]
 
 
