@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.functions.text import is_blank, nfc, pair_key, strip
+from clauseloom.operators.prefilter import key_filter, may_match
 from clauseloom.operators.scoring import LABELS
+from clauseloom.plans.shared import written
 
 # Columns every set must have, the longest input, weights against imbalance.
 REQUIRED = ("premise", "hypothesis", "gold_label")
@@ -76,27 +78,36 @@ def _train_keys(train: DataFrame) -> DataFrame:
     return train.select(pair_key(F.col("premise"), F.col("hypothesis")).alias("_key")).distinct()
 
 
-def with_leak(eval_df: DataFrame, train: DataFrame) -> DataFrame:
-    """eval_df with leaked. Keys meet by hash first, so the shuffle sorts numbers, and by the whole key then."""
+def _apart(eval_df: DataFrame, train: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows that may leak with their key and its hash, rows that don't leak, train keys): most rows are told by a filter of train's keys and aren't shuffled."""
+    t = written(_train_keys(train).select(F.xxhash64("_key").alias("_thash"), F.col("_key").alias("_tkey")), "train_keys")
+    words = key_filter(t.select(F.col("_thash").alias("h")), t.count())
     e = eval_df.withColumn("_key", pair_key(F.col("premise"), F.col("hypothesis"))).withColumn("_hash", F.xxhash64("_key"))
-    t = _train_keys(train).select(F.xxhash64("_key").alias("_thash"), F.col("_key").alias("_tkey"))
-    met = e.join(t, (e["_hash"] == t["_thash"]) & (e["_key"] == t["_tkey"]), "left")
-    return met.select(*eval_df.columns, F.col("_tkey").isNotNull().alias("leaked"))
+    may = may_match(words, F.col("_hash"), eval_df.sparkSession)
+    return e.where(may), e.where(~may).drop("_key", "_hash"), t
+
+
+def _same(e: DataFrame, t: DataFrame) -> Column:
+    """Keys meet by hash first, so the shuffle sorts numbers, and by the whole key then."""
+    return (e["_hash"] == t["_thash"]) & (e["_key"] == t["_tkey"])
+
+
+def with_leak(eval_df: DataFrame, train: DataFrame) -> DataFrame:
+    """eval_df with leaked."""
+    may, clean, t = _apart(eval_df, train)
+    met = may.join(t, _same(may, t), "left").select(*eval_df.columns, F.col("_tkey").isNotNull().alias("leaked"))
+    return met.unionByName(clean.withColumn("leaked", F.lit(False)))
 
 
 def remove_leakage(eval_df: DataFrame, train: DataFrame) -> DataFrame:
     """Rows of eval_df whose normalised pair isn't in train; repeats inside eval_df stay."""
-    return _leak_join(eval_df, train, "left_anti")
+    may, clean, t = _apart(eval_df, train)
+    return may.join(t, _same(may, t), "left_anti").drop("_key", "_hash").unionByName(clean)
 
 
 def leaked_rows(eval_df: DataFrame, train: DataFrame) -> DataFrame:
-    return _leak_join(eval_df, train, "left_semi")
-
-
-def _leak_join(eval_df: DataFrame, train: DataFrame, how: str) -> DataFrame:
-    e = eval_df.withColumn("_key", pair_key(F.col("premise"), F.col("hypothesis"))).withColumn("_hash", F.xxhash64("_key"))
-    t = _train_keys(train).select(F.xxhash64("_key").alias("_thash"), F.col("_key").alias("_tkey"))
-    return e.join(t, (e["_hash"] == t["_thash"]) & (e["_key"] == t["_tkey"]), how).drop("_key", "_hash")
+    may, _, t = _apart(eval_df, train)
+    return may.join(t, _same(may, t), "left_semi").drop("_key", "_hash")
 
 
 def leakage_report(eval_df: DataFrame, train: DataFrame, split: str = "split") -> DataFrame:
