@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +44,8 @@ def gold_label_id(c: Column) -> Column:
 
 def duplicate_ids(df: DataFrame, col: str = "nli_id", by: str | None = None) -> DataFrame:
     """Rows beyond the first of each id, null counting as a value; 0 where the column is absent."""
-    n = F.lit(0).cast("long") if col not in df.columns else F.count(F.lit(1)) - F.countDistinct(col) - F.coalesce(F.max(F.col(col).isNull().cast("int")), F.lit(0))
     grouped = df.groupBy(by) if by else df.groupBy()
-    return grouped.agg(n.cast("long").alias("duplicate_ids"))
+    return grouped.agg(_repeats(df, col).alias("duplicate_ids"))
 
 
 def validate_nli(df: DataFrame, by: str = "dataset") -> DataFrame:
@@ -52,16 +53,46 @@ def validate_nli(df: DataFrame, by: str = "dataset") -> DataFrame:
     missing = [c for c in REQUIRED if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    marked = df.withColumn("_g", gold_label_id(F.col("gold_label")))
-    report = marked.groupBy(by).agg(
+    return df.groupBy(by).agg(*_checks(df)).withColumn("usable", _usable())
+
+
+def _repeats(df: DataFrame, col: str) -> Column:
+    if col not in df.columns:
+        return F.lit(0).cast("long")
+    return (F.count(F.lit(1)) - F.countDistinct(col) - F.coalesce(F.max(F.col(col).isNull().cast("int")), F.lit(0))).cast("long")
+
+
+def _checks(df: DataFrame) -> list[Column]:
+    label = gold_label_id(F.col("gold_label"))
+    return [
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(is_blank(F.col("premise"))).alias("blank_premise"),
         F.count_if(is_blank(F.col("hypothesis"))).alias("blank_hypothesis"),
-        F.count_if(F.col("_g").isNull()).alias("bad_labels"),
-        (F.count(F.lit(1)) - F.countDistinct("nli_id") - F.max(F.col("nli_id").isNull().cast("int"))).cast("long").alias("duplicate_ids"),
-        *[F.count_if(F.col("_g") == i).alias(f"n_{k}") for i, k in enumerate(LABELS)],
-    )
-    return report.withColumn("usable", (F.col("blank_premise") + F.col("blank_hypothesis") + F.col("bad_labels")) == 0)
+        F.count_if(label.isNull()).alias("bad_labels"),
+        _repeats(df, "nli_id").alias("duplicate_ids"),
+        *[F.count_if(label == i).alias(f"n_{k}") for i, k in enumerate(LABELS)],
+    ]
+
+
+def _usable() -> Column:
+    return (F.col("blank_premise") + F.col("blank_hypothesis") + F.col("bad_labels")) == 0
+
+
+def validate_sets(sets: dict[str, DataFrame]) -> DataFrame:
+    """`validate_nli` of named sets that are tables of their own, one row each, empty ones too.
+
+    A set without a required column has its rows counted, the columns named in
+    `missing`, nulls for the checks, and isn't usable; the others are checked all the same.
+    """
+    counted = ["blank_premise", "blank_hypothesis", "bad_labels", "duplicate_ids", *(f"n_{k}" for k in LABELS)]
+    rows = []
+    for name, df in sets.items():
+        missing = [x for x in REQUIRED if x not in df.columns]
+        unseen = [F.count(F.lit(1)).alias("n_rows"), *[F.lit(None).cast("long").alias(x) for x in counted]]
+        report = df.agg(*(unseen if missing else _checks(df)))
+        named = F.array(*map(F.lit, missing)).cast("array<string>").alias("missing")
+        rows.append(report.select(F.lit(name).alias("dataset"), named, "*", (F.lit(False) if missing else _usable()).alias("usable")))
+    return reduce(DataFrame.unionByName, rows)
 
 
 def offending_rows(df: DataFrame) -> DataFrame:

@@ -159,11 +159,14 @@ def validate_spans(spans: DataFrame, provisions: DataFrame) -> DataFrame:
     return met.select("provision_id", spans_reason(F.col("spans"), F.col("source")).alias("reason"))
 
 
-def spans_with_fallback(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with spans, span_status, span_method and span_reason: structural, else by sentences, else the whole text, which is kept where it fails too."""
+def spans_with_fallback(df: DataFrame, text: str = "text", given: str | None = None) -> DataFrame:
+    """df with spans, span_status, span_method and span_reason: structural, else by sentences, else the whole text, which is kept where it fails too.
+
+    given: a column of spans that another extractor made, which take the structural ones' place.
+    """
     c = F.col(text)
     whole = F.array(F.struct(F.lit(1).alias("span_idx"), F.lit("P1").alias("span_id"), c.alias("text"), F.lit(0).alias("start"), F.length(c).alias("end"))).cast(SPANS)
-    tiers = df.withColumn("_1", make_spans(c)).withColumn("_2", sentence_spans(c)).withColumn("_3", whole)
+    tiers = df.withColumn("_1", F.col(given).cast(SPANS) if given else make_spans(c)).withColumn("_2", sentence_spans(c)).withColumn("_3", whole)
     ok = [spans_reason(F.col(f"_{k}"), c).isNull() for k in (1, 2, 3)]
     return tiers.select(
         "*",

@@ -47,7 +47,7 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linking.link_claims(derive(spark, sf_dir, fx.CLAIM_ROWS), _units(spark, sf_dir), derive(spark, sf_dir, fx.PROVISIONS))
+    return linking.link_claims(derive(spark, sf_dir, fx.SPARK_CLAIM_ROWS), _units(spark, sf_dir), derive(spark, sf_dir, fx.PROVISIONS))
 
 
 def flat(*cols: str) -> list:
@@ -99,6 +99,25 @@ def spans_with_fallback(spark, d):
     return df.select("provision_id", F.size("spans").cast("long").alias("n_spans"), "span_status", "span_method")
 
 
+# Spans of another extractor: usable, none, one that ends behind the text, or any for a text without words.
+GIVEN_SQL = f"SELECT provision_id, CASE WHEN n % 13 = 0 THEN '  ' ELSE text END AS text, n % 7 AS kind FROM (SELECT *, CAST(substr(provision_id, 2) AS BIGINT) AS n FROM ({fx.PROVISIONS}) p) q"
+BY_SENTENCES = r"""len(list_filter(string_split(regexp_replace(text, '\.(\s+[A-Z"(])', '.' || chr(1) || '\1', 'g'), chr(1)), lambda t: trim(t) <> ''))"""
+
+
+@query(
+    "given_spans_with_fallback",
+    f"""WITH g AS (SELECT *, trim(text) = '' AS blank FROM ({GIVEN_SQL}) g)
+SELECT provision_id, CASE WHEN blank OR kind > 1 THEN 1 ELSE {BY_SENTENCES} END AS n_spans, CASE WHEN blank THEN 'failed' WHEN kind < 2 THEN 'fallback' ELSE 'success' END AS span_status,
+  CASE WHEN NOT blank AND kind < 2 THEN 'sentence_splitter' END AS span_method, CASE WHEN blank THEN 'empty_text' END AS span_reason FROM g""",
+)
+def given_spans_with_fallback(spark, d):
+    g = derive(spark, d, GIVEN_SQL)
+    end = F.length("text") + F.when(c("kind") == 1, 1).otherwise(0)
+    one = F.struct(F.lit(1).alias("span_idx"), F.lit("P1").alias("span_id"), c("text"), F.lit(0).alias("start"), end.alias("end"))
+    given = g.withColumn("given", F.when(c("kind") != 0, F.array(one)).cast(spans.SPANS))
+    return spans.spans_with_fallback(given, given="given").select("provision_id", F.size("spans").cast("long").alias("n_spans"), "span_status", "span_method", "span_reason")
+
+
 @query(
     "sentence_spans",
     r"""
@@ -146,7 +165,7 @@ def evidence_units(spark, d):
 
 @query("score_units", f"WITH {UNITS_SQL} {SCORES_SQL} SELECT * FROM sc")
 def score_units(spark, d):
-    return linking.score_units(derive(spark, d, fx.CLAIM_ROWS), _units(spark, d))
+    return linking.score_units(derive(spark, d, fx.SPARK_CLAIM_ROWS), _units(spark, d))
 
 
 @query("link_claims", f"{LINK_SQL} SELECT {LINK_COLS} FROM linked")
@@ -174,7 +193,7 @@ SELECT count(*) AS n_claims, count(*) FILTER (WHERE coalesce(evidence_span_ids,
 def evidence_recall(spark, d):
     linked = _linked(spark, d)
     list_item = (F.substring("provision_id", 2, 20).cast("long") % 6 == 2) & (c("claim_id") == "C2")
-    expected = derive(spark, d, fx.CLAIM_ROWS).select("provision_id", "claim_id", F.when(list_item, F.array(F.lit("P1"), F.lit("P3"))).otherwise(F.array(F.lit("P1"))).alias("expected_ids"))
+    expected = derive(spark, d, fx.SPARK_CLAIM_ROWS).select("provision_id", "claim_id", F.when(list_item, F.array(F.lit("P1"), F.lit("P3"))).otherwise(F.array(F.lit("P1"))).alias("expected_ids"))
     return linking.evidence_recall(linked, expected)
 
 
@@ -237,7 +256,7 @@ CLAIM_TEXT_SQL = f"({fx.CLAIM_ROWS}) c JOIN ({fx.PROVISIONS}) p USING (provision
 
 
 def _claim_text(spark, d):
-    return derive(spark, d, fx.CLAIM_ROWS).join(derive(spark, d, fx.PROVISIONS), "provision_id")
+    return derive(spark, d, fx.SPARK_CLAIM_ROWS).join(derive(spark, d, fx.PROVISIONS), "provision_id")
 
 
 @query("lexical_overlap", f"SELECT provision_id, claim_id, array_to_string(list_sort(list_intersect({q.lex('claim_text')}, {q.lex('text')})), ',') AS overlap FROM {CLAIM_TEXT_SQL}")
@@ -397,6 +416,31 @@ def validate_nli(spark, d):
     return curation.validate_nli(derive(spark, d, fx.PAIRS), "split")
 
 
+@query(
+    "offending_rows",
+    f"""SELECT * FROM (SELECT nli_id, split, array_to_string({q.drop_nulls(
+        f"CASE WHEN {q.strip('premise')} = '' THEN 'blank_premise' END", f"CASE WHEN {q.strip('hypothesis')} = '' THEN 'blank_hypothesis' END",
+        f"CASE WHEN ({q.label_id('gold_label')}) IS NULL THEN 'bad_label' END")}, ',') AS faults FROM ({fx.PAIRS}) p) o WHERE faults <> ''""",
+)
+def offending_rows(spark, d):
+    return curation.offending_rows(derive(spark, d, fx.PAIRS)).select("nli_id", "split", *flat("faults"))
+
+
+@query(
+    "validate_sets",
+    f"""WITH v AS ({VALID_SQL}), k AS (SELECT split AS dataset, split = 'external' AS lacks, * EXCLUDE (split) FROM v)
+SELECT dataset, CASE WHEN lacks THEN 'hypothesis,gold_label' ELSE '' END AS missing, n_rows,
+  {", ".join(f"CASE WHEN NOT lacks THEN {x} END AS {x}" for x in ("blank_premise", "blank_hypothesis", "bad_labels", *(f"n_{k}" for k in scoring.LABELS)))},
+  CASE WHEN dataset = 'validation' THEN 0 WHEN NOT lacks THEN duplicate_ids END AS duplicate_ids, NOT lacks AND blank_premise + blank_hypothesis + bad_labels = 0 AS usable FROM k
+UNION ALL SELECT 'nothing', '', 0, 0, 0, 0, 0, 0, 0, 0, true""",
+)
+def validate_sets(spark, d):
+    p = derive(spark, d, fx.PAIRS)
+    sets = {k: p.where(c("split") == k) for k in ("train", "internal", "external", "validation")}
+    sets |= {"external": sets["external"].drop("hypothesis", "gold_label"), "validation": sets["validation"].drop("nli_id"), "nothing": p.where("false")}
+    return curation.validate_sets(sets).withColumn("missing", F.array_join("missing", ","))
+
+
 @query("duplicate_ids", f"SELECT split, count(*) - count(DISTINCT nli_id) AS duplicate_ids FROM ({fx.PAIRS}) p GROUP BY 1")
 def duplicate_ids(spark, d):
     return curation.duplicate_ids(derive(spark, d, fx.PAIRS), by="split")
@@ -770,9 +814,9 @@ _DRAWN = q.drop_nulls(
 @query(
     "verify_provisions",
     f"""{LINK_SQL}, rs AS (SELECT *, CAST(substr(provision_id, 2) AS BIGINT) AS n FROM ({fx.RESPONSES}) r),
-st AS (SELECT provision_id, n, simplified_text, attempts, error, n % 31 = 0 AS no_spans, simplified_text IS NULL AS no_text, CASE WHEN n % 5 = 0 THEN 'sentence_splitter' ELSE 'llm' END AS claim_method FROM rs),
+st AS (SELECT provision_id, n, simplified_text, attempts, error, n % 31 = 0 AS no_spans, simplified_text IS NULL AS no_text, CASE WHEN n % 5 <> 0 THEN 'llm' WHEN {fx.ONE_CLAIM} THEN 'whole_text_claim' WHEN {fx.CLAUSES} THEN 'clause_splitter' ELSE 'sentence_splitter' END AS claim_method FROM rs),
 z AS (SELECT l.*, st.simplified_text, CASE WHEN length(claim_text) % 11 <> 0 THEN [(length(evidence_text) % 7)::DOUBLE, (length(claim_text) % 5)::DOUBLE, ((length(evidence_text) + length(claim_text)) % 3)::DOUBLE] END AS lg
-  FROM linked l JOIN st USING (provision_id) WHERE NOT no_spans AND NOT no_text),
+  FROM linked l JOIN st USING (provision_id) WHERE NOT no_spans AND NOT no_text AND (claim_method <> 'whole_text_claim' OR claim_id = 'C1')),
 pr AS (SELECT *, list_transform(lg, lambda x: exp(x - list_max(lg)) / (exp(lg[1] - list_max(lg)) + exp(lg[2] - list_max(lg)) + exp(lg[3] - list_max(lg)))) AS p, list_position(lg, list_max(lg)) AS k FROM z),
 lb AS (SELECT *, CASE WHEN lg IS NULL THEN 'unverified' ELSE ['unsupported', 'supported', 'uncertain'][k] END AS label, {_DRAWN} AS ew, CASE WHEN k = 2 THEN {_WARNED} ELSE [] END AS vw FROM pr),
 cs AS (SELECT provision_id, string_agg(concat_ws('|', claim_id, claim_text, coalesce(evidence_span_id, '-'), evidence_text, evidence_score, evidence_method, label, CASE WHEN lg IS NULL THEN '-' ELSE ['contradiction', 'entailment', 'neutral'][k] END,
@@ -784,7 +828,7 @@ SELECT provision_id, concat('run-', provision_id) AS run_id, CASE WHEN NOT no_sp
   CASE WHEN no_spans OR no_text THEN 'failed' WHEN n % 5 = 0 OR whole OR nli_bad OR warned THEN 'partial' ELSE 'success' END AS overall,
   CASE WHEN no_spans THEN 'failed,empty_text' ELSE 'success,-' END AS span_generation,
   CASE WHEN no_spans THEN 'skipped,-,-' WHEN no_text THEN concat('failed,', attempts, ',TimeoutError') ELSE concat('success,', attempts, ',-') END AS simplification,
-  CASE WHEN no_spans OR no_text THEN 'skipped,-' WHEN n % 5 = 0 THEN 'fallback,sentence_splitter' ELSE 'success,llm' END AS claim_extraction,
+  CASE WHEN no_spans OR no_text THEN 'skipped,-' ELSE concat(CASE WHEN n % 5 = 0 THEN 'fallback,' ELSE 'success,' END, claim_method) END AS claim_extraction,
   CASE WHEN no_spans OR no_text THEN 'skipped,-' WHEN whole THEN 'fallback,full_provision' ELSE 'success,lexical_overlap' END AS evidence_retrieval,
   CASE WHEN no_spans OR no_text THEN 'skipped' WHEN nli_bad THEN 'partial' ELSE 'success' END AS nli_verification,
   CASE WHEN NOT no_spans AND NOT no_text THEN concat('s,', claim_method, ',', CASE WHEN whole THEN 'full_provision' ELSE 'lexical_overlap' END, ',n') END AS provenance,
@@ -1135,7 +1179,7 @@ def with_checkpoint(spark, d):
 
 @query("stream_verify", f"{LINK_SQL} SELECT provision_id, claim_id, evidence_span_id, evidence_method, evidence_ambiguity FROM linked")
 def stream_verify(spark, d):
-    claims_of = derive(spark, d, fx.CLAIM_ROWS).groupBy("provision_id").agg(F.array_sort(F.collect_list(F.struct("claim_id", "claim_text"))).alias("claims"))
+    claims_of = derive(spark, d, fx.SPARK_CLAIM_ROWS).groupBy("provision_id").agg(F.array_sort(F.collect_list(F.struct("claim_id", "claim_text"))).alias("claims"))
     rows = derive(spark, d, fx.PROVISIONS).join(derive(spark, d, fx.SIMPLIFIED), "provision_id").join(claims_of, "provision_id")
     base = fresh_path(spark, "stream")
     rows.write.json(f"{base}/in")
@@ -1148,7 +1192,7 @@ def stream_meet(spark, d):
     """Claims before and after their provision, in two runs of one stream."""
     base = fresh_path(spark, "meet")
     early = F.crc32(c("provision_id").cast("binary")) % 2 == 0
-    sides = {"p": derive(spark, d, fx.PROVISIONS).select("provision_id", "text"), "c": derive(spark, d, fx.CLAIM_ROWS)}
+    sides = {"p": derive(spark, d, fx.PROVISIONS).select("provision_id", "text"), "c": derive(spark, d, fx.SPARK_CLAIM_ROWS)}
     for now in ({"p": early, "c": ~early}, {"p": ~early, "c": early}):
         for side, rows in now.items():
             sides[side].where(rows).write.mode("append").json(f"{base}/{side}")

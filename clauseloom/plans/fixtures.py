@@ -45,11 +45,16 @@ SPANS = " UNION ALL ".join(
 CLAIM_ROWS = " UNION ALL ".join(
     f"SELECT {_ID}, 'C{i + 1}' AS claim_id, {c} AS claim_text FROM ({BASE}) b WHERE n % 6 = {k}" for k, cs in CLAIMS.items() for i, c in enumerate(cs)
 )
+#: The same rows for Spark, by one scan.
+SPARK_CLAIM_ROWS = f"SELECT {_ID}, inline_outer({_case({k: 'array(' + ', '.join(f"named_struct('claim_id', 'C{i + 1}', 'claim_text', {c})" for i, c in enumerate(cs)) + ')' for k, cs in CLAIMS.items()})}) FROM ({BASE}) b"
 SIMPLIFIED = f"SELECT {_ID}, {_case({k: 'concat_ws(chr(32), ' + ', '.join(c) + ')' for k, c in CLAIMS.items()})} AS simplified_text FROM ({BASE}) b"
 
-#: What a simplifier and a claim extractor answer: some failures, some answers that are no JSON.
+#: What a simplifier and a claim extractor answer: some failures, some answers that are no JSON. Of these, texts of
+#: clauses, of sentences, and of one sentence only, so that each way to claims is taken.
+ONE_CLAIM, CLAUSES = "n % 15 = 0", "n % 10 = 5"
 RESPONSES = (
-    f"SELECT {_ID}, CASE WHEN n % 29 <> 0 THEN {_case({k: 'concat_ws(chr(32), ' + ', '.join(c) + ')' for k, c in CLAIMS.items()})} END AS simplified_text, "
+    f"SELECT {_ID}, CASE WHEN n % 29 = 0 THEN NULL WHEN {ONE_CLAIM} THEN {_case({k: c[0] for k, c in CLAIMS.items()})} "
+    f"ELSE {_case({k: f'concat_ws(CASE WHEN {CLAUSES} THEN chr(59) ELSE chr(32) END, ' + ', '.join(c) + ')' for k, c in CLAIMS.items()})} END AS simplified_text, "
     "CASE WHEN n % 29 = 0 THEN 2 ELSE 1 END AS attempts, CASE WHEN n % 29 = 0 THEN 'TimeoutError' END AS error, CASE WHEN n % 5 = 0 THEN 'no json' ELSE "
     + _case({k: "concat('[', " + ", ',', ".join(f"""'{{"claim_id": "x", "claim_text": "', {t}, '"}}'""" for t in c) + ", ']')" for k, c in CLAIMS.items()})
     + f" END AS raw FROM ({BASE}) b"
