@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from clauseloom.llm.common import running_total, settle
 
-#: Small shards, as for random access; the directory has a row a shard and is a table, so any size will do.
-SHARD_BYTES = 1024 * 1024
+#: The directory has a row a shard and is a table, so any size will do.
+SHARD_BYTES = 128 * 1024 * 1024
 HASH_BITS = 60
 _FIRST, _STEP = 4, 8
 

@@ -9,7 +9,9 @@ transitions and neighbours learns what lines of good and of bad documents look
 like by themselves; by it, and by `PRIOR` in favour of their document's label,
 lines get labels of their own. Whole documents of one kind would teach the field
 that a line is as its neighbours are, so documents with lines of the other kind
-spliced in join them, and the field is fitted on all these chains. A document's quality is the mean of its
+spliced in join them, and the field is fitted on all these chains. Features are
+scaled to one spread while it is fitted, so that small shares count as much as
+large numbers. A document's quality is the mean of its
 lines' forward-backward marginals weighted by their length, turned into a
 probability by a logistic fit on a part of the sample that the field hasn't seen.
 
@@ -154,6 +156,9 @@ class Field:
         has = n_lines > 0
         weight = np.repeat(1 / np.maximum(n_lines, 1), n_lines)
         n = max(1, has.sum())
+        spread = x.std(0) if len(x) else np.zeros(N_FEATURES)
+        scale = np.where(spread > 0, 1 / np.where(spread > 0, spread, 1), 1)  # shares of characters are small numbers, and steps are of one size
+        x = x * scale
         first_line = (np.cumsum(n_lines) - n_lines)[has]
         inside = np.ones(len(label), bool)
         inside[first_line] = False
@@ -174,7 +179,7 @@ class Field:
             grad[:N_FEATURES] *= used
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
             theta = theta + RATE * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
-        self.w, self.trans, self.first = theta[:N_FEATURES], theta[N_FEATURES : N_FEATURES + 4].reshape(2, 2), theta[-2:]
+        self.w, self.trans, self.first = theta[:N_FEATURES] * scale, theta[N_FEATURES : N_FEATURES + 4].reshape(2, 2), theta[-2:]
 
     def quality(self, texts: list[str]) -> np.ndarray:
         """Length-weighted mean of the lines' marginals, as log-odds; nan for a text without lines."""

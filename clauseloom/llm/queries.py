@@ -27,8 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Shards small enough for random access, so that small tables split too; the operator's own default is larger.
+SHARD_BYTES = 1024 * 1024
+
+
 def op1_sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = op1_sharding.shard_rows(table(spark, sf_dir, "documents"))
+    rows = op1_sharding.shard_rows(table(spark, sf_dir, "documents"), shard_bytes=SHARD_BYTES)
     return rows.select("doc_id", "n_bytes", "shard", F.col("depth").cast("int").alias("depth"), "shard_bytes", "alone")
 
 
@@ -104,15 +108,15 @@ WITH RECURSIVE d AS (
   SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
          CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h
   FROM documents
-), small AS (SELECT * FROM d WHERE n_bytes <= {op1_sharding.SHARD_BYTES}),
+), small AS (SELECT * FROM d WHERE n_bytes <= {SHARD_BYTES}),
 grow AS (
   SELECT 0 AS depth, CAST(0 AS BIGINT) AS prefix, (SELECT sum(n_bytes) FROM small)::BIGINT AS b
   UNION ALL
   SELECT g.depth + 1, c.prefix, c.b FROM grow g, LATERAL (
     SELECT s.h >> (60 - g.depth - 1) AS prefix, sum(n_bytes)::BIGINT AS b FROM small s
     WHERE s.h >> (60 - g.depth) = g.prefix GROUP BY 1) c
-  WHERE g.b > {op1_sharding.SHARD_BYTES} AND g.depth < 60
-), leaf AS (SELECT * FROM grow WHERE b <= {op1_sharding.SHARD_BYTES})
+  WHERE g.b > {SHARD_BYTES} AND g.depth < 60
+), leaf AS (SELECT * FROM grow WHERE b <= {SHARD_BYTES})
 SELECT s.doc_id, s.n_bytes,
        CASE WHEN l.depth = 0 THEN 'root' ELSE lpad(to_binary(l.prefix), l.depth, '0') END AS shard,
        l.depth, l.b AS shard_bytes, false AS alone
