@@ -226,7 +226,7 @@ def rows_before(counts: DataFrame, doc: str, n: str, out: str) -> DataFrame:
     within = F.coalesce(F.sum(n).over(earlier(Window.partitionBy("_part").orderBy(doc))), F.lit(0))
     sums = parts.groupBy("_part").agg(F.sum(n).alias("_s"))
     moved = sums.select("_part", F.coalesce(F.sum("_s").over(earlier(Window.orderBy("_part"))), F.lit(0)).alias("_before"))
-    return parts.withColumn("_in", within).join(moved, "_part").select(doc, (F.col("_in") + F.col("_before")).alias(out))
+    return parts.withColumn("_in", within).join(F.broadcast(moved), "_part").select(doc, (F.col("_in") + F.col("_before")).alias(out))
 
 
 def build_candidates(pages: DataFrame, act_name: str, lo: int = 1, hi: int = 500) -> DataFrame:
@@ -235,7 +235,8 @@ def build_candidates(pages: DataFrame, act_name: str, lo: int = 1, hi: int = 500
     units = written(cleaned.drop("text"), "units")
     before = rows_before(units.groupBy("doc_id").agg(F.max("seq").alias("_c")), "doc_id", "_c", "_base")
     no = (F.col("_base") + F.col("seq")).cast("string")
-    named = units.join(before, "doc_id").withColumn("_no", F.when(F.length(no) < 5, F.lpad(no, 5, "0")).otherwise(no))
+    # By a merge: written units are so small as files that Spark would send them, or all documents' counts, through the driver.
+    named = units.hint("merge").join(before, "doc_id").withColumn("_no", F.when(F.length(no) < 5, F.lpad(no, 5, "0")).otherwise(no))
     empty = F.lit("")
     return named.select(
         F.concat(F.lit("SL"), "_no").alias("example_id"),

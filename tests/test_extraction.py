@@ -47,6 +47,13 @@ def test_candidates_are_numbered_in_order(spark):
     assert [flags(r) for r in rows] == [(1, 0, 1, 1, 1, 1), (0, 0, 1, 0, 0, 1), (1, 1, 1, 1, 0, 0)]
 
 
+def test_units_and_documents_counts_do_not_pass_the_driver(spark):
+    many = pages(spark, "1. The officer shall pay").unionByName(pages(spark, "2. The court may order", doc="e"))
+    plan = X.build_candidates(many, "Act")._jdf.queryExecution().executedPlan().toString()
+    by_document = [line for line in plan.splitlines() if "Join [doc_id" in line]
+    assert by_document and all("SortMergeJoin" in line for line in by_document)
+
+
 def test_merged_pages_and_text_sink(spark, tmp_path):
     p = pages(spark, " a ", " ", "b\nc")
     assert X.merge_pages(p).first().text == "--- PAGE 1 ---\na\n\n--- PAGE 3 ---\nb\nc"
