@@ -65,3 +65,10 @@ def test_units_join_the_nearest_head(spark):
         (["P1"], "A head"), (["P1", "P2"], "A head or, if so"), (["P1", "P3"], "A head (b) more"), (["P4"], "Next"), (["P4", "P5"], "Next (iv) last"),
     ]
     assert units("(a) first", "(1) numbered") == [(["P1"], "(a) first"), (["P2"], "(1) numbered")]
+
+
+def test_sentences_are_cut_only_where_structure_fails(spark):
+    df = spark.createDataFrame([("a", "One is here. Two is there.")], "provision_id string, text string")
+    plan = S.spans_with_fallback(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN isnotnull(_r1" in plan
+    assert S.spans_with_fallback(df).first().span_status == "success"
