@@ -74,3 +74,11 @@ def test_claims(spark):
     assert values(spark, pairs, claims.extraction_warnings(F.col("c0"), F.col("c1"))) == [["unsupported_number"], ["zero_lexical_overlap"], ["clear_modal_conflict"], []]
     warned = linking.verification_warnings(F.col("c0"), F.col("c1"), F.lit("supported"))
     assert values(spark, [("5 coins", "6 coins"), ("must not go", "may go"), ("5", "none")], warned) == [["numerical_conflict"], ["clear_modal_conflict"], []]
+
+
+def test_warnings_compute_numbers_and_tags_once(spark):
+    df = spark.createDataFrame([("shall pay 5 coins", "may not pay 6 coins")], "e string, c string")
+    w = df.select(linking.verification_warnings(F.col("e"), F.col("c"), F.lit("supported")).alias("w"))
+    plan = w._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("cannot") == 2 and plan.count(legal.NUMBER) == 2
+    assert w.first().w == ["numerical_conflict"]
