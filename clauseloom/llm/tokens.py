@@ -14,6 +14,7 @@ from __future__ import annotations
 import ctypes
 import os
 import re
+import string
 import unicodedata
 from functools import cache
 
@@ -187,7 +188,11 @@ class ByteLevel(Encoder):
 
 
 class WordLevel(Encoder):
-    """BPE with word ends on lower-cased words; chunks are what white space parts."""
+    """BPE with word ends on lower-cased words; chunks are what white space parts, in lower case.
+
+    A chunk that ends in ASCII punctuation behind a letter or digit has a border of
+    pre-tokens there, so its ids are those of the part before and of the punctuation.
+    """
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -195,21 +200,37 @@ class WordLevel(Encoder):
         self.width = np.array([len(x.removesuffix("</w>")) for x in names])
 
     def unclear(self, text: str) -> bool:
-        return bool(_LATIN.search(text)) or super().unclear(text)
+        # lower-cased, a text may hold a special token's string that it doesn't hold as it is
+        return (not text.isascii() and bool(_LATIN.search(text))) or super().unclear(text.lower())
 
     def cut(self, text: str) -> list[str]:
-        return (text if text.isascii() else unicodedata.normalize("NFC", text)).split()
+        return (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split()
 
     def learn(self, new: list[str]) -> dict:
-        out = {}
-        for at in range(0, len(new), RUN):
-            some = new[at : at + RUN]
-            ids, cuts = self.parts(" ".join(some), np.cumsum(sizes([c.lower() for c in some])), self.width)
+        halves, rest = {}, set()
+        for c in new:
+            word = c.rstrip(string.punctuation)
+            if len(word) < len(c) and word and word[-1].isalnum():
+                halves[c] = word, c[len(word) :]
+            else:
+                rest.add(c)
+        met = {}
+        for half in set().union(*halves.values()) - rest:
+            v = self.now.get(half)
+            if v is None and (v := self.old.get(half)) is None:
+                rest.add(half)
+            else:
+                met[half] = v
+        out, rest = {}, list(rest)
+        for at in range(0, len(rest), RUN):
+            some = rest[at : at + RUN]
+            ids, cuts = self.parts(" ".join(some), np.cumsum(sizes(some)), self.width)
             raw, a = ids.tobytes(), 0
             for c, b in zip(some, cuts, strict=True):
                 out[c] = raw[4 * a : 4 * b]
                 a = b
-        return out
+        met |= out
+        return {c: met[a] + met[b] for c, (a, b) in halves.items()} | {c: out[c] for c in new if c not in halves}
 
 
 @cache

@@ -53,6 +53,19 @@ def test_full_memos_are_replaced(monkeypatch):
         assert ids(b(t)) == lib(BYTE, t) and ids(w(t)) == lib(WORD, t)
 
 
+def test_words_with_punctuation_are_put_together(monkeypatch):
+    w, sent = tokens.WordLevel(WORD), []
+    w("alpha beta gamma , .")
+    monkeypatch.setattr(w, "parts", lambda joined, ends, width: (sent.append(joined), tokens.Encoder.parts(w, joined, ends, width))[1])
+    assert ids(w("Alpha, BETA. gamma,")) == lib(WORD, "Alpha, BETA. gamma,") and sent == []
+
+
+@pytest.mark.parametrize("text", ["<|ENDOFTEXT|>", "a<|EndOfText|>, b", "don't, it's. x's' 'S, ''s", "a_, b_c_. (d) [e]. 5, ¼. x², «f», g». É, ß.", "a,b,c. ... , .,a ###", "Ŀ, ĳ. Ÿ! \u0178'S."])
+def test_punctuation_and_case_as_the_library(text):
+    w = tokens.WordLevel(WORD)
+    assert ids(w(text)) == lib(WORD, text) == ids(w(text + " "))
+
+
 def test_proof_holds(proven):
     some = sorted(proven)[::997]
     assert all(len(lib(BYTE, s)) == 1 for s in some) and " the" in proven and len(proven) > 40_000
