@@ -122,7 +122,8 @@ def _first_met(bands: int, threshold: float):
                 np.fill_diagonal(met, False)
             out = [r for r, m in zip(left, met.any(axis=1).tolist(), strict=True) if m] + ([] if one else [r for r, m in zip(right, met.any(axis=0).tolist(), strict=True) if m])
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()])], ["grp", "i", "j", "right", "node"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["grp", "i", "j", "right", "node", "bands"])
 
     return run
 
@@ -141,19 +142,19 @@ def _sizes_fit(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _payloads(n: int):
-    """The n-gram set behind each class's band hashes; rows whose text isn't the class's set are left out."""
+    """The n-gram set of each class; rows whose text isn't the class's set are left out."""
 
     def run(batches):
         begin()
         for batch in small(batches):
             keep, load = [], []
-            for i, (text, key, bands) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "node", "bands")), strict=True)):
-                g = ngrams(text, n)
-                if hashlib.blake2b(g.tobytes(), digest_size=16).digest() == key:
+            for i, (text, key) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "key")), strict=True)):
+                g = ngrams(text, n).tobytes()
+                if hashlib.blake2b(g, digest_size=16).digest() == key:
                     keep.append(i)
-                    load.append(bands + g.tobytes())
+                    load.append(g)
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(at), batch.column("copies").take(at), pa.array(load, pa.binary())], ["node", "copies", "payload"])
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(at), batch.column("copies").take(at), pa.array(load, pa.binary())], ["node", "copies", "grams"])
 
     return run
 
@@ -212,28 +213,30 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS, thresho
     signed = settle(tied.mapInArrow(_signer(n, bands, rows), "id long, n_ngrams long, node binary, bands array<long>, tie long"), "signatures")
     usable = signed.where("id is not null and node is not null")
     same = usable.groupBy("node").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("n_ngrams").alias("size"))
-    classes = settle(same, "classes")
+    # From here on a class goes by its number in this table, which moves in fewer bytes than its hash, the key.
+    classes = settle(same.withColumnRenamed("node", "key").withColumn("node", F.monotonically_increasing_id()), "classes")
 
     keyed = classes.select(F.explode("bands").alias("band"), "node", "size")
     buckets = settle(keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams")).where("n > 1"), "buckets")
     packed = F.unhex(F.array_join(F.transform("bands", lambda x: F.lpad(F.hex(x), 16, "0")), ""))
-    in_buckets = keyed.drop("size").join(buckets, "band").withColumn("nb", blocks(F.col("n"), F.col("grams") * 8, per_block, 16 << 20))
+    in_buckets = keyed.drop("size").join(buckets, "band").withColumn("nb", blocks(F.col("n"), F.col("grams") * 8, per_block, 16 << 20, few=per_block))
     described = in_buckets.join(classes.select("node", packed.alias("bands"), "size"), "node")
-    need = settle(dealt(spread(described, "band", "nb", ["bands", "size"])).mapInArrow(_first_met(bands, threshold), "grp long, i long, j long, right boolean, node binary"), "needed")
+    need = settle(dealt(spread(described, "band", "nb", ["bands", "size"])).mapInArrow(_first_met(bands, threshold), "grp long, i long, j long, right boolean, node long, bands binary"), "needed")
 
-    wanted = settle(classes.join(need.select("node").distinct(), "node").select("class_id", "node", "copies", packed.alias("bands")), "wanted")
+    wanted = settle(classes.select("class_id", "node", "key", "copies").join(need.select("node").distinct(), "node"), "wanted")
     ids = wanted.select("class_id").distinct()
     texts = narrow.join(bounded(ids), narrow["id"] == ids["class_id"], "left_semi")  # only these texts move
-    loaded = texts.join(wanted.hint("shuffle_hash"), texts["id"] == wanted["class_id"]).select("text", "node", "copies", "bands")
-    sets = settle(loaded.mapInArrow(_payloads(n), "node binary, copies long, payload binary"), "sets")
-    found = settle(link_units(need.join(sets, "node").select("grp", "i", "j", "right", "node", "copies", "payload"), _jaccard(bands, threshold)), "links")
+    loaded = texts.join(wanted.hint("shuffle_hash"), texts["id"] == wanted["class_id"]).select("text", "node", "key", "copies")
+    sets = loaded.mapInArrow(_payloads(n), "node long, copies long, grams binary")  # read once, so not written
+    work = need.join(sets, "node").select("grp", "i", "j", "right", "node", "copies", F.concat("bands", "grams").alias("payload"))
+    found = settle(link_units(work, _jaccard(bands, threshold)), "links")
 
     links = found.where("kind = 'n'").groupBy("node").agg(F.sum("value").alias("others"))
     parts = connected(found.where("kind = 'e'"), "node", "other")
-    met = classes.select("node", "class_id", "copies").join(links, "node", "left").join(parts, "node", "left")
+    met = classes.select("node", "key", "class_id", "copies").join(links, "node", "left").join(parts, "node", "left")
     lowest = met.where("component is not null").groupBy("component").agg(F.min("class_id").alias("lowest"))
     whole = met.join(lowest, "component", "left").select(
-        "node", "class_id", F.col("copies").alias("class_size"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("lowest", "class_id").alias("component_id")
+        F.col("key").alias("node"), "class_id", F.col("copies").alias("class_size"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("lowest", "class_id").alias("component_id")
     )
     return signed, settle(whole, "classes")
 

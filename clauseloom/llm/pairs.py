@@ -21,7 +21,7 @@ from clauseloom.llm.common import small
 
 #: compare(group, a, b) of two lists of payloads gives a boolean matrix of links.
 Compare = Callable[[object, list, list], np.ndarray]
-#: Groups are cut into at least so many blocks as soon as these hold FEW members each, so that a large group is never two tasks' work.
+#: Groups are cut into at least so many blocks as soon as these hold FEW members each, so that a large group is never two tasks' work; callers may give another number than FEW.
 LEAST_BLOCKS, FEW = 8, 32
 
 
@@ -54,9 +54,12 @@ def by_node(row: tuple) -> tuple:
     return row[3:5]
 
 
-def blocks(n: Column, weight: Column, per_block: int, block_weight: int) -> Column:
-    """Into how many blocks a group of n members is cut: `per_block` members or `block_weight` of weight each on average."""
-    few = F.least(F.lit(LEAST_BLOCKS), F.ceil(n / FEW))
+def blocks(n: Column, weight: Column, per_block: int, block_weight: int, few: int = FEW) -> Column:
+    """Into how many blocks a group of n members is cut: `per_block` members or `block_weight` of weight each on average.
+
+    A member moves once for each block, so where payloads are large `few` is better no less than `per_block`.
+    """
+    few = F.least(F.lit(LEAST_BLOCKS), F.ceil(n / few))
     return F.greatest(F.ceil(n / per_block), F.ceil(weight / block_weight), few, F.lit(1)).cast("long")
 
 

@@ -120,6 +120,17 @@ def test_large_near_copy_group(spark):
     assert got == brute(rows)
 
 
+def test_a_group_within_a_block_moves_once(spark, monkeypatch):
+    rng, tables, settle = np.random.default_rng(2), {}, op7.settle
+    monkeypatch.setattr(op7, "settle", lambda df, label: (out := settle(df, label), tables.setdefault(label, out))[0])
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, edit(base, rng, 2)) for i in range(200)]
+    got = {r.doc_id: (r.n_links, r.component_id) for r in op7.ngram_join(frame(spark, rows)).collect()}
+    assert got == brute(rows)
+    assert tables["needed"].groupBy("grp", "node").count().agg(F.max("count")).first()[0] == 1  # no member in several units
+    assert "sets" not in tables and tables["needed"].schema["node"].dataType.simpleString() == "bigint"
+
+
 def test_ngram_defined_cases(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, "")]
     got = sorted(str((r.doc_id, r.n_links, r.class_size, r.component_id, r.kept)) for r in op7.ngram_join(frame(spark, rows)).collect())
