@@ -34,7 +34,6 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from clauseloom.llm.common import bounded, settle, small, unused
 from clauseloom.llm.labelled import best_bin, held_out, highest, platt, sample, sigmoid
@@ -269,28 +268,28 @@ def _scored(rows: DataFrame, tables, id_col: str) -> DataFrame:
 
     def run(batches):
         for b in small(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), score(b.column(1).to_pylist())], ["id", "lang", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], score(b.column(1).to_pylist())], ["id", "lang", *b.schema.names[3:], "score"])
 
-    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, lang string, score double")
+    more = "".join(f"{c} {t}, " for c, t in rows.dtypes[3:])
+    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, lang string, {more}score double")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without those at or above their language's threshold, with all their columns.
 
-    Every text is scored once: docs are written with their scores, as thresholds are known only after all scores.
-    Without a column `lang_col` all documents have the threshold of all.
+    Every text is scored once: scores are written without the texts, as thresholds are known only after all scores. Rows go
+    by id, text's hash and language, which fix score and threshold; texts move only where the dropped rows are too many to be
+    sent to them. Without a column `lang_col` all documents have the threshold of all.
     """
     model = train(docs, labels, id_col, text_col)
     tables = docs.sparkSession.sparkContext.broadcast(model.tables())
-    score = _score_batches(tables)
-    at, name, cut = docs.columns.index(text_col), unused(docs.columns, "_score"), unused(docs.columns, "_cut")
-    known = lang_col if lang_col in docs.columns else None
-    lang = F.col(lang_col).cast("string") if known else F.lit(None).cast("string")
-
-    def run(batches):
-        for b in small(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns, score(b.column(at).to_pylist())], [*b.schema.names, name])
-
-    scored = settle(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())])), "scored")
-    set_thresholds(model, scored.select(id_col, lang.alias("lang"), name), labels)
-    return with_threshold(model, scored, known, cut).where(F.col(name) < F.col(cut)).select(*docs.columns)
+    known = lang_col in docs.columns
+    lang = docs[lang_col].cast("string") if known else F.lit(None).cast("string")
+    text = docs[text_col].cast("string")
+    tie = F.xxhash64(text)
+    scored = settle(_scored(docs.select(docs[id_col], text, lang.alias("lang"), tie.alias("tie")), tables, id_col), "scored")
+    set_thresholds(model, scored.select(F.col("id").alias(id_col), "lang", "score"), labels)
+    cut = with_threshold(model, scored, "lang" if known else None, "cut").where(~(F.col("score") < F.col("cut")))
+    gone = settle(cut.select(F.col("id").alias("_gone_id"), F.col("tie").alias("_gone_tie"), F.col("lang").alias("_gone_lang")).distinct(), "gone")
+    same = docs[id_col].eqNullSafe(gone["_gone_id"]) & (tie == gone["_gone_tie"])
+    return docs.join(bounded(gone), same & lang.eqNullSafe(gone["_gone_lang"]) if known else same, "left_anti")

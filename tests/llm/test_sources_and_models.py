@@ -296,6 +296,16 @@ def test_clashing_columns_pass_through(spark):
     assert op3.quality_scores(docs, labels).count() == docs.count()
 
 
+def test_toxic_rows_go_by_narrow_keys(spark, monkeypatch):
+    docs, labels = labelled(spark, 200)
+    more = docs.where("doc_id < 20").withColumn("lang", F.lit(None).cast("string")).unionByName(docs.where("doc_id < 10")).unionByName(docs.where("doc_id < 30").withColumn("text", F.lit("other words")))
+    docs, tables, settle = docs.unionByName(more), {}, op2.settle
+    monkeypatch.setattr(op2, "settle", lambda df, label: (out := settle(df, label), tables.setdefault(label, out))[0])
+    kept = Counter(r.doc_id for r in op2.drop_toxic(docs, labels).collect())
+    assert "text" not in tables["scored"].columns and tables["scored"].count() == docs.count()
+    assert kept == Counter(r.doc_id for r in op2.toxicity_scores(docs, labels).collect() if not r.toxic) and sum(kept.values()) < docs.count()
+
+
 def test_a_mix_of_100000_equal_rows(spark):
     """Rows that repeat an id and a text are numbered in parts, and each is taken at most twice."""
     n = 100_000
