@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.llm.common import small
-from clauseloom.llm.tokens import BYTE_LEVEL, RUN, ByteLevel, sizes, load, only
+from clauseloom.llm.tokens import BYTE_LEVEL, ROWS, RUN, ByteLevel, sizes, load, only
 
 _WORKER: dict = {}
 
@@ -38,8 +38,6 @@ def proven_tokens(path: str) -> set[str]:
 class Counter(ByteLevel):
     """Texts -> numbers of tokens. New chunks are cut into pre-tokens: proven ones count one unmerged, the library merges the rest."""
 
-    join = staticmethod(sum)
-
     def __init__(self, path: str, proven: set[str]):
         super().__init__(path)
         self.proven = proven
@@ -47,7 +45,11 @@ class Counter(ByteLevel):
     def whole(self, text: str) -> int:
         return len(self.ids(text))
 
-    def learn(self, new: list[str]) -> dict:
+    def total(self, half: np.ndarray, values: list, number: np.ndarray, ends: np.ndarray) -> list:
+        chunk = np.array(values, np.int64)[half].reshape(-1, 2).sum(1)
+        return np.diff(np.concatenate([[0], np.cumsum(chunk[number])])[ends]).tolist()
+
+    def learn(self, new: list[str]) -> list:
         proven, out, todo = self.proven, {}, {}
         for c in new:
             if c.startswith(self.MARK):
@@ -73,7 +75,7 @@ class Counter(ByteLevel):
             for p, n in zip(some, np.diff(cuts, prepend=0).tolist(), strict=True):
                 for c in todo[p]:
                     out[c] += n
-        return out
+        return [out[c] for c in new]
 
 
 def counter(path: str, proof) -> Counter:
@@ -90,9 +92,9 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def run(batches):
         count = counter(tokenizer, proof)
-        for b in small(batches):
+        for b in small(batches, ROWS):
             texts = pc.fill_null(b.column(1), "")
-            n = count.many(texts.to_pylist())
+            n = count.many(texts)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 ["id", "n_bytes", "n_tokens", "over_limit"],

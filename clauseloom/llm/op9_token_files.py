@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clauseloom.llm.common import settle, small
-from clauseloom.llm.tokens import only, word_level_ids
+from clauseloom.llm.tokens import ROWS, only, word_level_ids
 from clauseloom.plans.shared import fresh_path
 
 # Fixed values of the seekable zstandard format.
@@ -133,8 +133,8 @@ def write_token_files(
         from pyspark import TaskContext
 
         encode, writer, path, n_ids, out = only(word_level_ids(tokenizer)), None, None, 0, None
-        for b in small(batches):
-            for key, ids in zip(b.column(0).to_pylist(), encode.many(b.column(1).to_pylist()), strict=True):
+        for b in small(batches, ROWS):
+            for key, ids in zip(b.column(0).to_pylist(), encode.many(b.column(1)), strict=True):
                 if writer is None:
                     fs, base = pafs.FileSystem.from_uri(folder)
                     fs.create_dir(base, recursive=True)

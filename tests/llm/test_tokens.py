@@ -66,6 +66,32 @@ def test_punctuation_and_case_as_the_library(text):
     assert ids(w(text)) == lib(WORD, text) == ids(w(text + " "))
 
 
+def test_punctuation_behind_known_words_is_not_merged_again(monkeypatch, proven):
+    for enc, size in ((tokens.ByteLevel(BYTE), lambda v: len(ids(v))), (tokens.WordLevel(WORD), lambda v: len(ids(v))), (op5_token_counts.Counter(BYTE, proven), int)):
+        enc("x alpha beta gamma naïveté x, x.") and enc("x 1,")
+        sent = []
+        monkeypatch.setattr(enc, "learn", lambda new, enc=enc, sent=sent: (sent.extend(new), type(enc).learn(enc, new))[1])
+        text = "x alpha, beta. gamma, naïveté. alpha."
+        assert size(enc(text)) == len(lib(WORD if isinstance(enc, tokens.WordLevel) else BYTE, text)) and sent == []
+
+
+def test_texts_of_one_slice_as_the_library(proven):
+    texts = [*ODD, None, *(a + b for a in ODD for b in (" end, x.", "\n\n(a)...", "'s' «x», ½. ª² a\x01, \xa0b. c\x0bd \v e"))]
+    b, w, c = tokens.ByteLevel(BYTE), tokens.WordLevel(WORD), op5_token_counts.Counter(BYTE, proven)
+    for slice_ in (texts, texts[::-1], ["", None], []):
+        assert [ids(x) for x in b.many(slice_)] == [lib(BYTE, t or "") for t in slice_]
+        assert [ids(x) for x in w.many(slice_)] == [lib(WORD, t or "") for t in slice_]
+        assert c.many(slice_) == [len(lib(BYTE, t or "")) for t in slice_]
+
+
+def test_near_characters_as_the_library():
+    """Lower case, composition and classes of all characters that are not sent to the library whole, alone and between others."""
+    near = [c for c in map(chr, range(1, 0x180)) if not tokens._LATIN.search(c)]
+    b, w = tokens.ByteLevel(BYTE), tokens.WordLevel(WORD)
+    for text in [*(f"{c} a{c} {c}a{c}. {c}{c}," for c in near), "".join(near), " ".join(near), "x".join(near)]:
+        assert ids(b(text)) == lib(BYTE, text) and ids(w(text)) == lib(WORD, text)
+
+
 def test_proof_holds(proven):
     some = sorted(proven)[::997]
     assert all(len(lib(BYTE, s)) == 1 for s in some) and " the" in proven and len(proven) > 40_000
