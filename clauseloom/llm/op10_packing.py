@@ -188,7 +188,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         encode = only(byte_level_ids(tokenizer))
         for b in small(batches):
             row, piece, start, length, crc, kept = [], [], [], [], [], []
-            for i, ids in enumerate(encode.many([t or "" for t in b.column(1).to_pylist()])):
+            for i, ids in enumerate(encode.many(b.column(1))):
                 ids += end
                 n = len(ids) // 4
                 cut = n % capacity or capacity

@@ -28,8 +28,8 @@ from tokenizers import Tokenizer
 MEMO_BYTES, WORD_BYTES, MEMO_CHARS = 60 << 20, 20 << 20, 48
 #: What an entry takes besides its key's and value's own bytes: two objects' heads and a dict's slot.
 ENTRY_BYTES = 200
-#: Chunks that go to the library in one call, and the texts that are encoded at a time: the more, the fewer distinct chunks a text.
-RUN, ROWS = 128, 4096
+#: Chunks that go to the library in one call.
+RUN = 128
 #: Strings of punctuation in a memo.
 TAILS = 20_000
 #: The pre-token pattern of byte-level files; a fixed value of the format.

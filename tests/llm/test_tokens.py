@@ -75,6 +75,14 @@ def test_punctuation_behind_known_words_is_not_merged_again(monkeypatch, proven)
         assert size(enc(text)) == len(lib(WORD if isinstance(enc, tokens.WordLevel) else BYTE, text)) and sent == []
 
 
+def test_new_words_of_letters_go_to_the_model_alone(monkeypatch):
+    b, sent = tokens.ByteLevel(BYTE), []
+    b("x")
+    monkeypatch.setattr(b, "parts", lambda joined, ends, width: (sent.append(joined), tokens.Encoder.parts(b, joined, ends, width))[1])
+    text = "x unheardofly naïvetés, Çaétère. 12a"
+    assert ids(b(text)) == lib(BYTE, text) and sent == [" 12a"]
+
+
 def test_texts_of_one_slice_as_the_library(proven):
     texts = [*ODD, None, *(a + b for a in ODD for b in (" end, x.", "\n\n(a)...", "'s' «x», ½. ª² a\x01, \xa0b. c\x0bd \v e"))]
     b, w, c = tokens.ByteLevel(BYTE), tokens.WordLevel(WORD), op5_token_counts.Counter(BYTE, proven)
