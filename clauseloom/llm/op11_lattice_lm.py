@@ -29,12 +29,12 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
@@ -46,8 +46,8 @@ from clauseloom.llm.tokens import only
 FOLDS, OUT = 7, 2
 #: Frequent words that every task knows, and the bytes such a word may have.
 HOT, HOT_BYTES = 100_000, 64
-#: Distinct words that a task counts before it sends them on, and rounds of fitting.
-HELD, ROUNDS = 200_000, 2
+#: Texts whose words a task counts at a time, and rounds of fitting.
+ROWS, ROUNDS = 2048, 2
 #: Words of a lattice batch, cells of its table, and symbols from which on a word has a recursion of its own.
 WORDS, CELLS, LONG = 4096, 400_000, 4096
 #: What the vocabulary's own weights count in a refit, in tokens.
@@ -191,34 +191,25 @@ def lattice(path: str) -> Lattice:
     return Lattice(path)
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words of a text: bytes split at ASCII white space, A to Z in lower case."""
-    return text.lower().split() if text else []
+def coded(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words of texts (binary): each word's text and number, and the distinct words by number; bytes split at ASCII white space, A to Z in lower case."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, b"").view(pa.string())))
+    at, words = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy())), lists.flatten().dictionary_encode()
+    number, words = words.indices.to_numpy(), words.dictionary.view(pa.binary())
+    full = pc.binary_length(words).to_numpy()[number] > 0  # white space at a text's ends gives empty strings
+    return at[full], words, number[full]
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """train, text -> word, n (in all documents), c (in training documents); tasks send partial counts."""
+    """train, text -> word, n (in all documents), c (in training documents); a batch sends a row for each distinct word."""
 
     def run(batches):
-        every, trained = Counter(), Counter()
-
-        def flush():
-            words = list(every)
-            out = pa.table({"word": pa.array(words, pa.binary()), "n": pa.array([every[w] for w in words], pa.int64()), "c": pa.array([trained[w] for w in words], pa.int64())})
-            every.clear()
-            trained.clear()
-            return out.to_batches(20_000)
-
         only(None)
-        for b in small(batches):
-            for train, text in zip(b.column("train").to_pylist(), b.column("text").to_pylist(), strict=True):
-                words = tokens(text)
-                every.update(words)
-                if train:
-                    trained.update(words)
-            if len(every) >= HELD:
-                yield from flush()
-        yield from flush()
+        for b in small(batches, ROWS):
+            at, words, number = coded(b.column("text"))
+            train = pc.fill_null(b.column("train"), False).to_numpy(zero_copy_only=False)
+            n, c = (np.bincount(x, minlength=len(words)) for x in (number, number[train[at]]))
+            yield pa.RecordBatch.from_arrays([words, pa.array(n), pa.array(c)], ["word", "n", "c"]).filter(pa.array(n > 0))
 
     return docs.mapInArrow(run, "word binary, n long, c long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
@@ -277,12 +268,10 @@ def score_words(words: DataFrame, model: Model, path: str) -> DataFrame:
 
 
 def _hot(spark: SparkSession, words: DataFrame, hot: int):
-    """word -> (log10(c + 1), 1 if c > 0, lp) of the most frequent words: at most `hot`, of at most HOT_BYTES bytes each."""
-    top = words.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").limit(hot).select("word", "c", "lp").toArrow()
-    c = top.column("c").to_pylist()
-    return spark.sparkContext.broadcast(
-        {w: (math.log10(k + 1), int(k > 0), lp) for w, k, lp in zip(top.column("word").to_pylist(), c, top.column("lp").to_pylist(), strict=True)}
-    )
+    """The most frequent words (at most `hot`, of at most HOT_BYTES bytes each), their log10(c + 1), 1 if c > 0, and lp."""
+    top = words.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").limit(hot).select("word", "c", "lp").toArrow().combine_chunks()
+    c, lp = (top.column(x).to_numpy() for x in ("c", "lp"))
+    return spark.sparkContext.broadcast((pa.array(top.column("word").to_pylist(), pa.binary()), np.log10(c + 1.0), (c > 0).astype(np.int64), lp))
 
 
 PARTS = "key binary, word binary, n long, known long, logc double, lp double"
@@ -293,30 +282,22 @@ def _parts(known):
 
     def run(batches):
         only(None)
-        hot = known.value
-        for b in small(batches):
-            keys, words, n, seen, logc, lp, at = [], [], [], [], [], [], []
-            for i, text in enumerate(b.column("text").to_pylist()):
-                key, all_, k, x, y = hashlib.blake2b(text or b"", digest_size=16).digest(), tokens(text), 0, 0.0, 0.0
-                rare = []
-                for w, m in Counter(all_).items():
-                    h = hot.get(w)
-                    if h is None:
-                        rare.append((w, m))
-                    else:
-                        x += m * h[0]
-                        k += m * h[1]
-                        y += m * h[2]
-                at += [i] * (len(rare) + 1)
-                keys += [key] * (len(rare) + 1)
-                words += [None, *(w for w, _ in rare)]
-                n += [len(all_), *(m for _, m in rare)]
-                seen += [k] + [0] * len(rare)
-                logc += [x] + [0.0] * len(rare)
-                lp += [y] + [0.0] * len(rare)
-            ids = b.column("id").take(pa.array(at, pa.int64()))
-            arrays = [pa.array(keys, pa.binary()), pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(logc, pa.float64()), pa.array(lp, pa.float64())]
-            yield pa.RecordBatch.from_arrays([ids, *arrays], ["id", "key", "word", "n", "known", "logc", "lp"])
+        hot, logc, known_, lp = known.value
+        for b in small(batches, ROWS):
+            rows, texts = b.num_rows, b.column("text")
+            at, words, number = coded(texts)
+            place = pc.fill_null(pc.index_in(words, value_set=hot), -1).to_numpy()[number]
+            met = place >= 0
+            mine, place = at[met], place[met]
+            sums = [np.bincount(mine, x[place], rows) for x in (known_, logc, lp)]
+            rare, times = np.unique(at[~met] * len(words) + number[~met], return_counts=True)
+            row, word = np.divmod(rare, max(1, len(words)))
+            every, none = pa.array(np.concatenate([np.arange(rows), row])), np.zeros(len(rare))
+            keys = pa.array([hashlib.blake2b(t or b"", digest_size=16).digest() for t in texts.to_pylist()], pa.binary())
+            n, seen, x, y = (np.concatenate(c) for c in ((np.bincount(at, minlength=rows), times), (sums[0].astype(np.int64), none.astype(np.int64)), (sums[1], none), (sums[2], none)))
+            found = pa.concat_arrays([pa.nulls(rows, pa.binary()), words.take(pa.array(word))])
+            arrays = [b.column("id").take(every), keys.take(every), found, pa.array(n), pa.array(seen), pa.array(x), pa.array(y)]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "key", "word", "n", "known", "logc", "lp"])
 
     return run
 

@@ -3,9 +3,11 @@ import itertools
 import math
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -131,6 +133,22 @@ def test_lattice_sums_all_segmentations(monkeypatch):
     assert np.allclose(z, z2) and np.allclose(counts, counts2)
 
 
+def test_words_of_a_slice_are_counted_once_each():
+    texts = [b"The the\tTHE cat", None, b"", b" \n ", b"\xc3\x89T\xc3\xa9 cat\x0b\xff\xfe the", b"\xe3\x80\x80 a\xc2\xa0b", b" the "]
+    at, words, number = op11.coded(pa.array(texts, pa.binary()).slice(0, 7))
+    got = [[] for _ in texts]
+    for i, k in zip(at.tolist(), number.tolist(), strict=True):
+        got[i].append(words[k].as_py())
+    assert got == [(t or b"").lower().split() for t in texts] and len(set(words.to_pylist())) == len(words)
+    known = (pa.array([b"the", b"cat"]), np.array([1.0, 2.0]), np.array([1, 0]), np.array([-1.0, -3.0]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts, pa.binary())], ["id", "text"])
+    rows = [r for b in op11._parts(SimpleNamespace(value=known))([batch]) for r in b.to_pylist()]
+    own = {r["id"]: (r["n"], r["known"], r["logc"], r["lp"]) for r in rows if r["word"] is None}
+    assert own == {0: (4, 3, 5.0, -6.0), 1: (0, 0, 0, 0), 2: (0, 0, 0, 0), 3: (0, 0, 0, 0), 4: (4, 1, 3.0, -4.0), 5: (2, 0, 0, 0), 6: (1, 1, 1.0, -1.0)}
+    rare = sorted((r["id"], r["word"], r["n"]) for r in rows if r["word"] is not None)
+    assert rare == [(4, b"\xc3\x89t\xc3\xa9", 1), (4, b"\xff\xfe", 1), (5, b"a\xc2\xa0b", 1), (5, b"\xe3\x80\x80", 1)]
+
+
 def test_very_long_word_has_its_full_lattice():
     lat = op11.lattice(PIECES)
     logq = np.log(lat.prior)
