@@ -24,14 +24,14 @@ def highest(labels: DataFrame, label: str, id_col: str, folds: int, out: int) ->
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, out: int, rows: int, id_col: str, text_col: str, also: list[str]) -> list:
-    """At most `rows` labelled documents outside the held-out fold, the first by a hash of the id: (label, text, *also).
+    """At most `rows` labelled documents outside the held-out fold, the first by a hash of the id: (label, text, *also, id, id as text).
 
     A document labelled more than once has the larger label; null labels don't count.
     """
     chosen = highest(labels, label, id_col, folds, out).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     texts = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *[F.col(c).alias(f"_{c}") for c in also])
     met = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))  # `rows` rows at most
-    got = met.select("_y", "_text", *[f"_{c}" for c in also], "_id")
+    got = met.select("_y", "_text", *[f"_{c}" for c in also], "_id", F.col("_id").cast("string").alias("_name"))
     return got.orderBy(F.xxhash64("_id"), F.xxhash64("_text")).limit(rows).collect()
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.llm.common import running_total, settle, small
-from clauseloom.llm.tokens import byte_level_ids, only
+from clauseloom.llm.tokens import byte_level_ids, only, task
 
 CAPACITY, ROUNDS, STEP = 1024, 40, 0.1
 #: Prices this much below the highest are used in a round too; the least filling of a used configuration, against the best with the same longest piece.
@@ -184,6 +184,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
+    @task
     def run(batches):
         encode = only(byte_level_ids(tokenizer))
         for b in small(batches):

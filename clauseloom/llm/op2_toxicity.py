@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.llm.common import bounded, settle, small, unused
 from clauseloom.llm.labelled import best_bin, held_out, highest, platt, sample, sigmoid
-from clauseloom.llm.tokens import Memo, only
+from clauseloom.llm.tokens import Memo, only, task
 
 TRAIN_ROWS, FOLDS, HELD_OUT = 6000, 4, 2
 BUCKETS, DIM, WIDTHS, FILTERS, STEMS = 1 << 17, 8, (1, 2, 3), 4, (4, 5)
@@ -92,7 +92,7 @@ class Model:
         self.B = {w: np.zeros(FILTERS) for w in WIDTHS}
         self.U = rng.normal(0, 0.1, len(WIDTHS) * FILTERS)
         self.c, self.a, self.b = 0.0, 1.0, 0.0
-        self.threshold, self.thresholds, self.fit_ids = 0.5, None, []
+        self.threshold, self.thresholds, self.fit_ids, self.fit_names = 0.5, None, [], []
 
     def fit(self, ids: list[bytes], y: np.ndarray) -> None:
         """Adagrad on the logistic loss; embeddings start from the words' smoothed log-odds in one of their dimensions."""
@@ -193,14 +193,14 @@ def logits(tables: dict, ids: list[bytes], words: int = 1 << 15) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
-    """The fitted classifier; `fit_ids` are the ids that it learned from. Thresholds come from `set_thresholds`."""
+    """The fitted classifier; `fit_ids` are the ids that it learned from, `fit_names` these as text. Thresholds come from `set_thresholds`."""
     got = sample(docs, labels, label, FOLDS, HELD_OUT, rows, id_col, text_col, [])
     ids, y = [word_ids(r[1]) for r in got], np.array([r[0] for r in got], float)
     check = np.arange(len(got)) % 5 == 4
     model = Model()
     if y[~check].size and 0 < y[~check].sum() < (~check).sum():
         model.fit([x for x, c in zip(ids, check, strict=True) if not c], y[~check])
-        model.fit_ids = sorted({r["_id"] for r, c in zip(got, check, strict=True) if not c})
+        model.fit_ids, model.fit_names = (sorted({r[name] for r, c in zip(got, check, strict=True) if not c}) for name in ("_id", "_name"))
         model.a, model.b = platt(logits(model.tables(), [x for x, c in zip(ids, check, strict=True) if c]), y[check])
     else:
         model.a, model.b = platt(np.zeros(len(y)), y)
@@ -212,8 +212,8 @@ def set_thresholds(model: Model, scored: DataFrame, labels: DataFrame, label: st
     known = highest(labels, label, scored.columns[0], FOLDS, HELD_OUT)
     rows = scored.toDF("_id", "lang", "score").join(known, "_id")
     if model.fit_ids:
-        fit = scored.sparkSession.createDataFrame([(x,) for x in model.fit_ids], scored.select(F.col(scored.columns[0]).alias("_id")).schema)
-        rows = rows.join(F.broadcast(fit), "_id", "left_anti")  # TRAIN_ROWS ids at most
+        fit = scored.sparkSession.createDataFrame(pa.table({"_name": model.fit_names}))  # from Arrow, as rows of Python start workers of another kind
+        rows = rows.join(F.broadcast(fit), F.col("_id").cast("string") == fit["_name"], "left_anti")  # TRAIN_ROWS ids at most
     odds = F.log(F.col("score") / (1 - F.col("score")))
     counts = settle(rows.groupBy("lang", F.floor(odds * BINS).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("hits")), "bins")
     every = counts.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).toPandas()  # at most 60 BINS + 1 rows
@@ -256,7 +256,6 @@ def with_threshold(model: Model, df: DataFrame, lang_col: str | None, name: str)
 
 def _score_batches(tables):
     def run(texts: list) -> pa.Array:
-        begin()
         t = tables.value
         return pa.array(sigmoid(t["a"] * logits(t, [word_ids(x or "") for x in texts]) + t["b"]), pa.float64())
 
@@ -266,7 +265,9 @@ def _score_batches(tables):
 def _scored(rows: DataFrame, tables, id_col: str) -> DataFrame:
     score = _score_batches(tables)
 
+    @task
     def run(batches):
+        begin()
         for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], score(b.column(1).to_pylist())], ["id", "lang", *b.schema.names[3:], "score"])
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.llm.common import small
-from clauseloom.llm.tokens import BYTE_LEVEL, RUN, ByteLevel, sizes, load, only
+from clauseloom.llm.tokens import BYTE_LEVEL, RUN, ByteLevel, sizes, load, only, task
 
 _WORKER: dict = {}
 
@@ -90,6 +90,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     kind = docs.schema[id_col].dataType.simpleString()
     proof = docs.sparkSession.sparkContext.broadcast(proven_tokens(tokenizer))  # at most one string per vocabulary entry
 
+    @task
     def run(batches):
         count = counter(tokenizer, proof)
         for b in small(batches):

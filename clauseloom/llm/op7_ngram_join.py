@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.llm.common import bounded, connected, settle, small
 from clauseloom.llm.pairs import blocks, by_node, dealt, link_units, spread, units
-from clauseloom.llm.tokens import Memo, only
+from clauseloom.llm.tokens import Memo, only, task
 
 WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 5
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -85,6 +85,7 @@ def _signer(n: int, bands: int, rows: int):
     a = rng.integers(1, 2**63, bands * rows).astype(_U64) * _U64(2) + _U64(1)
     b = rng.integers(0, 2**63, bands * rows).astype(_U64)
 
+    @task
     def run(batches):
         begin()
         for batch in small(batches):
@@ -144,6 +145,7 @@ def _sizes_fit(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
 def _payloads(n: int):
     """The n-gram set of each class; rows whose text isn't the class's set are left out."""
 
+    @task
     def run(batches):
         begin()
         for batch in small(batches):

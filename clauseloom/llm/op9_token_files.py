@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clauseloom.llm.common import settle, small
-from clauseloom.llm.tokens import only, word_level_ids
+from clauseloom.llm.tokens import only, task, word_level_ids
 from clauseloom.plans.shared import fresh_path
 
 # Fixed values of the seekable zstandard format.
@@ -129,6 +129,7 @@ def write_token_files(
     dealt = rows.repartitionByRange(n_files, "id", "tie").sortWithinPartitions("id", "tie")
     end = struct.pack("<I", end_id)
 
+    @task
     def run(batches):
         from pyspark import TaskContext
 

@@ -25,7 +25,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Bytes of one generation of an encoder's and of a words' memo; two are kept, so what was used lately survives. Longer keys than MEMO_CHARS are not kept.
-MEMO_BYTES, WORD_BYTES, MEMO_CHARS = 60 << 20, 20 << 20, 48
+MEMO_BYTES, WORD_BYTES, MEMO_CHARS = 24 << 20, 8 << 20, 48
 #: What an entry takes besides its key's and value's own bytes: two objects' heads and a dict's slot.
 ENTRY_BYTES = 200
 #: Chunks that go to the library in one call.
@@ -74,18 +74,44 @@ def gathered(ids: np.ndarray, size: np.ndarray, number: np.ndarray) -> tuple[np.
 
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 _LIVE: list = []
+_MODELS: dict[str, Tokenizer] = {}
 _LIBC = ctypes.CDLL(None)  # gives freed memory back, which the allocator keeps otherwise
 
 
 def only(owner):
-    """owner, with the memos of all other operators emptied: a worker outlives many stages, its memos must not add up."""
+    """owner, with the memos of all other operators emptied and all other files' models let go: a worker outlives many stages, what it holds must not add up."""
     for memo in _LIVE:
         if memo is not owner:
             memo.forget()
+    for path in _MODELS.keys() - {getattr(owner, "path", None)}:
+        del _MODELS[path]
+    _trim()
+    return owner
+
+
+def _trim() -> None:
     pa.default_memory_pool().release_unused()
     if hasattr(_LIBC, "malloc_trim"):
         _LIBC.malloc_trim(0)
-    return owner
+
+
+def rest() -> None:
+    """At a task's end: all memos are emptied. A file's model stays for the stage's next task, until `only` lets it go."""
+    for memo in _LIVE:
+        memo.forget()
+    _trim()
+
+
+def task(run):
+    """run, which maps a task's batches, and `rest` behind it: else idle workers keep a memo while stages without Python need the memory."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            rest()
+
+    return whole
 
 
 class Memo(dict):
@@ -113,13 +139,14 @@ class Memo(dict):
         return value
 
 
-@cache
 def load(path: str) -> Tokenizer:
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-    tok = Tokenizer.from_file(path)
-    tok.no_truncation()
-    tok.no_padding()
-    return tok
+    if path not in _MODELS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        tok = Tokenizer.from_file(path)
+        tok.no_truncation()
+        tok.no_padding()
+        _MODELS[path] = tok
+    return _MODELS[path]
 
 
 class Encoder:
@@ -131,11 +158,15 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        self.tok = load(path)
+        self.path = path
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.forget()
         _LIVE.append(self)
 
+    @property
+    def tok(self) -> Tokenizer:
+        return load(self.path)
+
     def forget(self) -> None:
         self.now, self.old, self.held = {}, {}, 0
 

@@ -6,10 +6,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
-from clauseloom.llm import tokens
+from clauseloom.llm import op2_toxicity, tokens
 
 pipeline = pytest.importorskip("corpus_pipeline")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _tie string"
@@ -125,3 +127,39 @@ def test_a_missing_crc_means_a_wrong_piece(spark, tables):
     got = sorted((r.start, r.length, r.ids_crc32) for r in pipeline.STAGES[-1][1](spark, docs, tables).collect())
     ids = tokens.ByteLevel(public_tokenizers.path("byte_bpe_50k.json"))("word " * 5000) + (2).to_bytes(4, "little")
     assert got and all(crc == zlib.crc32(ids[4 * a : 4 * (a + n)]) for a, n, crc in got) and sum(n for _, n, _ in got) == len(ids) // 4
+
+
+def test_idle_workers_hold_no_memos(spark, tables):
+    """Stages without Python come behind these, and need the memory; the same workers say what they hold."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+
+    def held(batches):
+        from clauseloom.llm import op2_toxicity, op7_ngram_join, tokens
+
+        found = sum(len(m) + len(m.old) for m in (op2_toxicity._MEMO, op7_ngram_join._MEMO))
+        if tokens.byte_level_ids.cache_info().currsize:
+            e = tokens.byte_level_ids(path)
+            found += len(e.now) + len(e.old) + len(e.tails)
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([found], pa.int64())})
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for at in (0, 2, 4):
+        pipeline.STAGES[at][1](spark, docs, tables).write.format("noop").mode("overwrite").save()
+        left = spark.range(0, 8, 1, 4).mapInArrow(held, "n long").collect()
+        assert left and {r.n for r in left} == {0}, pipeline.STAGES[at][0]
+
+
+def test_another_steps_model_is_let_go():
+    encode = tokens.only(tokens.byte_level_ids(public_tokenizers.path("byte_bpe_50k.json")))
+    want = encode("some words, and more")
+    assert list(tokens._MODELS) == [encode.path]
+    tokens.only(op2_toxicity._MEMO)
+    assert not tokens._MODELS and encode("some words, and more") == want
+
+
+def test_thresholds_start_no_workers_of_another_kind(spark, tables, monkeypatch):
+    """Rows of Python would go through workers, and their parent, that nothing else uses."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    monkeypatch.setattr(SparkContext, "parallelize", lambda *a, **k: pytest.fail("rows went through Python workers"))
+    assert pipeline.STAGES[0][1](spark, docs, tables).count() > 400
