@@ -164,9 +164,12 @@ def pair_hash(evidence: str, claim: str) -> Column:
 
 
 def score_once(df: DataFrame, make_scorer: MakeScorer, evidence: str = "evidence_text", claim: str = "claim_text", **how) -> DataFrame:
-    """batch_score on distinct pairs only, joined back by a 128-bit hash of the pair, so texts move once; `score_store` keeps scores across runs."""
+    """batch_score on distinct pairs only, joined back by a 128-bit hash of the pair, so texts move once; `score_store` keeps scores across runs.
+
+    df is read twice, for its pairs and for its rows: write a costly one first.
+    """
     keyed = df.withColumn("_pair", pair_hash(evidence, claim))
-    scored = batch_score(keyed.select("_pair", evidence, claim).dropDuplicates(["_pair"]), make_scorer, evidence=evidence, claim=claim, **how)
+    scored = batch_score(keyed.select("_pair", evidence, claim).distinct(), make_scorer, evidence=evidence, claim=claim, **how)
     return keyed.join(scored.select("_pair", "l0", "l1", "l2", "error"), "_pair", "left").drop("_pair")
 
 

@@ -13,7 +13,7 @@ from clauseloom.operators import claims, curation, evaluation, extraction, linki
 from clauseloom.plans import fixtures as fx
 from clauseloom.plans import sql as q
 from clauseloom.plans.fixtures import derive
-from clauseloom.plans.shared import fresh_path
+from clauseloom.plans.shared import fresh_path, written
 from clauseloom.sources import run_log, tables
 from clauseloom.streaming import meet
 from clauseloom.streaming import verify as streaming
@@ -664,10 +664,14 @@ def _length_scorer():
     return lambda ev, cl: np.array([[len(a) % 7, len(b) % 5, (len(a) + len(b)) % 3] for a, b in zip(ev, cl, strict=True)], float)
 
 
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked pairs as a table: scoring reads them more than once, and would link anew each time."""
+    return written(_linked(spark, sf_dir).select("provision_id", "claim_id", "evidence_text", "claim_text"), "pairs")
+
+
 @query("batch_score", f"{LINK_SQL} SELECT provision_id, claim_id, (length(evidence_text) % 7)::DOUBLE AS l0, (length(claim_text) % 5)::DOUBLE AS l1, ((length(evidence_text) + length(claim_text)) % 3)::DOUBLE AS l2, NULL::VARCHAR AS error FROM linked")
 def batch_score(spark, d):
-    pairs = _linked(spark, d).select("provision_id", "claim_id", "evidence_text", "claim_text")
-    return scoring.score_once(pairs, _length_scorer).drop("evidence_text", "claim_text")
+    return scoring.score_once(_pairs(spark, d), _length_scorer).drop("evidence_text", "claim_text")
 
 
 @query("batch_generate", f"SELECT provision_id, upper(text) AS output, 1 AS attempts, NULL::VARCHAR AS gen_error FROM ({fx.PROVISIONS}) p")
@@ -685,10 +689,10 @@ FROM k""",
 )
 def score_store_runs(spark, d):
     """Two thirds of the pairs are scored by a first run; the second one scores what is new, n_new pairs, and gives all scores."""
-    pairs = _linked(spark, d).select("provision_id", "claim_id", "evidence_text", "claim_text")
+    pairs = _pairs(spark, d)
     store = fresh_path(spark, "scores")
     first = F.substring("provision_id", 2, 20).cast("long") % 3 < 2
-    score_store.score_with_store(pairs.where(first), _length_scorer, store, "length").count()
+    score_store.score_with_store(pairs.where(first), _length_scorer, store, "length")  # stored when it returns
     before = score_store.stored_scores(spark, store, "length").count()
     rows = score_store.score_with_store(pairs, _length_scorer, store, "length")
     after = score_store.stored_scores(spark, store, "length").count()

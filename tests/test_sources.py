@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clauseloom.operators import claims, score_store, scoring
+from clauseloom.plans import catalog
 from clauseloom.sources import run_log, tables
 from clauseloom.streaming import verify
 
@@ -141,3 +142,24 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     verify.stream_verify(*args).awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out").drop("batch")
     assert sorted(str(r.asDict()) for r in got.collect()) == want
+
+
+def test_a_store_has_a_file_for_each_folder_and_pairs_are_made_once(spark, tmp_path, monkeypatch):
+    pairs = spark.range(0, 600, 1, 6).select(F.concat(F.lit("evidence "), "id").alias("evidence_text"), F.lit("claim").alias("claim_text"))
+    make = lambda: lambda ev, cl: [[len(e), len(c), 0] for e, c in zip(ev, cl, strict=True)]
+    assert score_store.score_with_store(pairs, make, str(tmp_path / "s"), "m").where("l0 is not null").count() == 600
+    files = list((tmp_path / "s").glob("*/*/*.parquet"))
+    assert len(files) == len({f.parent for f in files}) > 200
+    made = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            made.add(len(f))
+            yield f
+
+    linked = pairs.withColumns({"provision_id": F.concat(F.lit("o"), F.substring("evidence_text", 10, 9)), "claim_id": F.lit("C1")})
+    monkeypatch.setattr(catalog, "_linked", lambda spark, d: linked.mapInPandas(count, linked.schema))
+    for query in ("score_store", "batch_score"):
+        made.value = 0
+        rows = catalog.QUERIES[query](spark, "no folder").collect()
+        assert len(rows) == 600 and made.value == 600
