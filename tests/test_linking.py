@@ -3,7 +3,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from clauseloom.operators import extraction, linking
+from clauseloom.operators import claims, extraction, linking
 
 WORDS = "court officer shall may not fine order licence vessel record theft harm thirty 5 12 500 days rupees begging arson".split()
 
@@ -85,3 +85,20 @@ def test_a_document_of_200000_lines(spark):
     rows = extraction.find_sections(df).agg(F.count(F.lit(1)), F.max("section_no"), F.count_if(F.expr("page_start = 1 and section_no = 1"))).first()
     assert time.monotonic() - start < 30
     assert tuple(rows) == (n, 5001, 150_000)
+
+
+def test_costly_steps_are_computed_once(spark):
+    """A response is parsed once, whatever uses its claims, and a pair's score is not computed again by a filter."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    raw = '[{"claim_id": "C1", "claim_text": " one "}, {"claim_id": "C2", "claim_text": "one"}]'
+    odd = ['[{"claim_id": "C1", "claim_text": 1}]', '[{"claim_id": "C1", "claim_text": "  "}]', "[]", "{}", None]
+    df = claims.claims_with_fallback(spark.createDataFrame([(raw, "x; y"), *[(o, "a; b") for o in odd], (None, None)], "raw string, t string"), "raw", "t")
+    got = sorted((r.claim_method, [(x.claim_id, x.claim_text) for x in r.claims]) for r in df.collect())
+    assert got == [*[("clause_splitter", [("C1", "a"), ("C2", "b")])] * 5, ("llm", [("C1", "one")]), ("whole_text_claim", [])]
+    assert plan(df).lower().replace("_", "").count("parsejson") == 1
+    side = lambda cols: spark.createDataFrame([], f"provision_id string, {cols}")
+    c, u = side("claim_id string, c_lex array<string>, c_num array<string>"), side("unit_idx int, joined boolean, u_lex array<string>, u_num array<string>")
+    assert sum("array_intersect" in line for line in plan(linking._best_of_all_pairs(c, u)).split("\n")) == 1
+    said = claims.extraction_warnings(F.col("a"), F.col("b"))
+    rows = spark.createDataFrame([("5 men shall not dig", "men may dig", 1), (None, "x", 2), ("x", None, 3), ("dig", "dig", 4)], "a string, b string, k int").select("k", said.alias("w")).collect()
+    assert {r.k: r.w for r in rows} == {1: ["unsupported_number", "clear_modal_conflict"], 2: [], 3: [], 4: []}
